@@ -5,6 +5,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+BIG = 4503599627370496.0  # 2^52
+
+
 def lit_d(x: float) -> Column:
     return F.lit(float(x))
 
@@ -16,7 +19,10 @@ def round_stable(c: Column, n: int) -> Column:
     uses only double multiply/add/floor/divide, so every engine returns the same double.
     """
     m = float(10 ** n)
-    return (F.floor(c * F.lit(m) + F.lit(0.5) + F.lit(1e-7)) / F.lit(m)).cast("double")
+    y = c * F.lit(m)
+    # Above 2^52 a double has no fractional part left (and floor() would overflow BIGINT): pass through.
+    return F.when(F.abs(y) < F.lit(BIG), (F.floor(y + F.lit(0.5) + F.lit(1e-7)) / F.lit(m)).cast("double")) \
+        .otherwise(c.cast("double"))
 
 
 def clip(c: Column, lo: float, hi: float) -> Column:

@@ -17,7 +17,8 @@ def d(x: float) -> str:
 
 def rs(expr: str, n: int) -> str:
     m = d(10 ** n)
-    return f"CAST(floor(({expr}) * {m} + 0.5e0 + 1e-7) / {m} AS DOUBLE)"
+    return (f"CAST(CASE WHEN abs(({expr}) * {m}) < 4503599627370496.0e0 THEN floor(({expr}) * {m} + 0.5e0 + 1e-7) / {m}"
+            f" ELSE ({expr}) END AS DOUBLE)")
 
 
 def clip(expr: str, lo: float, hi: float) -> str:
