@@ -20,5 +20,5 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> dict[str, tuple[Builder, str | None]]:
     # Importing the modules fills REGISTRY.
-    from . import ops_queries, report_queries, scoring_queries  # noqa: F401
+    from . import ops_queries, report_queries, retrieval_queries, scoring_queries  # noqa: F401
     return REGISTRY
