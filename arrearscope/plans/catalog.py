@@ -20,5 +20,6 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> dict[str, tuple[Builder, str | None]]:
     # Importing the modules fills REGISTRY.
-    from . import message_queries, ops_queries, report_queries, retrieval_queries, scoring_queries  # noqa: F401
+    from . import (message_queries, model_queries, ops_queries, report_queries, retrieval_queries,  # noqa: F401
+                   scoring_queries)
     return REGISTRY
