@@ -1,15 +1,20 @@
 """Contact-frequency cap and quiet hours (W4, F21-F23) over a contact-event log.
 
-W4 counts, for every contact, the same customer's contacts in the trailing 7 days (RANGE frame,
-current row and ties included). A plain ``PARTITION BY user`` window would send a customer holding a
-third of all contacts to one task. Instead, time is cut into 7-day blocks: each event is owned by its
-block and also copied as read-only context ("halo") into the next block. Every trailing window of an
-owned event lies inside its own block plus the previous one, so partitioning by (user, block) is
-exact, and the largest task holds two weeks of one customer, not the whole history.
+W4 counts, for every contact, the same customer's contacts in the trailing 7 days (RANGE frame:
+current row and ties included). A ``PARTITION BY user`` window would send a customer holding a
+third of all contacts to one task, so the count is rebuilt from prefix sums that split freely:
+
+    contacts_7d(t) = #contacts with ts <= t  -  #contacts with ts <= t - 7d - 1us
+
+Each contact also emits a zero-weight probe at t - 7d - 1us. Rows are partitioned by
+(user, hour bucket); inside a bucket an inclusive RANGE running sum gives the count up to the row,
+and a per-user prefix sum over bucket totals (one row per user-hour) adds everything earlier. The
+event and its probe meet again on ``event_id``. The largest task is one customer-hour.
 """
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.actions import blocked_reason, compliance_flag, quiet_hours
@@ -17,23 +22,34 @@ from ..schema import MAX_CONTACTS_7_DAYS
 
 CONTACT_TYPES = ["view", "click", "error"]
 WINDOW_DAYS = 7
+BUCKET_SECONDS = 3600
 
 
 def contact_events(events: DataFrame) -> DataFrame:
     return events.where(F.col("event_type").isin(CONTACT_TYPES)).select("event_id", "user_id", "ts")
 
 
-def contacts_trailing(ev: DataFrame, days: int = WINDOW_DAYS, user: str = "user_id", ts: str = "ts") -> DataFrame:
-    """Adds ``contacts_7d`` (BIGINT) and ``over_cap`` to each event row."""
-    block_sec = days * 86400
-    blk = F.floor(F.unix_timestamp(F.col(ts).cast("timestamp")) / F.lit(block_sec)).cast("bigint")
-    owned = ev.withColumn("_blk", blk).withColumn("_own", F.lit(True))
-    halo = ev.withColumn("_blk", blk + 1).withColumn("_own", F.lit(False))
-    both = owned.unionByName(halo)
-    cnt = F.expr(f"count(1) OVER (PARTITION BY {user}, _blk ORDER BY {ts} "
-                 f"RANGE BETWEEN INTERVAL {days} DAYS PRECEDING AND CURRENT ROW)")
-    return (both.withColumn("contacts_7d", cnt)
-            .where(F.col("_own")).drop("_blk", "_own")
+def contacts_trailing(ev: DataFrame, days: int = WINDOW_DAYS, user: str = "user_id", ts: str = "ts",
+                      bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
+    """Adds ``contacts_7d`` (BIGINT) and ``over_cap`` to each event row (exact RANGE-frame count)."""
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    span = days * 86400 * 1_000_000
+    base = ev.select("event_id", user, us.alias("_p"))
+    rows = base.select("event_id", user, "_p", F.lit(1).alias("_v"), F.lit(False).alias("_probe")) \
+        .unionByName(base.select("event_id", user, (F.col("_p") - span - 1).alias("_p"), F.lit(0).alias("_v"),
+                                 F.lit(True).alias("_probe")))
+    rows = rows.withColumn("_b", F.floor(F.col("_p") / F.lit(bucket_seconds * 1_000_000)).cast("bigint"))
+    w_in = Window.partitionBy(user, "_b").orderBy("_p").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("_in", F.sum("_v").over(w_in))
+    sizes = rows.groupBy(user, "_b").agg(F.sum("_v").alias("_n"))
+    w_off = Window.partitionBy(user).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offs = sizes.withColumn("_off", F.coalesce(F.sum("_n").over(w_off), F.lit(0))).drop("_n")
+    le = rows.join(offs, [user, "_b"]).withColumn("_le", F.col("_off") + F.col("_in"))
+    hits = le.where(~F.col("_probe")).select("event_id", user, "_le")
+    probes = le.where(F.col("_probe")).select("event_id", F.col("_le").alias("_before"))
+    out = hits.join(probes, "event_id").select(
+        "event_id", (F.col("_le") - F.col("_before")).cast("bigint").alias("contacts_7d"))
+    return (ev.join(out, "event_id")
             .withColumn("over_cap", F.col("contacts_7d") >= MAX_CONTACTS_7_DAYS))
 
 
