@@ -34,10 +34,9 @@ def contacts_trailing(ev: DataFrame, days: int = WINDOW_DAYS, user: str = "user_
     """Adds ``contacts_7d`` (BIGINT) and ``over_cap`` to each event row (exact RANGE-frame count)."""
     us = F.unix_micros(F.col(ts).cast("timestamp"))
     span = days * 86400 * 1_000_000
-    base = ev.select("event_id", user, us.alias("_p"))
-    rows = base.select("event_id", user, "_p", F.lit(1).alias("_v"), F.lit(False).alias("_probe")) \
-        .unionByName(base.select("event_id", user, (F.col("_p") - span - 1).alias("_p"), F.lit(0).alias("_v"),
-                                 F.lit(True).alias("_probe")))
+    base = ev.select("event_id", user, ts, us.alias("_p"))
+    rows = base.select("event_id", user, ts, "_p", F.lit(1).alias("_v")) \
+        .unionByName(base.select("event_id", user, ts, (F.col("_p") - span - 1).alias("_p"), F.lit(0).alias("_v")))
     rows = rows.withColumn("_b", F.floor(F.col("_p") / F.lit(bucket_seconds * 1_000_000)).cast("bigint"))
     w_in = Window.partitionBy(user, "_b").orderBy("_p").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("_in", F.sum("_v").over(w_in))
@@ -45,11 +44,10 @@ def contacts_trailing(ev: DataFrame, days: int = WINDOW_DAYS, user: str = "user_
     w_off = Window.partitionBy(user).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offs = sizes.withColumn("_off", F.coalesce(F.sum("_n").over(w_off), F.lit(0))).drop("_n")
     le = rows.join(offs, [user, "_b"]).withColumn("_le", F.col("_off") + F.col("_in"))
-    hits = le.where(~F.col("_probe")).select("event_id", user, "_le")
-    probes = le.where(F.col("_probe")).select("event_id", F.col("_le").alias("_before"))
-    out = hits.join(probes, "event_id").select(
-        "event_id", (F.col("_le") - F.col("_before")).cast("bigint").alias("contacts_7d"))
-    return (ev.join(out, "event_id")
+    # event row (_v = 1) minus its probe (_v = 0): one aggregation by event_id, no self-join
+    return (le.groupBy("event_id", user, ts)
+            .agg((F.sum(F.when(F.col("_v") == 1, F.col("_le"))) - F.sum(F.when(F.col("_v") == 0, F.col("_le"))))
+                 .cast("bigint").alias("contacts_7d"))
             .withColumn("over_cap", F.col("contacts_7d") >= MAX_CONTACTS_7_DAYS))
 
 

@@ -10,6 +10,7 @@ from ..functions.numeric import lit_d, round_stable
 from ..operators import reports as R
 from ..operators import segments as SG
 from ..schema import BASIC_ACTIONS, BANDS, CHANNELS, CLUSTER_FEATURES
+from ..session import materialize
 from ..sources.portfolio import portfolio
 from . import oracle as O
 from .catalog import register
@@ -24,8 +25,11 @@ def basic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def advanced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Advanced rule scores with segments labelled from the given clusters (segment_raw)."""
-    return SG.label_segments(score_advanced(portfolio(spark, sf_dir, with_labels=False)))
+    """Advanced rule scores with segments labelled from the given clusters (segment_raw).
+
+    The scored table feeds both the cluster profile and the labelled rows, so it is materialised once.
+    """
+    return SG.label_segments(materialize(score_advanced(portfolio(spark, sf_dir, with_labels=False))))
 
 
 def m9(x: str) -> str:

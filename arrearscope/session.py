@@ -54,3 +54,13 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     except Exception:  # pragma: no cover - connect sessions have no context
         pass
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df):
+    """Write ``df`` once to the shared checkpoint folder and read it back (reliable ``checkpoint``).
+
+    Used where one derived table feeds several branches of a plan: it is computed once, and its lineage
+    is cut, so a lost executor re-reads the checkpoint instead of recomputing the joins beneath it.
+    """
+    shared_dir(df.sparkSession, "materialize")  # ensures the context checkpoint folder is the shared one
+    return df.checkpoint(eager=True)

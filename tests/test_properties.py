@@ -127,3 +127,24 @@ def test_blank_question_and_fallback_answer(spark):
     a = RT.answers(spark.createDataFrame([], "question_id string, rank int, title string, text string, score double"), kept)
     r = a.collect()[0]
     assert r.answer == RT.FALLBACK_ANSWER and r.llm is None and r.sources == [] and r.context == ""
+
+
+def test_trailing_count_matches_brute_force_at_boundaries(spark):
+    import datetime as dt
+    import random
+
+    from arrearscope.operators.compliance import contacts_trailing
+    t0 = dt.datetime(2024, 1, 10, 12, 0, 0)
+    week = dt.timedelta(days=7)
+    stamps = [t0, t0, t0 + week, t0 + week + dt.timedelta(microseconds=1), t0 + dt.timedelta(hours=3),
+              t0 - dt.timedelta(microseconds=1), t0 + 2 * week]
+    rnd = random.Random(7)
+    # user 1 is hot: most rows, spread over many hour buckets
+    rows = [(i, 1, s) for i, s in enumerate(stamps)]
+    rows += [(100 + i, 1, t0 + dt.timedelta(minutes=rnd.randrange(0, 30 * 24 * 60))) for i in range(300)]
+    rows += [(1000 + i, 2, t0 + dt.timedelta(minutes=rnd.randrange(0, 20 * 24 * 60))) for i in range(40)]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz")
+    got = {r.event_id: r.contacts_7d for r in contacts_trailing(df, bucket_seconds=3600).collect()}
+    for eid, uid, ts in rows:
+        want = sum(1 for _, u, s in rows if u == uid and ts - week <= s <= ts)
+        assert got[eid] == want, (eid, got[eid], want)
