@@ -21,5 +21,5 @@ def register(name: str, sql: str | None = None):
 def load_all() -> dict[str, tuple[Builder, str | None]]:
     # Importing the modules fills REGISTRY.
     from . import (message_queries, model_queries, ops_queries, report_queries, retrieval_queries,  # noqa: F401
-                   scoring_queries, stream_queries)
+                   rule_queries, scoring_queries, stream_queries)
     return REGISTRY

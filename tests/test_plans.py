@@ -39,3 +39,13 @@ def test_trailing_window_partitions_by_user_and_hour(spark):
     assert "_b#" in p and "hashpartitioning(user_id" in p
     # no window is keyed by the customer alone except the per-user bucket-offset prefix sum
     assert "Window [" in p
+
+
+def test_entry_imports_without_a_session():
+    import subprocess
+    import sys
+    code = ("import __spark_entry__ as E; q = E.queries(); s = E.oracle_sql(); "
+            "assert set(s) <= set(q) and len(q) >= 100")
+    r = subprocess.run([sys.executable, "-c", code], cwd=str(__import__("pathlib").Path(__file__).parents[1]),
+                       capture_output=True, text=True, timeout=120)
+    assert r.returncode == 0, r.stderr[-2000:]
