@@ -7,7 +7,6 @@ largest window partition is one bucket, not a whole label.
 """
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -86,6 +85,3 @@ def roc_auc(df: DataFrame, score: str, label: str, by: Sequence[str] = (), bucke
             .select(*by, round_stable(F.try_divide(F.col("num"), F.col("P").cast("double") * F.col("N")), 9)
                     .alias("auc"), F.col("P").alias("positives"), F.col("N").alias("negatives")))
 
-
-def _ceil(x: float) -> int:
-    return int(math.ceil(x))

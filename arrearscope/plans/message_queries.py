@@ -5,7 +5,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import messages as M
-from ..operators.retrieval import chunk_documents
 from ..schema import ACCOUNT, CHUNK
 from ..session import shared_dir
 from ..sources import io as IO
@@ -139,13 +138,11 @@ FROM portfolio"""))
 def q_request_ingest(spark, sf_dir):  # S8: payloads are the accounts as JSON; every 97th is cut short
     p = portfolio(spark, sf_dir, with_labels=False)
     js = F.to_json(F.struct(*ACCOUNT_COLS))
-    payload = F.when(F.col("c_custkey") % 97 == 0, F.expr("substring(to_json(struct(*)), 1, 40)"))
     pay = p.select(F.col("customer_id").alias("source_id"), "c_custkey", *ACCOUNT_COLS) \
         .select("source_id", F.coalesce(F.when(F.col("c_custkey") % 97 == 0,
                                                F.substring(js, 1, 40)), js).alias("payload"))
     ok, bad = request_ingest(pay)
     both = ok.withColumn("reasons", F.array().cast("array<string>")).unionByName(bad)
-    del payload
     return both.select("source_id", "parsed_ok", "customer_id", "dpd", "outstanding_amount", "preferred_channel",
                        F.size("reasons").cast("bigint").alias("n_reasons"))
 
@@ -181,5 +178,3 @@ def q_embedding_io(spark, sf_dir):  # S6
                     round_stable(F.aggregate("embedding", lit_d(0.0), lambda a, x: a + x.cast("double")), 6)
                     .alias("checksum"))
 
-
-del chunk_documents

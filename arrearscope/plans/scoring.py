@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import actions as AC
 from ..functions import features as FE
 from ..functions import scorecards as SC
-from ..functions.numeric import clip, lit_d, round_stable
+from ..functions.numeric import clip, round_stable
 
 
 def score_service(df: DataFrame, pay: Column | None = None, ptp: Column | None = None,

@@ -22,12 +22,14 @@ def build_session(master: str | None = None, cpus: int | None = None, app: str =
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.shuffle.partitions": str(max(cpus * 2, 8)),
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        "spark.driver.memory": "16g",
         # Broadcast only what is proven small; operators add explicit hints behind size checks.
         "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
     }
+    if master and master.startswith("local"):
+        # one JVM: partitions ~ 2 x cores; on a cluster keep its (large) setting and let AQE coalesce
+        conf["spark.sql.shuffle.partitions"] = str(max(cpus * 2, 8))
+        conf["spark.driver.memory"] = "16g"
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)

@@ -24,7 +24,7 @@ def test_flagship_prunes_and_pushes_down(spark):
 
 
 def test_contacts_filter_reaches_scan(spark):
-    p = plan(E.queries()["compliance_flag"](spark, SF_SMALL))
+    p = plan(E.queries()["portfolio_scan"](spark, SF_SMALL))
     assert "In(event_type, [click,error,view])" in p and "GreaterThanOrEqual(ts," in p
 
 
