@@ -68,20 +68,33 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:  # M2: n / (2 n_class
     return df.join(F.broadcast(w), label, "inner")
 
 
-def roc_auc(df: DataFrame, score: str, label: str, by: Sequence[str] = (), buckets: int = 256) -> DataFrame:  # M4
+def roc_auc(df: DataFrame, score: str, label: str, by: Sequence[str] = (),
+            rows_per_bucket: int = 100_000) -> DataFrame:  # M4
     """Exact tie-averaged AUC: sum over positives of (negatives below + half the tied negatives) / (P x N).
 
-    Rows collapse to one per distinct score first (map-side combine), then a bucketed prefix sum of
-    negatives runs over the distinct scores. Buckets are fixed-width on [0, 1] probabilities and
-    the window inside a bucket only sees distinct scores, so a pile-up of equal scores is one row.
+    Rows collapse to one per distinct score first (map-side combine), so a pile-up of equal scores is
+    one row. The distinct scores are then cut at approximate quantiles (boundaries from
+    ``percentile_approx``, about ``rows_per_bucket`` distinct scores per bucket) and a bucketed prefix
+    sum of negatives runs over them: no task holds more than one bucket, however the scores cluster.
     """
+    from pyspark import StorageLevel
+    # one row per distinct score: small next to the input, and read three times below
     d = (df.groupBy(*by, score)
-         .agg(F.count_if(F.col(label) == 1).alias("npos"), F.count_if(F.col(label) != 1).alias("nneg")))
-    bkt = F.least(F.greatest(F.floor(F.col(score) * buckets), F.lit(0)), F.lit(buckets - 1))
-    c = cumulative_before(d, list(by), bkt, [F.col(score)], F.col("nneg"))
+         .agg(F.count_if(F.col(label) == 1).alias("npos"), F.count_if(F.col(label) != 1).alias("nneg"))
+         .persist(StorageLevel.MEMORY_AND_DISK))
+    n_distinct = d.count()
+    buckets = max(1, min(10_000, -(-n_distinct // rows_per_bucket)))
+    if buckets == 1:
+        bkt = F.lit(0)
+        c = cumulative_before(d, list(by), bkt, [F.col(score)], F.col("nneg"))
+    else:
+        probs = [i / buckets for i in range(1, buckets)]
+        bounds = d.agg(F.percentile_approx(F.col(score).cast("double"), probs, 10_000).alias("b")).scalar()
+        d = d.withColumn("_bounds", bounds)
+        bkt = F.size(F.filter("_bounds", lambda b: b <= F.col(score)))  # monotone in the score
+        c = cumulative_before(d, list(by), bkt, [F.col(score)], F.col("nneg")).drop("_bounds")
     return (c.groupBy(*by)
             .agg(F.sum(F.col("npos") * (F.col("_before") + lit_d(0.5) * F.col("nneg"))).alias("num"),
                  F.sum("npos").alias("P"), F.sum("nneg").alias("N"))
             .select(*by, round_stable(F.try_divide(F.col("num"), F.col("P").cast("double") * F.col("N")), 9)
                     .alias("auc"), F.col("P").alias("positives"), F.col("N").alias("negatives")))
-

@@ -199,8 +199,10 @@ SELECT '{target}' AS target, {O.rs('num / (CAST(P AS DOUBLE) * N)', 9)} AS auc,
     _auc_sql("recovery_probability", "recovery_success", "recovery_success")])))
 def q_roc_auc(spark, sf_dir):  # M4 on the service scorecard vs the drawn labels
     s = score_service(portfolio(spark, sf_dir))
-    parts = [s.select(F.lit(t).alias("target"), F.col(sc).alias("score"), F.col(t).alias("label"))
-             for sc, t in [("payment_probability_30d", "will_pay"), ("ptp_probability", "ptp_kept"),
-                           ("recovery_probability", "recovery_success")]]
-    u = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    pairs = [("payment_probability_30d", "will_pay"), ("ptp_probability", "ptp_kept"),
+             ("recovery_probability", "recovery_success")]
+    # one pass over the scored portfolio: each row fans out to its three (target, score, label) pairs
+    u = s.select(F.explode(F.array(*[F.struct(F.lit(t).alias("target"), F.col(sc).alias("score"),
+                                               F.col(t).alias("label")) for sc, t in pairs])).alias("p")) \
+        .select("p.target", "p.score", "p.label")
     return X.roc_auc(u, "score", "label", by=["target"])

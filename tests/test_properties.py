@@ -148,3 +148,17 @@ def test_trailing_count_matches_brute_force_at_boundaries(spark):
     for eid, uid, ts in rows:
         want = sum(1 for _, u, s in rows if u == uid and ts - week <= s <= ts)
         assert got[eid] == want, (eid, got[eid], want)
+
+
+def test_auc_quantile_buckets_equal_single_bucket(spark):
+    import random
+    rnd = random.Random(3)
+    rows = [(0.5 + rnd.random() * 1e-3, int(rnd.random() < 0.4)) for _ in range(3000)]  # clustered scores
+    rows += [(0.5004, 1), (0.5004, 0), (0.5004, 0)]  # ties
+    df = spark.createDataFrame(rows, "s double, y int")
+    one = roc_auc(df, "s", "y").collect()[0].auc
+    many = roc_auc(df, "s", "y", rows_per_bucket=100).collect()[0].auc
+    pos = [s for s, y in rows if y == 1]
+    neg = [s for s, y in rows if y == 0]
+    brute = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
+    assert one == many == pytest.approx(brute, abs=1e-9)
