@@ -46,7 +46,10 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = spark.sparkContext.getCheckpointDir()
+        try:
+            root = spark.sparkContext.getCheckpointDir()
+        except Exception:  # pragma: no cover - sessions without a local SparkContext
+            root = None
     if not root:
         root = tempfile.mkdtemp(prefix="arrearscope-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
