@@ -22,6 +22,19 @@ from pyspark.sql import functions as F
 from ..session import shared_dir
 from .splits import class_weights, roc_auc, stratified_split
 
+FIT_THREADS = 4  # independent fits are submitted as concurrent Spark jobs
+
+
+def fit_all(fn, items, threads: int = FIT_THREADS) -> list:
+    """Run independent fits concurrently from driver threads; results keep the order of ``items``."""
+    from concurrent.futures import ThreadPoolExecutor
+    items = list(items)
+    if len(items) <= 1 or threads <= 1:
+        return [fn(x) for x in items]
+    with ThreadPoolExecutor(max_workers=min(threads, len(items))) as ex:
+        return list(ex.map(fn, items))
+
+
 RF = dict(numTrees=250, maxDepth=10, minInstancesPerNode=5, seed=42)
 GBT = dict(maxIter=200, maxDepth=3, stepSize=0.08, seed=42)
 UPLIFT_RF = dict(numTrees=300, maxDepth=6, seed=42)
@@ -72,39 +85,42 @@ def split_train_test(df: DataFrame, label: str, share: float, seed: int = 42) ->
 
 def train_forests(df: DataFrame, features: Sequence[str], targets: Sequence[str], **kw) -> tuple[dict, DataFrame]:
     """M1 + M2 + M4: per target a balanced-weight forest on an 80/20 stratified split; test AUC."""
-    models, rows = {}, []
-    for t in targets:
+    def one(t):
         train, test = split_train_test(df.select("customer_id", *features, t), t, 0.2)
         m = fit_forest(class_weights(train, t).withColumnRenamed("weight", "w"), features, t, "w", **kw)
-        models[t] = m
         auc = roc_auc(p1(m.transform(test), "score").select("score", F.col(t).alias("label")), "score", "label")
-        rows.append(auc.select(F.lit(t).alias("target"), "auc", "positives", "negatives"))
-    out = rows[0]
-    for r in rows[1:]:
+        return m, auc.select(F.lit(t).alias("target"), "auc", "positives", "negatives")
+
+    fitted = fit_all(one, targets)
+    models = {t: m for t, (m, _) in zip(targets, fitted)}
+    out = fitted[0][1]
+    for _, r in fitted[1:]:
         out = out.unionByName(r)
     return models, out
 
 
 def train_gbts(df: DataFrame, features: Sequence[str], targets: Sequence[str], **kw) -> tuple[dict, dict, DataFrame]:
     """M3 + M4: per target a GBT on a 75/25 stratified split; returns models, test splits, AUC table."""
-    models, tests, rows = {}, {}, []
-    for t in targets:
+    def one(t):
         train, test = split_train_test(df.select("customer_id", *features, t), t, 0.25)
         m = fit_gbt(train, features, t, **kw)
-        models[t], tests[t] = m, test
         auc = roc_auc(p1(m.transform(test), "score").select("score", F.col(t).alias("label")), "score", "label")
-        rows.append(auc.select(F.lit(t).alias("target"), "auc", "positives", "negatives"))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
+        return m, test, auc.select(F.lit(t).alias("target"), "auc", "positives", "negatives")
+
+    fitted = fit_all(one, targets)
+    models = {t: f[0] for t, f in zip(targets, fitted)}
+    tests = {t: f[1] for t, f in zip(targets, fitted)}
+    out = fitted[0][2]
+    for f in fitted[1:]:
+        out = out.unionByName(f[2])
     return models, tests, out
 
 
 def train_uplift(df: DataFrame, features: Sequence[str], label: str, **kw):  # M6: T-learner
     treated = sized(df.where(F.col("treatment") == 1)).persist(StorageLevel.MEMORY_AND_DISK)
     control = sized(df.where(F.col("treatment") == 0)).persist(StorageLevel.MEMORY_AND_DISK)
-    return (fit_forest(treated, features, label, **({**UPLIFT_RF, **kw})),
-            fit_forest(control, features, label, **({**UPLIFT_RF, **kw})))
+    mt, mc = fit_all(lambda d: fit_forest(d, features, label, **({**UPLIFT_RF, **kw})), [treated, control])
+    return mt, mc
 
 
 def uplift_scores(df: DataFrame, m_treated, m_control) -> DataFrame:  # M7
@@ -163,12 +179,13 @@ def kmeans_segments(df: DataFrame, features: Sequence[str], k: int = 4, restarts
     from .segments import standardize
     z = standardize(df.select("customer_id", *features), features, keep=["customer_id"])
     z = sized(assembler(features).transform(z)).persist(StorageLevel.MEMORY_AND_DISK)
-    best = None
-    for s in range(seed, seed + restarts):
-        m = KMeans(k=k, seed=s, featuresCol="features", predictionCol="segment_raw").fit(z)
-        cost = m.summary.trainingCost
-        if best is None or cost < best[0]:
-            best = (cost, m)
+    def one(sd):
+        m = KMeans(k=k, seed=sd, featuresCol="features", predictionCol="segment_raw").fit(z)
+        return m.summary.trainingCost, sd, m
+
+    # lowest cost wins; equal costs -> lowest seed (deterministic whatever the thread timing)
+    cost, _, model = min(fit_all(one, range(seed, seed + restarts)), key=lambda x: (x[0], x[1]))
+    best = (cost, model)
     pred = best[1].transform(z).select("customer_id", F.col("segment_raw").cast("int"))
     return best[1], best[0], pred
 
