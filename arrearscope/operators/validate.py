@@ -29,6 +29,14 @@ def rules() -> list[tuple[str, Column]]:
     return out
 
 
+def is_valid() -> Column:
+    """True when no rule fails: a plain boolean (stays inside whole-stage codegen, unlike the array)."""
+    bad = F.lit(False)
+    for _, b in rules():
+        bad = bad | b
+    return ~bad
+
+
 def with_reasons(df: DataFrame) -> DataFrame:
     arr = F.array(*[F.when(bad, F.lit(reason)) for reason, bad in rules()])
     return df.withColumn("reasons", F.filter(arr, lambda x: x.isNotNull()))

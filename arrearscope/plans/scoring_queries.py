@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.validate import with_reasons
+from ..operators.validate import is_valid, with_reasons
 from ..schema import ACCOUNT_COLUMNS
 from ..sources.portfolio import portfolio
 from . import oracle as O
@@ -18,7 +18,7 @@ PORTFOLIO_COLS = ACCOUNT_COLUMNS + ["contacts_last_7_days", "treatment", "will_p
 
 def flagship(spark: SparkSession, sf_dir: str, k: int = 50) -> DataFrame:
     """S1 -> P1 -> F1-F7 -> F10 -> F13 -> F16 -> F18 -> L1: the k accounts to work first."""
-    valid = with_reasons(portfolio(spark, sf_dir, with_labels=False)).where(F.size("reasons") == 0)
+    valid = portfolio(spark, sf_dir, with_labels=False).where(is_valid())
     s = score_service(valid)
     return (s.orderBy(F.col("collection_priority_score").desc(), F.col("customer_id"))
             .limit(k)
