@@ -23,7 +23,11 @@ _CACHE: dict = {}  # S10: one fit per (session, scale), reused by every report,
 
 
 def _key(spark: SparkSession, sf_dir: str, what: str):
-    return (id(spark), sf_dir, what)
+    try:
+        app = spark.sparkContext.applicationId  # a restarted session never reuses a stale fit
+    except Exception:  # pragma: no cover
+        app = id(spark)
+    return (app, sf_dir, what)
 
 
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
