@@ -93,6 +93,11 @@ PICK_SCHEMA = T.StructType([T.StructField("customer_id", T.StringType()),
                             T.StructField("draws", T.ArrayType(T.DoubleType()))])
 
 
+def reset(post: DataFrame) -> DataFrame:  # B6: forget every outcome; same (segment, channel) rows
+    return post.select("segment", "channel", "channel_order").distinct() \
+        .withColumns({"alpha": lit_d(1.0), "beta": lit_d(1.0), "bandit_rounds": F.lit(0).cast("bigint")})
+
+
 def thompson_pick(accounts: DataFrame, post: DataFrame, seed: int = 42) -> DataFrame:  # B4
     """One Beta draw per channel per account; the argmax channel and the draws.
 

@@ -145,6 +145,12 @@ def q_bandit_rounds(spark, sf_dir):  # B5
     return B.rounds(B.outcome_log(table(spark, sf_dir, "events")))
 
 
+@register("bandit_reset", bandit_sql(
+    "SELECT segment, channel, 1.0e0 AS alpha, 1.0e0 AS beta, CAST(0 AS BIGINT) AS bandit_rounds FROM posterior"))
+def q_bandit_reset(spark, sf_dir):  # B6: the learned posterior returned to Beta(1, 1)
+    return B.reset(_posterior(spark, sf_dir)[1]).select("segment", "channel", "alpha", "beta", "bandit_rounds")
+
+
 @register("thompson_pick")  # B4: random draws -> rows-only check (property tests in tests/)
 def q_thompson(spark, sf_dir):
     acc, post = _posterior(spark, sf_dir)
