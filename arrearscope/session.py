@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -41,8 +42,9 @@ def build_session(master: str | None = None, cpus: int | None = None, app: str =
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh sub-folder under the cluster's shared checkpoint folder.
 
-    The folder comes from ``spark.checkpoint.dir`` (or the context's checkpoint dir). Only when
-    neither is set -- local tests -- a private temp folder is created and registered.
+    The folder comes from ``spark.checkpoint.dir`` (or the context's checkpoint dir). Only a local
+    master, whose tasks share the driver's disk, gets a private temp folder when neither is set;
+    a cluster without a shared folder is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
@@ -51,6 +53,8 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
         except Exception:  # pragma: no cover - sessions without a local SparkContext
             root = None
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "local")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="arrearscope-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
     try:

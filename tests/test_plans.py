@@ -2,6 +2,7 @@
 import pytest
 
 import __spark_entry__ as E
+from arrearscope.plans.catalog import load_all
 from conftest import SF_SMALL
 
 SKIP = {"thompson_pick", "train_forests", "train_gbt", "score_portfolio", "train_uplift", "uplift_score",
@@ -28,7 +29,7 @@ def test_contacts_filter_reaches_scan(spark):
     assert "In(event_type, [click,error,view])" in p and "GreaterThanOrEqual(ts," in p
 
 
-@pytest.mark.parametrize("key", sorted(k for k in E.queries() if k not in SKIP and not k.startswith("stream_")))
+@pytest.mark.parametrize("key", sorted(k for k in load_all() if k not in SKIP and not k.startswith("stream_")))
 def test_no_cartesian_products(spark, key):
     p = plan(E.queries()[key](spark, SF_SMALL))
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p, key
