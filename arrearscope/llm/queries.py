@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, pieces, sharding
+from . import fingerprints, licenses, packing, pieces, quality, sharding
 from .common import table
 
 #: Vocabulary files; override to run with others.
@@ -16,6 +16,14 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(table(spark, sf_dir, "documents"), PIECE_MODEL)
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_documents(table(spark, sf_dir, "documents"))
+
+
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"), shards=8)
 
@@ -24,8 +32,15 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.token_pieces(table(spark, sf_dir, "documents"), WORD_TOKENIZER, 2048), 2048)
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_sentencepiece": (op1_sentencepiece, None),
+    "op2_licenses": (op2_licenses, None),
+    "op5_fingerprints": (op5_fingerprints, None),
     "op7_sharding": (op7_sharding, None),
     "op9_packing": (op9_packing, None),
+    "op10_quality": (op10_quality, quality.oracle_sql()),
 }
