@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, licenses, packing, pieces, quality, sharding
+from . import fingerprints, licenses, packing, pieces, quality, sharding, urlfilter
 from .common import table
 
 #: Vocabulary files; override to run with others.
@@ -20,6 +20,10 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge_pages(table(spark, sf_dir, "pages"))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
 
@@ -39,6 +43,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sentencepiece": (op1_sentencepiece, None),
     "op2_licenses": (op2_licenses, None),
+    "op3_urls": (op3_urls, urlfilter.oracle_sql()),
     "op5_fingerprints": (op5_fingerprints, None),
     "op7_sharding": (op7_sharding, None),
     "op9_packing": (op9_packing, None),
