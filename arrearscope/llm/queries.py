@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, licenses, packing, pieces, quality, sharding, urlfilter
+from . import fingerprints, licenses, neardup, packing, pieces, quality, sharding, urlfilter
 from .common import table
 
 #: Vocabulary files; override to run with others.
@@ -24,6 +24,10 @@ def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_pages(table(spark, sf_dir, "pages"))
 
 
+def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents"))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,7 @@ QUERIES = {
     "op1_sentencepiece": (op1_sentencepiece, None),
     "op2_licenses": (op2_licenses, None),
     "op3_urls": (op3_urls, urlfilter.oracle_sql()),
+    "op4_neardup": (op4_neardup, None),
     "op5_fingerprints": (op5_fingerprints, None),
     "op7_sharding": (op7_sharding, None),
     "op9_packing": (op9_packing, None),
