@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, licenses, neardup, packing, pieces, quality, sharding, urlfilter
+from . import fingerprints, licenses, linededup, neardup, packing, pieces, quality, sharding, urlfilter
 from .common import table
 
 #: Vocabulary files; override to run with others.
@@ -36,6 +36,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op8_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_report(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.token_pieces(table(spark, sf_dir, "documents"), WORD_TOKENIZER, 2048), 2048)
 
@@ -51,6 +55,7 @@ QUERIES = {
     "op4_neardup": (op4_neardup, None),
     "op5_fingerprints": (op5_fingerprints, None),
     "op7_sharding": (op7_sharding, None),
+    "op8_linededup": (op8_linededup, None),
     "op9_packing": (op9_packing, None),
     "op10_quality": (op10_quality, quality.oracle_sql()),
 }
