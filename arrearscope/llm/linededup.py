@@ -2,10 +2,15 @@
 
 Lines are compared after trimming, lower-casing and joining white space; blank lines take no part and stay.
 
-Signature. The set of a line's ``SHINGLE``-character shingles is hashed; the hash range is cut into ``BANDS * ROWS``
-equal bins and the smallest hash of each bin is a MinHash value (one permutation, binned). The minima of ``ROWS``
-neighbouring bins make a band key. A line shorter than a shingle is one shingle. At similarity 0.8 two lines share one
-of the bands with probability 0.997.
+Shingles. A line's shingles are ``SHINGLE`` characters long and taken at every word start and every ``STEP`` characters
+within a word, across following words, so that every character lies in one and an edit moves no other anchor.
+
+Signature. The shingles are hashed; the hash range is cut into 32 equal bins and the smallest hash of each
+bin is a MinHash value (one permutation, binned). The minima of three neighbouring bins make a band key, the fourth is
+left out: eight bands of three rows. At similarity 0.8 two lines share one of the bands with probability 0.997. Lines of
+fewer than 80 shingles leave too many bins empty for that: their band keys are the pairs of their five smallest hashes
+(probability 0.99), and all their hashes if they have fewer than four, where only equal sets reach 0.8. Between 64 and 80
+shingles a line has both kinds of keys, so that no pair falls between them.
 
 Search. Lines that share a band key are candidates; in each bucket every line is first compared with the smallest, then, in
 buckets left with several components, with the largest, and at last every line outside a bucket's main component with
@@ -31,23 +36,18 @@ from .common import no_text, stored
 from .components import components
 from .quality import normal_line
 
-SHINGLE, TENTHS = 8, 8  # characters; similarity in tenths
-BANDS, ROWS = 8, 3
+SHINGLE, STEP, TENTHS = 8, 4, 8  # characters, characters, similarity in tenths
+ANCHORS = f"(?s) ?(?=(.{{1,{SHINGLE}}}))[^ ]{{1,{STEP}}}"
+BANDS = 8
+#: Lines of at least FULL shingles use bands, lines below SPARSE pairs.
+FULL, SPARSE = 64, 80
 #: Most bits of a membership filter (4 MB).
 BITS = 1 << 25
 
 
 def shingle_hashes(line: Column) -> Column:
-    """Hashes of a line's shingles (with repeats). UTF-16 units, for constant-time slices."""
-    units = F.encode(line, "UTF-16BE")
-    n = (F.octet_length(units) / 2).cast("int")
-    return F.when(n <= SHINGLE, F.array(F.xxhash64(units))).otherwise(
-        F.transform(F.sequence(F.lit(0), n - SHINGLE), lambda i: F.xxhash64(F.substring(units, 2 * i + 1, F.lit(2 * SHINGLE)))))
-
-
-def scaled(x: Column, parts: int) -> Column:
-    """The part (0 .. parts-1) of the 64-bit range that a hash falls into; neighbours in order stay neighbours."""
-    return F.shiftrightunsigned(F.shiftrightunsigned(x, 32) * parts, 32)
+    """Hashes of a normalised line's shingles (with repeats)."""
+    return F.transform(F.regexp_extract_all(line, F.lit(ANCHORS), F.lit(1)), lambda x: F.xxhash64(x))
 
 
 def line_hash(line: Column) -> Column:
@@ -58,14 +58,25 @@ def occurrences(docs: DataFrame) -> DataFrame:
     """doc_id, doc (identity), pos, line (hash of the normalised line) and band keys of every non-blank line."""
     text = no_text("text")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("doc"),
-                       F.posexplode(F.split(text, "\n")).alias("pos", "raw"))
-    rows = rows.withColumn("norm", normal_line(F.col("raw"))).filter("norm <> ''")
-    rows = rows.select("doc_id", "doc", "pos", line_hash(F.col("norm")).alias("line"), F.sort_array(shingle_hashes(F.col("norm"))).alias("h"))
-    h, bins = F.col("h"), BANDS * ROWS
-    rows = rows.withColumn("low", F.filter(h, lambda x, i: (i == 0) | (scaled(x, bins) != scaled(F.get(h, i - 1), bins)))).drop("h")
+                       # normalised inside the generator, so that each line is normalised once
+                       F.posexplode(F.transform(F.split(text, "\n"), normal_line)).alias("pos", "norm")).filter("norm <> ''")
+    rows = rows.select("doc_id", "doc", "pos", line_hash(F.col("norm")).alias("line"), F.sort_array(F.array_distinct(shingle_hashes(F.col("norm")))).alias("h"))
+    h = F.col("h")
+    rows = rows.withColumn("n", F.size("h")).withColumn("few", F.slice("h", 1, 5))
+    bin_of = lambda x: F.shiftrightunsigned(x, 59)
+    rows = rows.withColumn("low", F.filter(h, lambda x, i: (i == 0) | (bin_of(x) != bin_of(F.get(h, i - 1))))).drop("h")
+    used = F.filter("low", lambda x: bin_of(x).bitwiseAND(F.lit(3)) < 3)
+    rows = rows.withColumn("low", used)
     low = F.col("low")
-    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.filter(low, lambda x: scaled(x, BANDS) == b))
-    return rows.select("doc_id", "doc", "pos", "line", F.transform(F.filter(keys, lambda k: F.size(k) > 0), lambda k: F.xxhash64(k)).alias("bands"))
+    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.filter(low, lambda x: F.shiftrightunsigned(x, 61) == b))
+    n = F.col("n")
+    wide = F.when(n >= FULL, F.filter(keys, lambda k: F.size(k) > 0))
+    duo = [F.array(F.get("few", F.lit(i)), F.get("few", F.lit(j))) for i in range(5) for j in range(i + 1, 5)]
+    pairs = F.filter(F.array(*duo), lambda k: F.get(k, F.lit(1)).isNotNull())
+    narrow = F.when(n < 4, F.array("few")).when(n < SPARSE, pairs)
+    none = F.array().cast("array<array<bigint>>")
+    return rows.select("doc_id", "doc", "pos", "line", F.transform(
+        F.concat(F.coalesce(wide, none), F.coalesce(narrow, none)), lambda k: F.xxhash64(k)).alias("bands"))
 
 
 def may_hold(keys: DataFrame, name: str, n: int):
@@ -110,8 +121,8 @@ def line_components(docs: DataFrame, occ: DataFrame) -> DataFrame:
     wanted = stored(members.select("line").distinct(), "line-wanted")
     maybe_line = may_hold(wanted, "line", wanted.count())
     text = no_text("text")
-    norm = docs.select(F.explode(F.split(text, "\n")).alias("raw")).select(normal_line(F.col("raw")).alias("norm")).filter("norm <> ''")
-    norm = norm.select("norm", line_hash(F.col("norm")).alias("line")).filter(maybe_line(F.col("line")))
+    norms = F.transform(F.transform(F.split(text, "\n"), normal_line), lambda x: F.struct(x.alias("norm"), line_hash(x).alias("line")))
+    norm = docs.select(F.explode(norms).alias("x")).select("x.norm", "x.line").filter((F.col("norm") != "") & maybe_line(F.col("line")))
     lines = stored(norm.groupBy("line").agg(F.first("norm").alias("norm")).join(wanted, "line", "left_semi")
                    .withColumn("n", F.size(F.array_distinct(shingle_hashes(F.col("norm"))))), "line-texts")
 
