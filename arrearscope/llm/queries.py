@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, licenses, linededup, neardup, packing, pieces, quality, sharding, urlfilter
+from . import fingerprints, htmltext, licenses, linededup, neardup, packing, pieces, quality, sharding, urlfilter
 from .common import table
 
 #: Vocabulary files; override to run with others.
@@ -32,6 +32,10 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.main_text(table(spark, sf_dir, "pages"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"), shards=8)
 
@@ -54,6 +58,7 @@ QUERIES = {
     "op3_urls": (op3_urls, urlfilter.oracle_sql()),
     "op4_neardup": (op4_neardup, None),
     "op5_fingerprints": (op5_fingerprints, None),
+    "op6_html": (op6_html, None),
     "op7_sharding": (op7_sharding, None),
     "op8_linededup": (op8_linededup, None),
     "op9_packing": (op9_packing, None),
