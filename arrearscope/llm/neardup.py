@@ -25,7 +25,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import no_text, stored
@@ -257,6 +257,20 @@ def block_pairs(mixed_members: DataFrame, sigs: DataFrame, least: float, few: in
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id, class_size, n_links, keep of every document (n_links: verified links of its text)."""
+    return _classes(docs, threshold).drop("h")
+
+
+def kept_documents(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """One document of every class, in the table's own columns: the one with the smallest doc_id."""
+    name = lambda h: F.xxhash64(F.col("doc_id").cast("long"), h)
+    keepers = _classes(docs, threshold).filter("keep").select(name(F.col("h")).alias("_name"))
+    rows = docs.withColumn("_name", name(F.xxhash64(no_text("text")))).join(keepers, "_name", "left_semi")
+    # rows equal in doc_id and text have one name; one of them stays
+    first = Window.partitionBy("_name").orderBy("_name")
+    return rows.withColumn("_copy", F.row_number().over(first)).filter("_copy = 1").select(*docs.columns)
+
+
+def _classes(docs: DataFrame, threshold: float) -> DataFrame:
     signed = stored(signed_documents(docs).withColumn("row", F.monotonically_increasing_id()), "near-signed")
     same = ["h", "g", "chars"]
     exact = stored(signed.groupBy(*same).agg(F.min("row").alias("node")), "near-exact")
@@ -289,7 +303,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
               .groupBy("node").agg(F.count("*").alias("n_links")))
     texts = (exact.join(roots, "node", "left").join(degree, "node", "left")
              .select(*same, F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
-    rows = stored(signed.select("doc_id", "row", *same).join(texts, same).select("doc_id", "row", "root", "n_links"), "near-rows")
+    rows = stored(signed.select("doc_id", "row", *same).join(texts, same).select("doc_id", "row", "root", "n_links", "h"), "near-rows")
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"), F.count("*").alias("class_size"))
     return (rows.join(first, "root")
-            .select("doc_id", F.col("first.doc_id").alias("class_id"), "class_size", "n_links", (F.col("row") == F.col("first.row")).alias("keep")))
+            .select("doc_id", F.col("first.doc_id").alias("class_id"), "class_size", "n_links", (F.col("row") == F.col("first.row")).alias("keep"), "h"))
