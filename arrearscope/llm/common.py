@@ -31,3 +31,16 @@ def pieces_of(text: str, limit: int):
 def no_text(column: str):
     """The text column with null read as the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+def as_record(docs: DataFrame):
+    """All columns of a table as one struct, so that helper columns beside it can't clash with them."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def with_text(record, text, docs: DataFrame):
+    """The record with another text, and its length in ``n_chars`` where the table has that column."""
+    record = record.withField("text", text)
+    if "n_chars" in docs.columns:
+        record = record.withField("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
+    return record

@@ -32,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import no_text, stored
+from .common import as_record, no_text, stored, with_text
 from .components import components
 from .quality import normal_line
 
@@ -159,30 +159,25 @@ def kept_positions(docs: DataFrame) -> DataFrame:
 
 def dedup_documents(docs: DataFrame) -> DataFrame:
     """The documents in their own columns, without lines that another kept line repeats."""
-    return _shortened(docs).select(*docs.columns)
+    rows, record = _shortened(docs), F.col("record")
+    return rows.select(F.when(F.col("kept") == F.col("n"), record).otherwise(with_text(record, F.col("left"), docs)).alias("record")).select("record.*")
 
 
 def _shortened(docs: DataFrame) -> DataFrame:
-    """The documents with new texts, and _n (non-blank lines) and _kept."""
+    """record (the document), n (its non-blank lines), kept (how many of them stay) and left (the text that stays)."""
     text = no_text("text")
-    kept = kept_positions(docs).withColumnsRenamed({"doc": "_doc", "places": "_places"})
-    rows = docs.withColumn("_doc", F.xxhash64(F.col("doc_id").cast("long"), text)).join(kept, "_doc", "left")
-    rows = rows.withColumn("_lines", F.split(text, "\n"))
-    lines, places = F.col("_lines"), F.col("_places")
-    blank = F.filter(F.transform(lines, lambda x, i: F.when(normal_line(x) == "", i)), lambda i: i.isNotNull())
-    rows = rows.withColumn("_blank", blank)
-    # nothing but blank lines in the text: it stays; all other lines lost: empty
-    rows = rows.withColumn("_n", F.size("_lines") - F.size("_blank")).withColumn("_kept", F.coalesce(F.size("_places"), F.lit(0)))
-    shorter = F.array_join(F.transform(F.sort_array(F.concat("_places", "_blank")), lambda p: F.get(lines, p)), "\n")
-    rows = rows.withColumn("text", F.when(F.col("_kept") == F.col("_n"), F.col("text")).when(places.isNull(), F.lit("")).otherwise(shorter))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_kept") == F.col("_n"), F.col("n_chars"))
-                               .otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return rows
+    rows = docs.select(as_record(docs).alias("record"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("doc"))
+    rows = rows.join(kept_positions(docs), "doc", "left").withColumn("lines", F.split(no_text("record.text"), "\n"))
+    lines = F.col("lines")
+    rows = rows.withColumn("blank", F.filter(F.transform(lines, lambda x, i: F.when(normal_line(x) == "", i)), lambda i: i.isNotNull()))
+    rows = rows.withColumn("n", F.size("lines") - F.size("blank")).withColumn("kept", F.coalesce(F.size("places"), F.lit(0)))
+    shorter = F.array_join(F.transform(F.sort_array(F.concat("places", "blank")), lambda p: F.get(lines, p)), "\n")
+    return rows.select("record", "n", "kept", F.when(F.col("kept") == F.col("n"), F.col("record.text"))
+                       .when(F.col("places").isNull(), F.lit("")).otherwise(shorter).alias("left"))
 
 
 def dedup_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines (non-blank), n_removed and the text that is left, for every document."""
     return _shortened(docs.select("doc_id", "text")).select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("_n").cast("long").alias("n_lines"),
-        (F.col("_n") - F.col("_kept")).cast("long").alias("n_removed"), "text")
+        F.col("record.doc_id").cast("long").alias("doc_id"), F.col("n").cast("long").alias("n_lines"),
+        (F.col("n") - F.col("kept")).cast("long").alias("n_removed"), F.col("left").alias("text"))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import no_text, stored
+from .common import as_record, no_text, stored
 from .components import components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -263,11 +263,11 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def kept_documents(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One document of every class, in the table's own columns: the one with the smallest doc_id."""
     name = lambda h: F.xxhash64(F.col("doc_id").cast("long"), h)
-    keepers = _classes(docs, threshold).filter("keep").select(name(F.col("h")).alias("_name"))
-    rows = docs.withColumn("_name", name(F.xxhash64(no_text("text")))).join(keepers, "_name", "left_semi")
+    keepers = _classes(docs, threshold).filter("keep").select(name(F.col("h")).alias("name"))
+    rows = docs.select(as_record(docs).alias("record"), name(F.xxhash64(no_text("text"))).alias("name")).join(keepers, "name", "left_semi")
     # rows equal in doc_id and text have one name; one of them stays
-    first = Window.partitionBy("_name").orderBy("_name")
-    return rows.withColumn("_copy", F.row_number().over(first)).filter("_copy = 1").select(*docs.columns)
+    first = Window.partitionBy("name").orderBy("name")
+    return rows.withColumn("copy", F.row_number().over(first)).filter("copy = 1").select("record.*")
 
 
 def _classes(docs: DataFrame, threshold: float) -> DataFrame:

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import no_text, stored
+from .common import as_record, no_text, stored, with_text
 
 #: White space and symbol characters of the base rules.
 BLANK = " \t\n\x0b\f\r"
@@ -117,20 +117,16 @@ def kept_documents(docs: DataFrame, share: float = 0.1, least: int = 20, min_wor
     Only rejected or changed rows are joined back.
     """
     found = verdicts(stored(profile(docs), "quality-profile"), share, least, min_words, min_left)
-    name = F.xxhash64("doc_id", "text_hash", "host").alias("_key")
-    changed = (found.filter(~F.col("kept") | (F.col("removed_lines") > 0))
-               .select(name, F.col("text_hash").alias("_text"), F.col("kept").alias("_kept"), F.col("removed").alias("_removed"))
-               .dropDuplicates(["_key", "_text"]))
-    text = no_text("text")
-    host = F.coalesce(F.col("source").cast("string"), F.lit(""))
-    rows = (docs.withColumn("_text", F.xxhash64(text)).withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), "_text", host))
-            .join(changed, ["_key", "_text"], "left").filter(F.coalesce("_kept", F.lit(True))))
-    shorter = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains("_removed", F.xxhash64(normal_line(x)))), "\n")
-    rows = rows.withColumn("text", F.when(F.col("_removed").isNull(), F.col("text")).otherwise(shorter))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_removed").isNull(), F.col("n_chars"))
-                               .otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return rows.select(*docs.columns)
+    name = F.xxhash64("doc_id", "text_hash", "host").alias("key")
+    changed = (found.filter(~F.col("kept") | (F.col("removed_lines") > 0)).select(name, "text_hash", "kept", "removed")
+               .dropDuplicates(["key", "text_hash"]))
+    text, host = no_text("text"), F.coalesce(F.col("source").cast("string"), F.lit(""))
+    rows = (docs.select(as_record(docs).alias("record"), F.xxhash64(text).alias("text_hash"),
+                        F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64(text), host).alias("key"))
+            .join(changed, ["key", "text_hash"], "left").filter(F.coalesce("kept", F.lit(True))))
+    shorter = F.array_join(F.filter(F.split("record.text", "\n"), lambda x: ~F.array_contains("removed", F.xxhash64(normal_line(x)))), "\n")
+    record = F.col("record")
+    return rows.select(F.when(F.col("removed").isNull(), record).otherwise(with_text(record, shorter, docs)).alias("record")).select("record.*")
 
 
 def oracle_sql(share: float = 0.1, least: int = 20, min_words: int = MIN_WORDS, min_left: float = 0.2) -> str:

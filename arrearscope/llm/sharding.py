@@ -4,10 +4,11 @@ Method. A partial partition is a vector of part sums. Differencing repeatedly ta
 partitions with the largest spread (largest minus smallest part) and adds them in opposite order, so the
 large part of one meets the small part of the other; the last vector left is the partition.
 
-Scale. Groups (equal texts) are hashed into blocks of bounded size. In a block every group above
-``total / heavy`` stays an item of its own (there are at most ``heavy`` of them in the whole table); the
-others are differenced into ``bundles`` even bundles, which are the items of the next level. Levels repeat
-until at most ``block`` light items are left; these and the heavy ones are differenced into the shards.
+Scale. Groups (equal texts) are hashed into blocks of bounded size. Let the bar be the total weight / ``heavy``. In a block every
+group above the bar stays an item of its own (there are at most ``heavy`` of them in the whole table); the others are
+differenced into bundles of about the bar's weight, which are the items of the next level, and ``change``
+groups of the block, evenly spread over its weights, go up unbundled: small change for the last differencing steps. Levels repeat until at most ``block``
+items are left; these are differenced into the shards.
 No task ever holds more than about ``block`` items, and nothing is sent to the driver but counts.
 
 Edge cases. Null text counts as the empty text (size 1); repeated rows form one group and share a shard;
@@ -49,7 +50,7 @@ def difference(weights, parts: int) -> np.ndarray:
         merged = sums[a] + sums[b][::-1]
         order = np.argsort(-merged, kind="stable")
         sums[node] = merged[order]
-        kids[node] = (a, b, order)
+        kids[node] = (a, b, order.astype(np.int32))
         sums[a] = sums[b] = None
         heapq.heappush(heap, (-int(sums[node][0] - sums[node][-1]), node))
     # place[node][p]: final part of the node's p-th part
@@ -73,7 +74,7 @@ def digest(docs: DataFrame) -> DataFrame:
                        F.crc32(text).alias("crc"), F.xxhash64(text).alias("h"))
 
 
-def assign_groups(groups: DataFrame, shards: int, block: int = 4096, bundles: int = 64, heavy: int = 2048) -> DataFrame:
+def assign_groups(groups: DataFrame, shards: int, block: int = 4096, heavy: int = 1024, change: int = 64) -> DataFrame:
     """(key, weight) -> (key, shard): every item of ``groups`` in the shard that differencing gives it.
 
     ``key`` is a long that names the item; ``weight`` a long. Levels of bundles are joined back top-down.
@@ -88,10 +89,16 @@ def assign_groups(groups: DataFrame, shards: int, block: int = 4096, bundles: in
 
     def bundle(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["weight", "key"], ascending=[False, True], kind="stable").reset_index(drop=True)
-        k = min(bundles, len(pdf))
-        label = difference(pdf["weight"].to_numpy(), k)
+        loose = np.zeros(len(pdf), dtype=bool)
+        if len(pdf) > 2 * change:
+            loose[np.linspace(0, len(pdf) - 1, change).astype(int)] = True
+        weight = pdf["weight"].to_numpy()
+        bundles = min(int((~loose).sum()), -(-int(weight[~loose].sum()) // max(bar, 1)))
+        label = np.empty(len(pdf), dtype=np.int64)
+        label[~loose] = difference(weight[~loose], bundles)
+        label[loose] = bundles + np.arange(loose.sum())
         # a bundle's name: its block and its number; negative, so that it never meets a group's hash of the same level
-        pdf["parent"] = -(pdf["block"].astype("int64") * bundles + label + 1)
+        pdf["parent"] = -(pdf["block"].astype("int64") * 2 * block + label + 1)
         return pdf[["key", "parent", "weight"]]
 
     while n > block:
@@ -105,9 +112,10 @@ def assign_groups(groups: DataFrame, shards: int, block: int = 4096, bundles: in
         levels.append(level.select("key", F.xxhash64("parent", F.lit(depth + 1)).alias("parent")))
         items = stored(alone.select("key", "weight").unionByName(nxt), f"shard-items{depth}")
         now = items.count()
-        if now >= n:
+        depth += 1
+        if now >= n:  # all items are at the bar: they are few
             break
-        n, depth = now, depth + 1
+        n = now
 
     def last(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["weight", "key"], ascending=[False, True], kind="stable").reset_index(drop=True)
