@@ -29,9 +29,13 @@ def nba_service(pay4: Column, ptp4: Column) -> Column:  # F18, on probabilities
 
 
 def reason_service(pay4: Column, ptp4: Column) -> Column:  # F26 service wording
-    # Python's str(float) is the shortest repr; Spark's double->string cast matches it for 4-dp values.
     return F.format_string("DPD=%s; payment=%s; PTP=%s.", F.col("dpd").cast("string"),
-                           pay4.cast("string"), ptp4.cast("string"))
+                           plain_decimal(pay4), plain_decimal(ptp4))
+
+
+def plain_decimal(x4: Column) -> Column:
+    """A value of 4 decimals without an exponent and trailing zeros, at least one decimal: 0.5, 1.0, 0.0005."""
+    return F.regexp_replace(x4.cast("decimal(20,4)").cast("string"), r"(\.\d+?)0+$", "$1")
 
 
 def action_struct(pay4: Column, ptp4: Column) -> Column:

@@ -9,7 +9,8 @@ third of all contacts to one task, so the count is rebuilt from prefix sums that
 Each contact also emits a zero-weight probe at t - 7d - 1us. Rows are partitioned by
 (user, hour bucket); inside a bucket an inclusive RANGE running sum gives the count up to the row,
 and a per-user prefix sum over bucket totals (one row per user-hour) adds everything earlier. The
-event and its probe meet again on ``event_id``. The largest task is one customer-hour.
+event and its probe meet again on (event, user, time); copies of one event count and stay as often as
+they occur. The largest task is one customer-hour.
 """
 from __future__ import annotations
 
@@ -44,10 +45,13 @@ def contacts_trailing(ev: DataFrame, days: int = WINDOW_DAYS, user: str = "user_
     w_off = Window.partitionBy(user).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offs = sizes.withColumn("_off", F.coalesce(F.sum("_n").over(w_off), F.lit(0))).drop("_n")
     le = rows.join(offs, [user, "_b"]).withColumn("_le", F.col("_off") + F.col("_in"))
-    # event row (_v = 1) minus its probe (_v = 0): one aggregation by event_id, no self-join
-    return (le.groupBy("event_id", user, ts)
-            .agg((F.sum(F.when(F.col("_v") == 1, F.col("_le"))) - F.sum(F.when(F.col("_v") == 0, F.col("_le"))))
-                 .cast("bigint").alias("contacts_7d"))
+    # event row (_v = 1) minus its probe (_v = 0): one aggregation, no self-join; equal events have equal
+    # counts, so the sum over them is a multiple of their number, and each comes out once
+    both = le.groupBy("event_id", user, ts).agg(
+        F.sum(F.when(F.col("_v") == 1, F.col("_le")).otherwise(-F.col("_le"))).alias("_sum"),
+        F.sum("_v").cast("int").alias("_copies"))
+    return (both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+            .select("event_id", user, ts, F.expr("_sum div _copies").cast("bigint").alias("contacts_7d"))
             .withColumn("over_cap", F.col("contacts_7d") >= MAX_CONTACTS_7_DAYS))
 
 

@@ -1,8 +1,8 @@
 """Segment profiling and labelling (A13, W3, J1, M12, X3, F32), standardisation (M9) and
 nearest-centroid assignment (M11).
 
-The profile is one row per cluster (k rows), so ranking it with an unpartitioned window and joining
-it back by broadcast is bounded by k, not by the data.
+The profile is one row per cluster (k rows), so ranking it with an unpartitioned window and looking labels up
+in one map value is bounded by k, not by the data.
 """
 from __future__ import annotations
 
@@ -45,13 +45,16 @@ def segment_labels(profile: DataFrame, cluster: str = "segment_raw") -> DataFram
 
 
 def label_segments(df: DataFrame, cluster: str = "segment_raw") -> DataFrame:  # J1
-    labels = segment_labels(cluster_profile(df, cluster), cluster).select(cluster, "segment")
-    return df.join(F.broadcast(labels), cluster, "inner")
+    """Adds ``segment``. The k labels come as one map value from a scalar subquery over the columns that the profile
+    needs; a query that doesn't read ``segment`` drops the subquery, and filters still reach the scans of ``df``."""
+    labels = segment_labels(cluster_profile(df, cluster), cluster)
+    by_cluster = labels.agg(F.map_from_entries(F.collect_list(F.struct(cluster, "segment"))).alias("m")).scalar()
+    return df.where(F.col(cluster).isNotNull()).withColumn("segment", F.element_at(by_cluster, F.col(cluster)))
 
 
 def remaining_clusters(profile_ranked: DataFrame, cluster: str = "segment_raw") -> DataFrame:  # X3
     used = profile_ranked.where(F.col("pay_rank") == 1).select(cluster)
-    return profile_ranked.join(F.broadcast(used), cluster, "left_anti")
+    return profile_ranked.join(used, cluster, "left_anti")
 
 
 def segment_strategy(df: DataFrame) -> DataFrame:  # F32

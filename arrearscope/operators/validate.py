@@ -14,7 +14,7 @@ RANGES = {"age": (18, 100), "credit_score": (300, 900)}
 
 
 def rules() -> list[tuple[str, Column]]:
-    """(reason, violated) pairs in a fixed order; a NULL field violates its rule."""
+    """(reason, violated) pairs in a fixed order; a NULL or NaN field violates its rule."""
     out: list[tuple[str, Column]] = []
     for c in REQUIRED:
         out.append((f"missing {c}", F.col(c).isNull()))
@@ -23,7 +23,7 @@ def rules() -> list[tuple[str, Column]]:
         out.append((f"{c} not in [{lo}, {hi}]", v.isNull() | (v < lo) | (v > hi)))
     for c in NON_NEGATIVE:
         v = F.col(c)
-        out.append((f"{c} < 0", v.isNull() | (v < 0)))
+        out.append((f"{c} < 0", v.isNull() | (v < 0) | F.isnan(v.cast("double"))))
     ch = F.col("preferred_channel")
     out.append(("preferred_channel not in (" + ", ".join(CHANNELS) + ")", ch.isNull() | ~ch.isin(CHANNELS)))
     return out

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import retrieval as RT
+from ..session import written
 from ..sources.tables import table
 from . import oracle as O
 from .catalog import register
@@ -55,7 +56,7 @@ SELECT qw.question_id, token, w / nrm AS wq FROM qw JOIN (SELECT question_id, sq
   ON qw.question_id = n.question_id WHERE nrm > 0"""),
     ("lex_scores", f"""
 SELECT question_id, chunk_id, {O.rs('sum(w * wq)', 4)} AS score FROM post JOIN qv ON post.token = qv.token
-GROUP BY question_id, chunk_id"""),
+GROUP BY question_id, chunk_id HAVING sum(w * wq) > 0"""),
     ("lex_hits", """
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank FROM lex_scores)
 WHERE rank <= 4"""),
@@ -131,23 +132,33 @@ def q_hit_to_chunk(spark, sf_dir):  # J2: hits back to their corpus rows
         "query_id", "vec_id", F.col("rank").cast("bigint").alias("rank"), "label")
 
 
+_HITS: dict[tuple[str, str], DataFrame] = {}
+
+
+def _lexical_hits(spark, sf_dir) -> DataFrame:
+    """The k hits of every question, written once per application and scale: R5, W2 and R7-R10 read the same table."""
+    name = (spark.sparkContext.applicationId, sf_dir)
+    if name not in _HITS:
+        for old in [n for n in _HITS if n[0] != name[0]]:
+            del _HITS[old]
+        _HITS[name] = written(RT.lexical_topk(questions(spark, sf_dir), chunks(spark, sf_dir), K), "lexical-hits")
+    return _HITS[name]
+
+
 @register("topk_per_question", rsql("SELECT question_id, chunk_id, rank, score FROM lex_hits"))
 def q_topk_per_question(spark, sf_dir):  # W2 over lexical scores
-    h = RT.lexical_topk(questions(spark, sf_dir), chunks(spark, sf_dir), K)
+    h = _lexical_hits(spark, sf_dir)
     return h.select("question_id", "chunk_id", F.col("rank").cast("bigint").alias("rank"), "score")
 
 
 @register("lexical_topk", rsql("SELECT question_id, chunk_id, rank, score, title, text FROM hits_text"))
 def q_lexical_topk(spark, sf_dir):  # R5 + J2
-    c = chunks(spark, sf_dir)
-    h = RT.hits_to_chunks(RT.lexical_topk(questions(spark, sf_dir), c, K), c)
+    h = RT.hits_to_chunks(_lexical_hits(spark, sf_dir), chunks(spark, sf_dir))
     return h.select("question_id", "chunk_id", F.col("rank").cast("bigint").alias("rank"), "score", "title", "text")
 
 
 def _answers(spark, sf_dir):
-    c = chunks(spark, sf_dir)
-    q = questions(spark, sf_dir)
-    return RT.answers(RT.hits_to_chunks(RT.lexical_topk(q, c, K), c), q)
+    return RT.answers(RT.hits_to_chunks(_lexical_hits(spark, sf_dir), chunks(spark, sf_dir)), questions(spark, sf_dir))
 
 
 @register("context_assembly", rsql(
@@ -157,10 +168,7 @@ def q_context(spark, sf_dir):  # R7
 
 
 @register("grounded_prompt", rsql(f"""
-SELECT q.question_id,
-  'Answer the question only from the policy context.' || chr(10) || 'Do not invent policy. If the context is insufficient, say a human policy'
-  || chr(10) || 'review is required.' || chr(10) || chr(10) || 'Question: ' || q.question || chr(10) || chr(10)
-  || 'Policy context:' || chr(10) || coalesce(ctx.context, '') AS prompt
+SELECT q.question_id, printf('{RT.PROMPT_HEAD}', q.question, coalesce(ctx.context, '')) AS prompt
 FROM questions q LEFT JOIN ctx USING (question_id)"""))
 def q_prompt(spark, sf_dir):  # R8
     return _answers(spark, sf_dir).select("question_id", "prompt")

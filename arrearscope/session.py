@@ -65,11 +65,9 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df):
-    """Write ``df`` once to the shared checkpoint folder and read it back (reliable ``checkpoint``).
-
-    Used where one derived table feeds several branches of a plan: it is computed once, and its lineage
-    is cut, so a lost executor re-reads the checkpoint instead of recomputing the joins beneath it.
-    """
-    shared_dir(df.sparkSession, "materialize")  # ensures the context checkpoint folder is the shared one
-    return df.checkpoint(eager=True)
+def written(df, purpose: str):
+    """``df`` written once as Parquet to the shared folder and read back: computed once, for several branches or
+    queries, with a lineage that ends at files every executor can read."""
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
