@@ -50,3 +50,12 @@ def test_entry_imports_without_a_session():
     r = subprocess.run([sys.executable, "-c", code], cwd=str(__import__("pathlib").Path(__file__).parents[1]),
                        capture_output=True, text=True, timeout=120)
     assert r.returncode == 0, r.stderr[-2000:]
+
+
+def test_reports_prune_and_push_down(spark):
+    from arrearscope.plans.report_queries import advanced
+    p = plan(advanced(spark, SF_SMALL).where("c_custkey = 5").select("customer_id", "segment"))
+    assert "EqualTo(c_custkey,5)" in p and "Scan ExistingRDD" not in p and "InMemoryTableScan" not in p
+    # no segment asked for: no label work
+    free = plan(E.queries()["kpi_advanced"](spark, SF_SMALL))
+    assert "map_from_entries" not in free and "Subquery" not in free

@@ -162,3 +162,50 @@ def test_auc_quantile_buckets_equal_single_bucket(spark):
     neg = [s for s, y in rows if y == 0]
     brute = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
     assert one == many == pytest.approx(brute, abs=1e-9)
+
+
+def test_repeated_events_count_and_stay(spark):
+    import datetime as dt
+    from arrearscope.operators.compliance import contacts_trailing
+    t = dt.datetime(2024, 1, 20, 12, 0)
+    rows = [(1, 7, t), (1, 7, t), (2, 7, t + dt.timedelta(hours=1))]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz")
+    assert sorted((r.event_id, r.contacts_7d) for r in contacts_trailing(df).collect()) == [(1, 2), (1, 2), (2, 3)]
+
+
+def _lexical(spark, questions, chunks, **blocks):
+    from arrearscope.operators import retrieval as RT
+    old = RT.CHUNK_BLOCK, RT.QUERY_BLOCK
+    RT.CHUNK_BLOCK, RT.QUERY_BLOCK = blocks.get("chunk", old[0]), blocks.get("query", old[1])
+    try:
+        q = spark.createDataFrame(questions, "question_id string, question string")
+        c = spark.createDataFrame(chunks, "chunk_id string, text string")
+        return sorted((r.question_id, r["rank"], r.chunk_id, r.score) for r in RT.lexical_topk(q, c).collect())
+    finally:
+        RT.CHUNK_BLOCK, RT.QUERY_BLOCK = old
+
+
+def test_lexical_zero_weight_words_make_no_hit_in_any_block_size(spark):
+    chunks = [(f"c{i:02d}", "the" + (" alpha" if i == 7 else " beta" if i % 3 == 0 else f" word{i}")) for i in range(41)]
+    questions = [("q1", "the alpha"), ("q2", "the"), ("q3", "beta the alpha"), ("q4", "none of these")]
+    one = _lexical(spark, questions, chunks)
+    assert [h[:3] for h in one if h[0] == "q1"] == [("q1", 1, "c07")]
+    assert not [h for h in one if h[0] in ("q2", "q4")] and len([h for h in one if h[0] == "q3"]) == 4
+    for sizes in ({"chunk": 5}, {"chunk": 1, "query": 1}, {"query": 2}):
+        assert _lexical(spark, questions, chunks, **sizes) == one
+
+
+def test_vector_topk_in_any_block_size(spark):
+    import numpy as np
+    from arrearscope.operators import retrieval as RT
+    rng = np.random.default_rng(0)
+    v = rng.integers(-2, 3, (60, 4)).astype(float)  # many ties
+    corpus = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    queries = spark.createDataFrame([(f"q{i}", (x / 10).tolist()) for i, x in enumerate(v[:7])], "query_id string, qvec array<double>")
+    want = sorted((f"q{i}", r + 1, int(j)) for i in range(7) for r, j in enumerate(np.lexsort((np.arange(60), -(v @ v[i] / 10).round(4)))[:4]))
+    old = RT.CHUNK_BLOCK, RT.QUERY_BLOCK
+    try:
+        for RT.CHUNK_BLOCK, RT.QUERY_BLOCK in (old, (7, 2), (1, 1)):
+            assert sorted((r.query_id, r["rank"], r.vec_id) for r in RT.vector_topk(corpus, queries).collect()) == want
+    finally:
+        RT.CHUNK_BLOCK, RT.QUERY_BLOCK = old

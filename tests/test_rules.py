@@ -138,3 +138,17 @@ def test_tone_and_message_outcome(spark):
     assert got["b"].msg.startswith("Dear Ann, this is a friendly reminder regarding your outstanding amount of INR 1,234,567.89.")
     assert (got["c"].t, got["c"].ok, got["c"].st) == (None, False, "fallback")
     assert (got["d"].st, got["d"].src, got["d"].msg) == ("failed", None, None)
+
+
+def test_nan_is_rejected(spark):
+    nan = float("nan")
+    ok, bad = validate_accounts(accounts_df(spark, [account_row(customer_id="i", income=nan), account_row(customer_id="o", outstanding_amount=nan),
+                                                    account_row(customer_id="ok")]))
+    assert [r.customer_id for r in ok.collect()] == ["ok"]
+    assert {r.customer_id: r.reasons for r in bad.collect()} == {"i": ["income < 0"], "o": ["outstanding_amount < 0"]}
+
+
+def test_probability_wording(spark):
+    from arrearscope.functions.actions import plain_decimal
+    df = spark.createDataFrame([(x,) for x in (0.0005, 0.5, 1.0, 0.0, 0.1234, 0.1)], "x double")
+    assert [r.t for r in df.select(plain_decimal(F.col("x")).alias("t")).collect()] == ["0.0005", "0.5", "1.0", "0.0", "0.1234", "0.1"]

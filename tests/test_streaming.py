@@ -42,3 +42,33 @@ def test_dedup_counts_each_event_once(spark):
            .withColumn("ts", F.col("ts").cast("timestamp")))
     agg = S.dedup_outcomes(src).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
     assert spark.read.parquet(S.run_snapshot(agg, "dedup-test")).collect()[0].n == 5
+
+
+def test_accepted_late_event_counts_its_own_week():
+    import pandas as pd
+
+    class State:
+        exists, hasTimedOut, value = False, False, None
+
+        def getCurrentWatermarkMs(self):
+            return 0
+
+        @property
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value, self.exists = value, True
+
+        def setTimeoutTimestamp(self, ms):
+            self.timeout = ms
+
+    t0, state = pd.Timestamp("2024-01-01 12:00"), State()
+
+    def batch(*events):
+        pdf = pd.DataFrame([(i, 1, t0 + pd.Timedelta(days=d)) for i, d in events], columns=["event_id", "user_id", "ts"])
+        return [r for out in S._guard((1,), iter([pdf]), state) for r in out[["event_id", "contacts_7d"]].itertuples(index=False, name=None)]
+
+    assert batch((1, 0.0), (2, 7.5)) == [(1, 1), (2, 1)]
+    assert batch((3, 6.9)) == [(3, 2)]  # late but accepted: the contact at day 0 is within its week
+    assert state.timeout == int((t0 + pd.Timedelta(days=15.5)).timestamp() * 1000)
