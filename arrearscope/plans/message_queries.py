@@ -44,7 +44,7 @@ SELECT *, printf('{sq(M.FALLBACK)}', customer_name, format('{{:,.2f}}', {O.rs('o
 SELECT f.*, c.text AS llm_text,
   CASE WHEN c.text IS NULL THEN CASE WHEN f.c_custkey % 3 = 0 THEN '429 RESOURCE_EXHAUSTED: quota exceeded'
        ELSE 'DEADLINE_EXCEEDED' END END AS llm_error
-FROM fb f LEFT JOIN (SELECT conv_id, text FROM conversations WHERE role = 'assistant' AND turn = 1) c
+FROM fb f LEFT JOIN (SELECT conv_id, arg_max(text, turn) AS text FROM conversations WHERE role = 'assistant' GROUP BY conv_id) c
   ON f.c_custkey = c.conv_id"""),
     ("outcome", """
 SELECT *, CASE WHEN llm_text IS NOT NULL AND trim(llm_text) <> '' THEN 'ok'
@@ -89,8 +89,8 @@ def q_fallback(spark, sf_dir):  # G2
 
 def _outcomes(spark, sf_dir):
     r = requests(spark, sf_dir)
-    conv = (table(spark, sf_dir, "conversations").where((F.col("role") == "assistant") & (F.col("turn") == 1))
-            .select(F.col("conv_id").alias("c_custkey"), F.col("text").alias("llm_text")))
+    conv = (table(spark, sf_dir, "conversations").where(F.col("role") == "assistant")
+            .groupBy(F.col("conv_id").alias("c_custkey")).agg(F.max_by("text", "turn").alias("llm_text")))
     j = r.join(conv, "c_custkey", "left").withColumn(
         "llm_error", F.when(F.col("llm_text").isNull(),
                             F.when(F.col("c_custkey") % 3 == 0, F.lit("429 RESOURCE_EXHAUSTED: quota exceeded"))

@@ -182,6 +182,19 @@ def q_answer(spark, sf_dir):  # R9: no model ran -> fixed fallback answer, null
     return _answers(spark, sf_dir).select("question_id", "answer", "llm", F.size("sources").cast("bigint").alias("n_sources"))
 
 
+@register("answer_with_model", rsql(f"""
+SELECT q.question_id, coalesce(m.answer, '{RT.FALLBACK_ANSWER}') AS answer, m.llm, coalesce(ctx.titles, '') AS titles
+FROM questions q LEFT JOIN ctx USING (question_id) LEFT JOIN (
+  SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn - 1 AS VARCHAR) AS question_id, trim(text, {WS_SQL}) AS answer, 'assistant' AS llm
+  FROM conversations WHERE role = 'assistant' AND trim(text, {WS_SQL}) <> '') m USING (question_id)"""))
+def q_answer_with_model(spark, sf_dir):  # R9 with an answer: the assistant's turn after the question, with the sources found
+    c = table(spark, sf_dir, "conversations").where(F.col("role") == "assistant")
+    given = c.select(F.concat_ws(":", F.col("conv_id").cast("string"), (F.col("turn") - 1).cast("string")).alias("question_id"),
+                     F.col("text").alias("answer"), F.lit("assistant").alias("llm"))
+    a = RT.answers(RT.hits_to_chunks(_lexical_hits(spark, sf_dir), chunks(spark, sf_dir)), questions(spark, sf_dir), given)
+    return a.select("question_id", "answer", "llm", F.array_join("source_titles", "|").alias("titles"))
+
+
 @register("source_titles", rsql(
     "SELECT q.question_id, coalesce(ctx.titles, '') AS titles FROM questions q LEFT JOIN ctx USING (question_id)"))
 def q_source_titles(spark, sf_dir):  # R10
