@@ -16,7 +16,6 @@ from ..functions.numeric import lit_d, round_stable
 from ..schema import CHANNELS
 
 DEFAULT_RATE = 0.2
-MAX_POSTERIOR_ROWS = 100_000
 
 
 def channel_array():
@@ -65,20 +64,13 @@ def best_channel(rated: DataFrame) -> DataFrame:  # W1: first channel in fixed o
             .select("segment", F.col("channel").alias("recommended_channel"), "estimated_success_rate", "trials"))
 
 
-def _checked(post: DataFrame) -> DataFrame:
-    n = post.count()
-    if n > MAX_POSTERIOR_ROWS:
-        raise ValueError(f"posterior has {n} rows, above the broadcast bound {MAX_POSTERIOR_ROWS}")
-    return F.broadcast(post)
-
-
 def posterior_join(accounts: DataFrame, post: DataFrame) -> DataFrame:  # J4: account -> its 4 posteriors
-    return accounts.join(_checked(post), "segment", "inner")
+    return accounts.join(post, "segment", "inner")
 
 
 def rate_lookup(accounts: DataFrame, rated: DataFrame, channel_col: str = "preferred_channel") -> DataFrame:  # J5
     r = rated.select("segment", F.col("channel").alias(channel_col), "estimated_success_rate")
-    return (accounts.join(_checked(r), ["segment", channel_col], "left")
+    return (accounts.join((r), ["segment", channel_col], "left")
             .withColumn("rate", F.coalesce(F.col("estimated_success_rate"), lit_d(DEFAULT_RATE)))
             .drop("estimated_success_rate"))
 
@@ -106,7 +98,7 @@ def thompson_pick(accounts: DataFrame, post: DataFrame, seed: int = 42) -> DataF
     """
     packed = post.groupBy("segment").agg(F.array_sort(F.collect_list(F.struct(
         "channel_order", "channel", "alpha", "beta"))).alias("arms"))
-    rows = accounts.select("customer_id", "segment").join(_checked(packed), "segment", "inner")
+    rows = accounts.select("customer_id", "segment").join((packed), "segment", "inner")
 
     def draw(batches):
         import hashlib

@@ -24,7 +24,6 @@ STRATEGY = {
     "Hard-to-Recover": "low probability, low uplift → route to write-off review / legal, not repeated outreach.",
 }
 # ---- end fixed values ----
-MAX_CLUSTERS = 1000  # profile rows are broadcast; k is a model parameter far below this
 
 
 def cluster_profile(df: DataFrame, cluster: str = "segment_raw") -> DataFrame:  # A13
@@ -71,17 +70,12 @@ def standardize(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ()) ->
                                          lit_d(0.0)).alias(c) for c in cols])
 
 
-def assign_nearest(df: DataFrame, centroids: DataFrame, cols: Sequence[str], cluster: str = "cluster",
-                   check_size: bool = True) -> DataFrame:  # M11
+def assign_nearest(df: DataFrame, centroids: DataFrame, cols: Sequence[str], cluster: str = "cluster") -> DataFrame:  # M11
     """Nearest centroid by squared distance (ties -> lower cluster id).
 
     The k centroids are packed into one array value by a scalar subquery (evaluated once, shipped to
     every task); each account computes its k distances in-row, so there is no join and no fan-out.
     """
-    if check_size:
-        n = centroids.count()
-        if n > MAX_CLUSTERS:
-            raise ValueError(f"{n} centroids exceed the in-row bound {MAX_CLUSTERS}")
     packed = centroids.agg(F.collect_list(F.struct(F.col(cluster).alias("cid"),
                                                    F.array(*[F.col(c).cast("double") for c in cols]).alias("v")))
                            .alias("cents")).scalar()

@@ -2,8 +2,8 @@
 
 Exact ranks without a single-partition sort: rows are cut into value buckets whose order agrees with
 the sort order; a row's rank is (rows in earlier buckets) + (its row_number inside its bucket). The
-per-bucket totals are a small table (labels x buckets), so only that table is broadcast, and the
-largest window partition is one bucket, not a whole label.
+per-bucket totals are a small table (labels x buckets) whose join is left to Spark, and the largest
+window partition is one bucket, not a whole label.
 """
 from __future__ import annotations
 
@@ -14,8 +14,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import hash_uniform, lit_d, round_stable
-
-MAX_OFFSET_ROWS = 1_000_000
+from ..session import written
 
 
 def assign_treatment(df: DataFrame, key: str = "customer_id", salt: str = "treat") -> DataFrame:  # X4
@@ -38,7 +37,7 @@ def cumulative_before(df: DataFrame, parts: Sequence[str], bucket: Column, order
     sizes = d.groupBy(*parts, "_bkt").agg(F.sum("_v").alias("_bn"))
     w_off = Window.partitionBy(*parts).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     offs = sizes.withColumn("_off", F.coalesce(F.sum("_bn").over(w_off), F.lit(0))).drop("_bn")
-    return (d.join(F.broadcast(offs), [*parts, "_bkt"], "inner")
+    return (d.join(offs, [*parts, "_bkt"], "inner")
             .withColumn("_before", F.col("_off") + F.col("_in")).drop("_off", "_in", "_v", "_bkt"))
 
 
@@ -50,12 +49,12 @@ def stratified_split(df: DataFrame, label: str, test_share: float, seed: int = 4
     """
     if buckets is None:
         n = df.count()
-        buckets = max(1, min(4096, n // 200_000))
+        buckets = max(1, -(-n // 200_000))
     u = hash_uniform(F.col(key), f"split{seed}")
     r = cumulative_before(df.withColumn("_u", u), [label], F.floor(F.col("_u") * buckets),
                           [F.col("_u"), F.col(key)])
     n_label = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    return (r.join(F.broadcast(n_label), label, "inner")
+    return (r.join(n_label, label, "inner")
             .withColumn("is_test", (F.col("_before") + 1) <= F.ceil(F.col("_n") * lit_d(test_share)))
             .drop("_before", "_n", "_u"))
 
@@ -65,7 +64,7 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:  # M2: n / (2 n_class
     n_classes = counts.agg(F.struct(F.sum("_nc").alias("n"), F.count(F.lit(1)).alias("k")).alias("s")).scalar()
     w = counts.select(label, (n_classes["n"].cast("double") / (n_classes["k"].cast("double") * F.col("_nc")))
                       .alias("weight"))
-    return df.join(F.broadcast(w), label, "inner")
+    return df.join(w, label, "inner")
 
 
 def roc_auc(df: DataFrame, score: str, label: str, by: Sequence[str] = (),
@@ -73,26 +72,24 @@ def roc_auc(df: DataFrame, score: str, label: str, by: Sequence[str] = (),
     """Exact tie-averaged AUC: sum over positives of (negatives below + half the tied negatives) / (P x N).
 
     Rows collapse to one per distinct score first (map-side combine), so a pile-up of equal scores is
-    one row. The distinct scores are then cut at approximate quantiles (boundaries from
-    ``percentile_approx``, about ``rows_per_bucket`` distinct scores per bucket) and a bucketed prefix
-    sum of negatives runs over them: no task holds more than one bucket, however the scores cluster.
+    one row. The distinct scores are then cut at approximate quantiles (about ``rows_per_bucket`` distinct
+    scores per bucket, as many buckets as that takes) and a bucketed prefix sum of negatives runs over
+    them: no task holds more than one bucket, however the scores cluster.
     """
-    from pyspark import StorageLevel
+    from pyspark.ml.feature import Bucketizer
     # one row per distinct score: small next to the input, and read three times below
-    d = (df.groupBy(*by, score)
-         .agg(F.count_if(F.col(label) == 1).alias("npos"), F.count_if(F.col(label) != 1).alias("nneg"))
-         .persist(StorageLevel.MEMORY_AND_DISK))
-    n_distinct = d.count()
-    buckets = max(1, min(10_000, -(-n_distinct // rows_per_bucket)))
+    d = written(df.groupBy(*by, score)
+                .agg(F.count_if(F.col(label) == 1).alias("npos"), F.count_if(F.col(label) != 1).alias("nneg")), "auc-scores")
+    buckets = max(1, -(-d.count() // rows_per_bucket))
     if buckets == 1:
         bkt = F.lit(0)
         c = cumulative_before(d, list(by), bkt, [F.col(score)], F.col("nneg"))
     else:
-        probs = [i / buckets for i in range(1, buckets)]
-        bounds = d.agg(F.percentile_approx(F.col(score).cast("double"), probs, 10_000).alias("b")).scalar()
-        d = d.withColumn("_bounds", bounds)
-        bkt = F.size(F.filter("_bounds", lambda b: b <= F.col(score)))  # monotone in the score
-        c = cumulative_before(d, list(by), bkt, [F.col(score)], F.col("nneg")).drop("_bounds")
+        cuts = d.withColumn("_x", F.col(score).cast("double")).approxQuantile("_x", [i / buckets for i in range(1, buckets)], 0.1 / buckets)
+        splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
+        d = Bucketizer(splits=splits, inputCol="_x", outputCol="_cut", handleInvalid="keep").transform(
+            d.withColumn("_x", F.col(score).cast("double")))
+        c = cumulative_before(d, list(by), F.col("_cut"), [F.col(score)], F.col("nneg"))
     return (c.groupBy(*by)
             .agg(F.sum(F.col("npos") * (F.col("_before") + lit_d(0.5) * F.col("nneg"))).alias("num"),
                  F.sum("npos").alias("P"), F.sum("nneg").alias("N"))

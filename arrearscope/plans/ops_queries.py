@@ -14,6 +14,7 @@ from ..sources.tables import table
 from . import oracle as O
 from .catalog import register
 from .report_queries import advanced
+from .rule_queries import BLOCK_ACC
 from .scoring import score_service
 
 W4_SQL = """count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 7 DAYS PRECEDING AND CURRENT ROW)"""
@@ -115,6 +116,27 @@ def q_best_channel(spark, sf_dir):  # W1
     return B.best_channel(B.rates(_posterior(spark, sf_dir)[1]))
 
 
+@register("decision_record", bandit_sql(f"""
+SELECT s.customer_id, s.segment, s.compliance_flag, s.blocked_reason, s.action, b.recommended_channel,
+  printf('DPD=%sd, PayProb=%.0f%%, PTPProb=%.0f%%, Uplift=%+.1fpts', CAST(s.dpd AS VARCHAR),
+         {O.rs('s.payment_probability * 100.0e0', 0)}, {O.rs('s.ptp_probability * 100.0e0', 0)}, {O.rs('s.uplift_score * 100.0e0', 1)}) AS reason
+FROM (SELECT *, {BLOCK_ACC} AS blocked_reason, CASE WHEN ({BLOCK_ACC}) IS NOT NULL THEN NULL WHEN dpd >= 90 THEN 'Escalate to Human Review'
+  WHEN uplift_score < 0.02e0 THEN 'Light-touch reminder only (low marginal value of contact)'
+  WHEN ptp_probability >= 0.6e0 THEN 'Request Promise-to-Pay' ELSE 'Repayment / Restructuring Discussion' END AS action FROM scored_advanced) s
+LEFT JOIN (SELECT segment, channel AS recommended_channel FROM (
+  SELECT *, row_number() OVER (PARTITION BY segment ORDER BY estimated_success_rate DESC, channel_order) AS rn FROM rated) WHERE rn = 1) b
+ON s.segment = b.segment"""))
+def q_decision_record(spark, sf_dir):  # the whole advanced decision: veto or action, the segment's best channel, reason
+    acc, post = _posterior(spark, sf_dir)
+    best = B.best_channel(B.rates(post)).select("segment", "recommended_channel")
+    why = AC.blocked_reason(F.col("compliance_flag"), F.col("contacts_last_7_days"), F.lit(False))
+    rows = acc.select("customer_id", "segment", "compliance_flag", why.alias("blocked_reason"),
+                      AC.nba_advanced(why, F.col("uplift_score"), F.col("ptp_probability")).alias("action"),
+                      AC.reason_advanced(F.col("payment_probability"), F.col("ptp_probability"), F.col("uplift_score")).alias("reason"))
+    return rows.join(best, "segment", "left").select("customer_id", "segment", "compliance_flag", "blocked_reason", "action",
+                                                     "recommended_channel", "reason")
+
+
 @register("posterior_join", bandit_sql("""
 SELECT s.customer_id, s.segment, p.channel, p.alpha, p.beta FROM scored_advanced s JOIN posterior p ON s.segment = p.segment"""))
 def q_posterior_join(spark, sf_dir):  # J4
@@ -179,7 +201,7 @@ SELECT customer_id, will_pay,
 FROM portfolio"""))
 def q_stratified_split(spark, sf_dir):  # X1
     p = portfolio(spark, sf_dir).select("customer_id", "will_pay")
-    return X.stratified_split(p, "will_pay", 0.2, 42, buckets=16).select("customer_id", "will_pay", "is_test")
+    return X.stratified_split(p, "will_pay", 0.2, 42).select("customer_id", "will_pay", "is_test")
 
 
 @register("class_weights", O.portfolio_sql(f"""

@@ -418,5 +418,5 @@ def q_assign_segment(spark, sf_dir):  # M11 with given centroids (per-cluster fe
     a = advanced(spark, sf_dir)
     cents = a.groupBy("segment_raw").agg(*[F.avg(F.col(x).cast("double")).alias(x) for x in CLUSTER_FEATURES]) \
         .withColumnRenamed("segment_raw", "cluster")
-    return SG.assign_nearest(a.select("customer_id", *CLUSTER_FEATURES), cents, CLUSTER_FEATURES, check_size=False) \
+    return SG.assign_nearest(a.select("customer_id", *CLUSTER_FEATURES), cents, CLUSTER_FEATURES) \
         .select("customer_id", "cluster", "sq_dist")
