@@ -220,7 +220,8 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 def block_pairs(mixed_members: DataFrame, sigs: DataFrame, least: float, few: int = 256, many: int = 2048, rows: int = 20_000) -> DataFrame:
     """Pairs (a, b) of one bucket and two components whose signatures agree in at least ``least`` of the registers.
 
-    ``mixed_members``: (key, node, comp, main) with main the bucket's main component. Texts outside it, in blocks of about
+    ``mixed_members``: (key, band, node, comp, main) with main the bucket's main component. A pair comes out of the first
+    band that it shares only, not of every bucket. Texts outside it, in blocks of about
     ``few``, meet all texts of the bucket, in blocks of about ``many``; many small buckets share a task.
     """
     m = mixed_members.join(sigs.select("node", "sig"), "node")
@@ -230,13 +231,13 @@ def block_pairs(mixed_members: DataFrame, sigs: DataFrame, least: float, few: in
     side = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")
     left = m.filter("comp <> main").withColumn("i", side("ni")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nj") - 1))).withColumn("left", F.lit(True))
     right = m.withColumn("j", side("nj")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("ni") - 1))).withColumn("left", F.lit(False))
-    cells = stored(left.unionByName(right).select(F.xxhash64("key", "i", "j").alias("cell"), "node", "comp", "sig", "left"), "near-cells")
+    cells = stored(left.unionByName(right).select(F.xxhash64("key", "i", "j").alias("cell"), "band", "node", "comp", "sig", "left"), "near-cells")
     groups = max(1, math.ceil(cells.count() / rows))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("cell", kind="stable")
         cell = pdf["cell"].to_numpy()
-        node, comp, left = pdf["node"].to_numpy(), pdf["comp"].to_numpy(), pdf["left"].to_numpy()
+        node, comp, left, band = (pdf[c].to_numpy() for c in ("node", "comp", "left", "band"))
         sig = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), -1) if len(pdf) else np.zeros((0, 1), np.uint8)
         head = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
         out_a, out_b = [], []
@@ -244,8 +245,10 @@ def block_pairs(mixed_members: DataFrame, sigs: DataFrame, least: float, few: in
             x = lo + np.flatnonzero(left[lo:hi])
             y = lo + np.flatnonzero(~left[lo:hi])
             for i in x:
-                agree = (sig[y] == sig[i]).mean(axis=1)
-                hit = y[(agree >= least) & (comp[y] != comp[i])]
+                same = sig[y] == sig[i]
+                near = (same.mean(axis=1) >= least) & (comp[y] != comp[i])
+                first = same[near].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
+                hit = y[near][first == band[lo]]
                 out_a.append(np.minimum(node[hit], node[i]))
                 out_b.append(np.maximum(node[hit], node[i]))
         if not out_a:
@@ -276,7 +279,7 @@ def _classes(docs: DataFrame, threshold: float) -> DataFrame:
     exact = stored(signed.groupBy(*same).agg(F.min("row").alias("node")), "near-exact")
     signed_nodes = signed.withColumnRenamed("row", "node")
     held = stored(signed_nodes.select("node", "bands").join(exact.select("node"), "node", "left_semi")
-                  .select("node", F.explode("bands").alias("key")), "near-bands")
+                  .select("node", F.posexplode("bands").alias("band", "key")), "near-bands")
     shared = held.groupBy("key").agg(F.min("node").alias("rep"), F.max("node").alias("top")).filter("rep <> top").select("key", "rep")
     members = stored(held.join(shared, "key"), "near-members")
     sets = stored(signed_nodes.select("node", "shingles", "sig").join(members.select("node").distinct(), "node", "left_semi"), "near-sets")
@@ -287,7 +290,7 @@ def _classes(docs: DataFrame, threshold: float) -> DataFrame:
     roots = components(links)
 
     # what is left in buckets of several components
-    where = members.select("key", "node").join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+    where = members.select("key", "band", "node").join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
     several = where.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
     left = stored(where.join(several, "key"), "near-mixed")
     sizes = left.groupBy("key", "comp").agg(F.count("*").alias("n"))
