@@ -5,12 +5,11 @@ Lines are compared after trimming, lower-casing and joining white space; blank l
 Shingles. A line's shingles are ``SHINGLE`` characters long and taken at every word start and every ``STEP`` characters
 within a word, across following words, so that every character lies in one and an edit moves no other anchor.
 
-Signature. The shingles are hashed; the hash range is cut into 32 equal bins and the smallest hash of each
-bin is a MinHash value (one permutation, binned). The minima of three neighbouring bins make a band key, the fourth is
-left out: eight bands of three rows. At similarity 0.8 two lines share one of the bands with probability 0.997. Lines of
-fewer than 80 shingles leave too many bins empty for that: their band keys are the pairs of their five smallest hashes
-(probability 0.99), and all their hashes if they have fewer than four, where only equal sets reach 0.8. Between 64 and 80
-shingles a line has both kinds of keys, so that no pair falls between them.
+Signature. The shingles are hashed by one function; a line's five smallest distinct hashes are its MinHash sketch
+(bottom-k of one permutation). Bands are the ten triples of the sketch: at similarity 0.8 two lines share one with
+probability 0.977, at 0.9 with 0.998. Lines of fewer than 16 shingles also have the pairs of their sketch as bands (0.99), those below 10 only
+these, and lines of fewer than four shingles the whole set, where only equal sets reach 0.8. The ranges overlap so far
+that two lines at 0.8 always have one kind of key in common.
 
 Search. Lines that share a band key are candidates; in each bucket every line is first compared with the smallest, then, in
 buckets left with several components, with the largest, and at last every line outside a bucket's main component with
@@ -29,18 +28,20 @@ empty result; further columns pass through ``dedup_documents`` unchanged (``n_ch
 """
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_record, no_text, stored, with_text
 from .components import components
-from .quality import normal_line
+from .quality import normal_line, trimmed
 
-SHINGLE, STEP, TENTHS = 8, 4, 8  # characters, characters, similarity in tenths
+SHINGLE, STEP, TENTHS = 8, 8, 8  # characters, characters, similarity in tenths
 ANCHORS = f"(?s) ?(?=(.{{1,{SHINGLE}}}))[^ ]{{1,{STEP}}}"
-BANDS = 8
-#: Lines of at least FULL shingles use bands, lines below SPARSE pairs.
-FULL, SPARSE = 64, 80
+SKETCH = 5
+#: Lines below WHOLE shingles have their set as key, below PAIRS the pairs of their sketch, from TRIPLES on its triples.
+WHOLE, TRIPLES, PAIRS = 4, 10, 16
 #: Most bits of a membership filter (4 MB).
 BITS = 1 << 25
 
@@ -60,23 +61,17 @@ def occurrences(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("doc"),
                        # normalised inside the generator, so that each line is normalised once
                        F.posexplode(F.transform(F.split(text, "\n"), normal_line)).alias("pos", "norm")).filter("norm <> ''")
-    rows = rows.select("doc_id", "doc", "pos", line_hash(F.col("norm")).alias("line"), F.sort_array(F.array_distinct(shingle_hashes(F.col("norm")))).alias("h"))
-    h = F.col("h")
-    rows = rows.withColumn("n", F.size("h")).withColumn("few", F.slice("h", 1, 5))
-    bin_of = lambda x: F.shiftrightunsigned(x, 59)
-    rows = rows.withColumn("low", F.filter(h, lambda x, i: (i == 0) | (bin_of(x) != bin_of(F.get(h, i - 1))))).drop("h")
-    used = F.filter("low", lambda x: bin_of(x).bitwiseAND(F.lit(3)) < 3)
-    rows = rows.withColumn("low", used)
-    low = F.col("low")
-    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.filter(low, lambda x: F.shiftrightunsigned(x, 61) == b))
-    n = F.col("n")
-    wide = F.when(n >= FULL, F.filter(keys, lambda k: F.size(k) > 0))
-    duo = [F.array(F.get("few", F.lit(i)), F.get("few", F.lit(j))) for i in range(5) for j in range(i + 1, 5)]
-    pairs = F.filter(F.array(*duo), lambda k: F.get(k, F.lit(1)).isNotNull())
-    narrow = F.when(n < 4, F.array("few")).when(n < SPARSE, pairs)
-    none = F.array().cast("array<array<bigint>>")
-    return rows.select("doc_id", "doc", "pos", "line", F.transform(
-        F.concat(F.coalesce(wide, none), F.coalesce(narrow, none)), lambda k: F.xxhash64(k)).alias("bands"))
+    rows = rows.select("doc_id", "doc", "pos", line_hash(F.col("norm")).alias("line"), F.array_distinct(shingle_hashes(F.col("norm"))).alias("h"))
+    rows = rows.select("doc_id", "doc", "pos", "line", F.size("h").alias("n"), F.slice(F.sort_array("h"), 1, SKETCH).alias("few"))
+    n, few = F.col("n"), F.col("few")
+
+    def picks(size):
+        return [F.when(F.get(few, F.lit(c[-1])).isNotNull(), F.xxhash64(*[F.get(few, F.lit(i)) for i in c]))
+                for c in combinations(range(SKETCH), size)]
+
+    bands = (F.when(n < WHOLE, F.array(F.xxhash64("few"))).when(n < TRIPLES, F.array(*picks(2)))
+             .when(n < PAIRS, F.array(*picks(2), *picks(3))).otherwise(F.array(*picks(3))))
+    return rows.select("doc_id", "doc", "pos", "line", bands.alias("bands"))
 
 
 def may_hold(keys: DataFrame, name: str, n: int):
@@ -113,7 +108,7 @@ def similar(pairs: DataFrame, lines: DataFrame) -> DataFrame:
 
 def line_components(docs: DataFrame, occ: DataFrame) -> DataFrame:
     """(line, root) of every line that is similar to another one."""
-    held = occ.select(F.explode("bands").alias("key"), "line")
+    held = occ.select(F.explode("bands").alias("key"), "line").filter("key is not null")
     shared = stored(held.groupBy("key").agg(F.min("line").alias("low"), F.max("line").alias("top")).filter("low <> top"), "line-shared")
     maybe = may_hold(shared, "key", shared.count())
     members = stored(held.filter(maybe(F.col("key"))).join(shared, "key").distinct(), "line-members")
@@ -169,7 +164,7 @@ def _shortened(docs: DataFrame) -> DataFrame:
     rows = docs.select(as_record(docs).alias("record"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("doc"))
     rows = rows.join(kept_positions(docs), "doc", "left").withColumn("lines", F.split(no_text("record.text"), "\n"))
     lines = F.col("lines")
-    rows = rows.withColumn("blank", F.filter(F.transform(lines, lambda x, i: F.when(normal_line(x) == "", i)), lambda i: i.isNotNull()))
+    rows = rows.withColumn("blank", F.filter(F.transform(lines, lambda x, i: F.when(trimmed(x) == "", i)), lambda i: i.isNotNull()))
     rows = rows.withColumn("n", F.size("lines") - F.size("blank")).withColumn("kept", F.coalesce(F.size("places"), F.lit(0)))
     shorter = F.array_join(F.transform(F.sort_array(F.concat("places", "blank")), lambda p: F.get(lines, p)), "\n")
     return rows.select("record", "n", "kept", F.when(F.col("kept") == F.col("n"), F.col("record.text"))

@@ -26,6 +26,8 @@ from .common import as_record, no_text, stored, with_text
 #: White space and symbol characters of the base rules.
 BLANK = " \t\n\x0b\f\r"
 BLANKS = r"[\x20\x09-\x0D]+"
+#: A run of white space that isn't one space.
+UNEVEN = r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]+"
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
@@ -41,7 +43,7 @@ def trimmed(text: Column) -> Column:
 
 
 def normal_line(line: Column) -> Column:
-    return F.lower(F.regexp_replace(trimmed(line), BLANKS, " "))
+    return F.lower(F.regexp_replace(trimmed(line), UNEVEN, " "))
 
 
 def repeated_words(df: DataFrame, words: str, out: str) -> DataFrame:

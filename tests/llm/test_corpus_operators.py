@@ -226,7 +226,7 @@ def line_reference(rows):
     def shingles(n):
         out, at = set(), 0
         for w in n.split(" "):
-            out |= {n[at + o:at + o + 8] for o in range(0, len(w), 4)}
+            out |= {n[at + o:at + o + 8] for o in range(0, len(w), 8)}
             at += len(w) + 1
         return out
 
