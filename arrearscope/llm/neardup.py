@@ -8,8 +8,8 @@ the probability Jaccard similarity of their weighted shingles.
 
 Search. Registers are banded; texts that share a band are candidates. In every bucket each text is first compared with
 the bucket's smallest one, which settles the copies; candidates are verified by the exact J_P of their shingle sets,
-and a distributed union-find joins the links. Buckets that still hold several components are then searched whole:
-every text outside the bucket's main component against all others, in blocks, first by signature (a pair goes on if its registers agree to
+and a distributed union-find joins the links. In buckets that still hold several components, texts outside the main one are
+compared with one of its members, another in each bucket; what is left then is searched whole: every text outside the bucket's main component against all others, in blocks, first by signature (a pair goes on if its registers agree to
 within four standard errors of the threshold), then by the exact J_P. So no link between candidates is lost, and copies
 never form all their pairs.
 
@@ -285,22 +285,31 @@ def _classes(docs: DataFrame, threshold: float) -> DataFrame:
     sets = stored(signed_nodes.select("node", "shingles", "sig").join(members.select("node").distinct(), "node", "left_semi"), "near-sets")
 
     # every text against its buckets' smallest ones
-    stars = members.filter("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct()
+    stars = stored(members.filter("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct(), "near-stars")
     links = stored(verified(stars, sets, threshold), "near-links")
     roots = components(links)
 
-    # what is left in buckets of several components
-    where = members.select("key", "band", "node").join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
-    several = where.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-    left = stored(where.join(several, "key"), "near-mixed")
-    sizes = left.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("key").agg(F.max(F.struct("n", "comp"))["comp"].alias("main"))
+    # what is left in buckets of several components: texts outside the main one against one of its members per bucket,
+    # a different one in each, then against the whole bucket
     error = math.sqrt(threshold * (1 - threshold) / (ROWS * BANDS))
-    more = block_pairs(left.join(main, "key"), sets, threshold - 4 * error)
-    tested = links.select("a", "b")
-    extra = stored(verified(more.join(tested, ["a", "b"], "left_anti"), sets, threshold), "near-rest")
-    links = links.unionByName(extra)
-    roots = components(links)
+    tested = stars
+    for last in (False, True):
+        where = members.select("key", "band", "node").join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+        several = where.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
+        left = stored(where.join(several, "key"), "near-mixed")
+        sizes = left.groupBy("key", "comp").agg(F.count("*").alias("n"))
+        main = sizes.groupBy("key").agg(F.max(F.struct("n", "comp"))["comp"].alias("main"))
+        left = left.join(main, "key")
+        if last:
+            more = block_pairs(left, sets, threshold - 4 * error)
+        else:
+            one = left.filter("comp = main").groupBy("key").agg(F.min_by("node", F.xxhash64("node", "key")).alias("one"))
+            more = (left.filter("comp <> main").join(one, "key")
+                    .select(F.least("node", "one").alias("a"), F.greatest("node", "one").alias("b")).distinct())
+        more = stored(more.join(tested, ["a", "b"], "left_anti"), "near-more")
+        tested = tested.unionByName(more)
+        links = links.unionByName(stored(verified(more, sets, threshold), "near-links"))
+        roots = components(links)
 
     degree = (links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
               .groupBy("node").agg(F.count("*").alias("n_links")))
