@@ -6,8 +6,8 @@ its stale neighbours are dropped when they surface, and the two new pairs enter.
 empty is the encoding.
 
 Segments. A merge across a place needs a piece that spans it, so a text is cut, without changing any id, where no
-piece of the vocabulary can span: before a run of spaces, and around line feeds. ``Merges`` proves both from the
-vocabulary when it loads and falls back to whole texts if either fails. Segments repeat, so a bounded cache
+piece of the vocabulary can span: before a run of spaces, around line feeds, and between a word of letters and the
+mark after it. ``Merges`` proves each from the vocabulary when it loads and cuts less, down to whole texts, where one fails. Segments repeat, so a bounded cache
 keeps their ids and their decoded text.
 
 Check. In each Arrow batch every segment that is new to the cache is also encoded and decoded by the
@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from .common import no_text
 
 SPACE = "▁"  # the vocabulary's visible space
+LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", ".,;:!?"
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_segments long"
 
 
@@ -45,15 +46,21 @@ class Merges:
         self.byte = [i for i in range(n) if lib.is_byte(i)]
         self.raw = {i: int(self.piece[i][3:5], 16) for i in self.byte}
         self.byte_id = {b: i for i, b in self.raw.items()}
+        # a piece as text; None for bytes, which only mean something together
+        self.shown = [None if i in self.raw else p.replace(SPACE, " ") for i, p in enumerate(self.piece)]
         if len(self.byte_id) != 256:
             raise ValueError("a vocabulary with byte fallback is needed")
         plain = [i for i in range(n) if not (lib.is_byte(i) or lib.is_control(i) or lib.is_unknown(i) or lib.is_unused(i))]
         self.id = {self.piece[i]: i for i in plain}
+        self.name = [f",{i}" for i in range(n)]
         # normal pieces merge by score; a piece's score only needs its rank
-        self.score = {self.piece[i]: lib.get_score(i) for i in plain}
+        # (a piece of one symbol is never the result of a merge)
+        self.score = {self.piece[i]: lib.get_score(i) for i in plain if len(self.piece[i]) > 1}
         self.can_cut = not any(re.search(f"[^{SPACE}]{SPACE}", p) or "\n" in p and len(p) > 1 for p in self.id)
         # a first segment begins with the dummy space; others with their own spaces
         self.segment = re.compile(r" *[^ \n]+| +|\n") if self.can_cut else re.compile(r"[\s\S]+")
+        if self.can_cut and not any(re.search(f"[{LETTERS}][{MARKS}]", p) for p in self.id):
+            self.segment = re.compile(rf" *[{LETTERS}]++(?=[{MARKS}])| *[^ \n]+| +|\n")
 
     def merge(self, symbols: str) -> list[int]:
         """Ids of a segment whose spaces are visible ones."""
@@ -65,8 +72,7 @@ class Merges:
             return [whole]
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
         agenda = []
-        for i in range(n - 1):
-            both = part[i] + part[i + 1]
+        for i, both in enumerate(map(str.__add__, part, part[1:])):
             s = score.get(both)
             if s is not None:
                 agenda.append((-s, i, both))
@@ -105,6 +111,9 @@ class Merges:
 
         A byte that begins no valid character becomes one replacement character.
         """
+        shown = [self.shown[i] for i in ids]
+        if None not in shown:
+            return "".join(shown)
         out, held = [], bytearray()
 
         def flush():
@@ -118,7 +127,7 @@ class Merges:
                 held.append(b)
             else:
                 flush()
-                out.append(self.piece[i].replace(SPACE, " "))
+                out.append(self.shown[i])
         flush()
         return "".join(out)
 
@@ -145,7 +154,7 @@ def replaced(raw: bytes) -> str:
 class Codec:
     """Whole texts through ``Merges`` with a bounded segment cache, checked against the library batch by batch."""
 
-    def __init__(self, path: str, cache: int = 500_000, longest: int = 40, check: bool = True):
+    def __init__(self, path: str, cache: int = 900_000, longest: int = 40, check: bool = True):
         self.merges, self.size, self.longest, self.check = Merges(path), cache, longest, check
         self.known: dict[str, tuple[str, int, str]] = {}
 
@@ -163,7 +172,9 @@ class Codec:
             for s, a, b, c, d in zip(names, ids, theirs, text, back):
                 if a != b or c != d:
                     raise ValueError(f"segment {s[:80]!r}: ids {a[:20]} and the library's {b[:20]}, texts {c[:80]!r} and {d[:80]!r}")
-        return {s: ("," + ",".join(map(str, i)), len(i), t) for s, i, t in zip(names, ids, text)}
+        # (a text equal to its segment is kept once)
+        name = m.name
+        return {s: ("".join([name[x] for x in i]), len(i), s if t == s else t) for s, i, t in zip(names, ids, text)}
 
     def digests(self, texts: list[str]) -> list[tuple[int, str, str, int]]:
         """(ids, SHA-256 of the ids, SHA-256 of the decoded text, segments) of each text."""
