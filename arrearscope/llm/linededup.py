@@ -12,8 +12,8 @@ these, and lines of fewer than four shingles the whole set, where only equal set
 that two lines at 0.8 always have one kind of key in common.
 
 Search. Lines that share a band key are candidates; in each bucket every line is first compared with the smallest, then, in
-buckets left with several components, with the largest, and at last every line outside a bucket's main component with
-all lines of the bucket in other components. Every comparison is the exact Jaccard similarity of the shingle sets, so only
+buckets left with several components, every line outside the main one with one line of it, another in each bucket, and
+at last with all lines of the bucket in other components. Every comparison is the exact Jaccard similarity of the shingle sets, so only
 candidates are ever missed. A distributed union-find forms components; the first line of each (by doc_id, then position)
 is kept, all others are removed from their documents.
 
@@ -129,13 +129,14 @@ def line_components(docs: DataFrame, occ: DataFrame) -> DataFrame:
         where = members.join(roots, "line", "left").withColumn("comp", F.coalesce("root", "line")).drop("root")
         several = where.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
         left = stored(where.join(several, "key", "left_semi"), "line-mixed")
-        if not last:
-            more = left.filter("line <> top").select(*pair("line", "top"))
-        else:
-            # outside the bucket's main component, against the whole bucket
-            sizes = left.groupBy("key", "comp").agg(F.count("*").alias("n"))
-            main = sizes.groupBy("key").agg(F.max(F.struct("n", "comp"))["comp"].alias("main"))
-            out = left.join(main, "key").filter("comp <> main").select("key", F.col("line").alias("x"), F.col("comp").alias("c"))
+        sizes = left.groupBy("key", "comp").agg(F.count("*").alias("n"))
+        main = sizes.groupBy("key").agg(F.max(F.struct("n", "comp"))["comp"].alias("main"))
+        left = left.join(main, "key")
+        out = left.filter("comp <> main").select("key", F.col("line").alias("x"), F.col("comp").alias("c"))
+        if not last:  # one line of the main component, another in each bucket
+            one = left.filter("comp = main").groupBy("key").agg(F.min_by("line", F.xxhash64("line", "key")).alias("one"))
+            more = out.join(one, "key").select(*pair("x", "one"))
+        else:  # the whole bucket
             more = out.join(left.select("key", "line", "comp"), "key").filter("c <> comp").select(*pair("x", "line"))
         more = stored(more.distinct().join(tested, ["a", "b"], "left_anti"), "line-more")
         tested = tested.unionByName(more)
