@@ -5,11 +5,12 @@ Lines are compared after trimming, lower-casing and joining white space; blank l
 Shingles. A line's shingles are all its runs of ``SHINGLE`` characters (code points), one from every character on; a line
 of fewer characters is one shingle.
 
-Signature. The shingles are hashed by one function; a line's five smallest distinct hashes are its MinHash sketch
-(bottom-k of one permutation). Bands are the ten triples of the sketch: at similarity 0.8 two lines share one with
-probability 0.977, at 0.9 with 0.998. Lines of fewer than 16 shingles also have the pairs of their sketch as bands (0.99), those below 10 only
-these, and lines of fewer than four shingles the whole set, where only equal sets reach 0.8. The ranges overlap so far
-that two lines at 0.8 always have one kind of key in common.
+Signature. The shingles are hashed by one function (one permutation). Lines of ``LONG`` shingles or more: the hash range
+is cut into ``BANDS * ROWS`` equal bins, the smallest hash of each is a MinHash value, and the minima of ``ROWS``
+neighbouring bins make a band key; at similarity 0.8 two lines share one with probability 0.997. Lines below ``SHORT``
+shingles: the pairs of the five smallest hashes (bottom-k sketch) are the keys, shared with probability 0.994 or more; below
+four shingles the whole set, where only equal sets reach 0.8. The ranges overlap so far that two lines at 0.8 always
+have one kind of key in common.
 
 Search. Lines that share a band key are candidates; in each bucket every line is first compared with the smallest, then, in
 buckets left with several components, every line outside the main one with one line of it, another in each bucket, and
@@ -38,9 +39,9 @@ from .components import components
 from .quality import normal_line, trimmed
 
 SHINGLE, TENTHS = 8, 8  # characters; similarity in tenths
-SKETCH = 5
-#: Lines below WHOLE shingles have their set as key, below PAIRS the pairs of their sketch, from TRIPLES on its triples.
-WHOLE, TRIPLES, PAIRS = 4, 10, 16
+SKETCH, BANDS, ROWS = 5, 8, 3
+#: Lines below WHOLE shingles have their set as key, below SHORT the pairs of their sketch, from LONG on their bands.
+WHOLE, LONG, SHORT = 4, 40, 50
 #: Most bits of a membership filter (4 MB).
 BITS = 1 << 25
 
@@ -58,6 +59,11 @@ def shingle_hashes(line: Column) -> Column:
     return F.get(F.transform(F.array(F.encode(line, "UTF-32")), hashes), F.lit(0))
 
 
+def scaled(x: Column, parts: int) -> Column:
+    """The part (0 .. parts-1) of the 64-bit range that a hash falls into; neighbours in order stay neighbours."""
+    return F.shiftrightunsigned(F.shiftrightunsigned(x, 32) * parts, 32)
+
+
 def line_hash(line: Column) -> Column:
     return F.xxhash64(line)
 
@@ -69,15 +75,22 @@ def occurrences(docs: DataFrame) -> DataFrame:
                        # normalised inside the generator, so that each line is normalised once
                        F.posexplode(F.transform(F.split(text, "\n"), normal_line)).alias("pos", "norm")).filter("norm <> ''")
     rows = rows.select("doc_id", "doc", "pos", line_hash(F.col("norm")).alias("line"), F.array_distinct(shingle_hashes(F.col("norm"))).alias("h"))
-    rows = rows.select("doc_id", "doc", "pos", "line", F.size("h").alias("n"), F.slice(F.sort_array("h"), 1, SKETCH).alias("few"))
-    n, few = F.col("n"), F.col("few")
-
-    def picks(size):
-        return [F.when(F.get(few, F.lit(c[-1])).isNotNull(), F.xxhash64(*[F.get(few, F.lit(i)) for i in c]))
-                for c in combinations(range(SKETCH), size)]
-
-    bands = (F.when(n < WHOLE, F.array(F.xxhash64("few"))).when(n < TRIPLES, F.array(*picks(2)))
-             .when(n < PAIRS, F.array(*picks(2), *picks(3))).otherwise(F.array(*picks(3))))
+    n, bins = F.size("h"), BANDS * ROWS
+    rows = rows.select("doc_id", "doc", "pos", "line", n.alias("n"), F.sort_array("h").alias("h"))
+    n, h = F.col("n"), F.col("h")
+    few = F.slice(h, 1, SKETCH)
+    low = F.when(n >= LONG, F.filter(h, lambda x, i: (i == 0) | (scaled(x, bins) != scaled(F.get(h, i - 1), bins))))
+    rows = rows.select("doc_id", "doc", "pos", "line", "n", few.alias("few"), low.alias("low"))
+    few, low = F.col("few"), F.col("low")
+    pairs = [F.when(F.get(few, F.lit(j)).isNotNull(), F.xxhash64(F.get(few, F.lit(i)), F.get(few, F.lit(j))))
+             for i, j in combinations(range(SKETCH), 2)]
+
+    def band(b):
+        return F.filter(low, lambda x: scaled(x, BANDS) == b)
+
+    long = [F.when(F.size(band(b)) > 0, F.xxhash64(band(b))) for b in range(BANDS)]
+    bands = (F.when(n < WHOLE, F.array(F.xxhash64("few"))).when(n < LONG, F.array(*pairs))
+             .when(n < SHORT, F.array(*pairs, *long)).otherwise(F.array(*long)))
     return rows.select("doc_id", "doc", "pos", "line", bands.alias("bands"))
 
 

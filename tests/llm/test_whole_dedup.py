@@ -71,3 +71,19 @@ def test_lines_equal_every_character(spark, documents, kind):
         assert [d for (d, t), x in want.items() if x] == [0, 500, 502]
     got = [(r.doc_id, r.text) for r in linededup.dedup_documents(df).collect()]
     assert sorted(got, key=str) == sorted(((d, want[(d, t)]) for d, t in rows), key=str)
+
+
+def test_keys_have_recall_at_the_threshold(documents):
+    """Pairs of lines at just 0.8, of every length: at most one in a hundred shares no key."""
+    rng = np.random.default_rng(7)
+    letters = list("abcdefghijklmnopqrstuvwxyz0123456789")
+    rows, names = [], []
+    for union in (15, 20, 30, 45, 60, 100, 200):
+        for k in range(600):
+            line = "".join(rng.choice(letters, union + 7))
+            # the shorter one lacks a fifth of the shingles
+            rows += [(len(names) * 2, line), (len(names) * 2 + 1, line[:len(line) - union // 5])]
+            names.append(union)
+    got = {r.doc_id: set(r.bands) - {None} for r in linededup.occurrences(documents(rows)).select("doc_id", "bands").collect()}
+    hit = {u: np.mean([bool(got[2 * i] & got[2 * i + 1]) for i, n in enumerate(names) if n == u]) for u in set(names)}
+    assert min(hit.values()) >= 0.99, hit
