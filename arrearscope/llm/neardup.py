@@ -221,17 +221,17 @@ def block_pairs(mixed_members: DataFrame, sigs: DataFrame, least: float, few: in
     """Pairs (a, b) of one bucket and two components whose signatures agree in at least ``least`` of the registers.
 
     ``mixed_members``: (key, band, node, comp, main) with main the bucket's main component. A pair comes out of the first
-    band that it shares only, not of every bucket. Texts outside it, in blocks of about
+    band whose key it shares only, not of every bucket. Texts outside it, in blocks of about
     ``few``, meet all texts of the bucket, in blocks of about ``many``; many small buckets share a task.
     """
-    m = mixed_members.join(sigs.select("node", "sig"), "node")
+    m = mixed_members.join(sigs.select("node", "sig", "bands"), "node")
     sizes = (mixed_members.groupBy("key").agg(F.count("*").alias("n"), F.count(F.when(F.col("comp") != F.col("main"), 1)).alias("out"))
              .select("key", F.ceil(F.col("out") / few).cast("int").alias("ni"), F.ceil(F.col("n") / many).cast("int").alias("nj")))
     m = m.join(sizes, "key")
     side = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")
     left = m.filter("comp <> main").withColumn("i", side("ni")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nj") - 1))).withColumn("left", F.lit(True))
     right = m.withColumn("j", side("nj")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("ni") - 1))).withColumn("left", F.lit(False))
-    cells = stored(left.unionByName(right).select(F.xxhash64("key", "i", "j").alias("cell"), "band", "node", "comp", "sig", "left"), "near-cells")
+    cells = stored(left.unionByName(right).select(F.xxhash64("key", "i", "j").alias("cell"), "band", "node", "comp", "sig", "bands", "left"), "near-cells")
     groups = max(1, math.ceil(cells.count() / rows))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -239,16 +239,16 @@ def block_pairs(mixed_members: DataFrame, sigs: DataFrame, least: float, few: in
         cell = pdf["cell"].to_numpy()
         node, comp, left, band = (pdf[c].to_numpy() for c in ("node", "comp", "left", "band"))
         sig = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), -1) if len(pdf) else np.zeros((0, 1), np.uint8)
+        keys = np.stack(pdf["bands"].to_list()) if len(pdf) else np.zeros((0, 1), np.int64)
         head = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
         out_a, out_b = [], []
         for lo, hi in zip(head, np.r_[head[1:], len(cell)]):
             x = lo + np.flatnonzero(left[lo:hi])
             y = lo + np.flatnonzero(~left[lo:hi])
             for i in x:
-                same = sig[y] == sig[i]
-                near = (same.mean(axis=1) >= least) & (comp[y] != comp[i])
-                first = same[near].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
-                hit = y[near][first == band[lo]]
+                near = y[((sig[y] == sig[i]).mean(axis=1) >= least) & (comp[y] != comp[i])]
+                # by the keys that make the buckets: bytes of a signature may agree where they do not
+                hit = near[(keys[near] == keys[i]).argmax(axis=1) == band[i]]
                 out_a.append(np.minimum(node[hit], node[i]))
                 out_b.append(np.maximum(node[hit], node[i]))
         if not out_a:
@@ -282,7 +282,7 @@ def _classes(docs: DataFrame, threshold: float) -> DataFrame:
                   .select("node", F.posexplode("bands").alias("band", "key")), "near-bands")
     shared = held.groupBy("key").agg(F.min("node").alias("rep"), F.max("node").alias("top")).filter("rep <> top").select("key", "rep")
     members = stored(held.join(shared, "key"), "near-members")
-    sets = stored(signed_nodes.select("node", "shingles", "sig").join(members.select("node").distinct(), "node", "left_semi"), "near-sets")
+    sets = stored(signed_nodes.select("node", "shingles", "sig", "bands").join(members.select("node").distinct(), "node", "left_semi"), "near-sets")
 
     # every text against its buckets' smallest ones
     stars = stored(members.filter("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct(), "near-stars")

@@ -87,3 +87,16 @@ def test_keys_have_recall_at_the_threshold(documents):
     got = {r.doc_id: set(r.bands) - {None} for r in linededup.occurrences(documents(rows)).select("doc_id", "bands").collect()}
     hit = {u: np.mean([bool(got[2 * i] & got[2 * i + 1]) for i, n in enumerate(names) if n == u]) for u in set(names)}
     assert min(hit.values()) >= 0.99, hit
+
+
+def test_block_search_takes_the_first_true_band(spark):
+    """Two texts whose bytes agree in band 0, where their keys differ, and that share the bucket of band 1."""
+    registers = neardup.ROWS * neardup.BANDS
+    one, two = list(range(100, 100 + neardup.BANDS)), list(range(500, 500 + neardup.BANDS))
+    two[1] = one[1]
+    sigs = spark.createDataFrame([(1, bytearray(registers), one), (2, bytearray(registers), two)], "node long, sig binary, bands array<long>")
+    members = spark.createDataFrame([(one[1], 1, 1, 1, 1), (one[1], 1, 2, 2, 1)], "key long, band int, node long, comp long, main long")
+    assert [tuple(r) for r in neardup.block_pairs(members, sigs, 0.7).collect()] == [(1, 2)]
+    # a pair that shares several buckets comes out of one
+    both = members.unionByName(members.withColumns({"key": F.lit(77).cast("long"), "band": F.lit(2)}))
+    assert neardup.block_pairs(both, sigs, 0.7).count() == 1
