@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, htmltext, licenses, linededup, neardup, packing, pieces, quality, sharding, urlfilter
+from . import fim, fingerprints, htmltext, interaction, licenses, linededup, neardup, packing, pieces, quality, sharding, urlfilter
 from .common import table
 
 #: Vocabulary files; override to run with others.
@@ -52,6 +52,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op12_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interaction.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(table(spark, sf_dir, "documents"), seed=42)
+
+
 QUERIES = {
     "op1_sentencepiece": (op1_sentencepiece, None),
     "op2_licenses": (op2_licenses, None),
@@ -63,4 +71,6 @@ QUERIES = {
     "op8_linededup": (op8_linededup, None),
     "op9_packing": (op9_packing, None),
     "op10_quality": (op10_quality, quality.oracle_sql()),
+    "op12_audit": (op12_audit, interaction.oracle_sql()),
+    "op13_fim": (op13_fim, fim.oracle_sql()),
 }
