@@ -14,6 +14,7 @@ from arrearscope.llm.components import components
 from arrearscope.llm.queries import QUERIES, WORD_TOKENIZER
 from conftest import SF_SMALL
 from llm.conftest import ODD
+from llm.test_whole_dedup import every_character
 
 
 def table(spark, name):
@@ -36,7 +37,7 @@ def spark_rows(df):
 
 def test_registered():
     keys = E.queries()
-    assert [k for k in keys if re.match(r"op\d+_", k)] and all(any(k.startswith(f"op{n}_") for k in keys) for n in range(1, 11)) and "pipeline" in keys
+    assert [k for k in keys if re.match(r"op\d+_", k)] and all(any(k.startswith(f"op{n}_") for k in keys) for n in range(1, 14)) and "pipeline" in keys
     assert set(QUERIES) <= set(keys)
 
 
@@ -218,55 +219,6 @@ def test_html_blocks():
 
 # op8
 
-def line_reference(rows):
-    """(doc_id, text) -> text left, by all pairs of lines."""
-    def norm(x):
-        return re.sub(r"[\x20\x09-\x0D]+", " ", x.strip(" \t\n\x0b\f\r")).lower()
-
-    def shingles(n):
-        out, at = set(), 0
-        for w in n.split(" "):
-            out |= {n[at + o:at + o + 8] for o in range(0, len(w), 8)}
-            at += len(w) + 1
-        return out
-
-    docs = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
-    names, occ = {}, []
-    for d, t in docs:
-        for i, line in enumerate((t or "").split("\n")):
-            if norm(line):
-                occ.append(((d, t), i, names.setdefault(norm(line), len(names))))
-    sets = [shingles(n) for n in names]
-    by = defaultdict(list)
-    for i, s in enumerate(sets):
-        for x in s:
-            by[x].append(i)
-    near = {p for v in by.values() for p in itertools.combinations(v, 2)}
-    root = list(range(len(sets)))
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for i, j in near:
-        if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
-            a, b = sorted((find(i), find(j)))
-            root[b] = a
-    seen, keep = set(), defaultdict(set)
-    for d, i, n in occ:
-        if find(n) not in seen:
-            seen.add(find(n))
-            keep[d].add(i)
-    out = {}
-    for d, t in docs:
-        lines = (t or "").split("\n")
-        n = sum(1 for x in lines if norm(x))
-        k = keep[(d, t)]
-        out[(d, t)] = t if len(k) == n else "" if not k else "\n".join(x for i, x in enumerate(lines) if i in k or not norm(x))
-    return out
-
-
 @pytest.mark.parametrize("kind", ["small", "odd", "fuzzy"])
 def test_lines_equal_brute_force(spark, documents, kind):
     rng = np.random.default_rng(2)
@@ -278,7 +230,7 @@ def test_lines_equal_brute_force(spark, documents, kind):
         fuzzy.append((i, " ".join(w) + f"\nown line number {i} of its kind {i * 7}\n\n" + " ".join(base[:4])))
     df = {"small": lambda: table(spark, "documents"), "odd": lambda: documents(ODD, True), "fuzzy": lambda: documents(fuzzy)}[kind]()
     rows = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
-    want = line_reference(rows)
+    want = every_character(rows)
     out = linededup.dedup_documents(df)
     assert out.columns == df.columns
     assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted(((d, want[(d, t)]) for d, t in rows), key=str)
@@ -347,7 +299,7 @@ def test_pipeline_equals_brute_force(spark):
     verdict = {dict(zip(names, r))["doc_id"]: dict(zip(names, r)) for r in sql_rows(quality.oracle_sql(), documents=frame)}
     assert all(v["removed_lines"] == 0 for v in verdict.values())  # hosts are small here: no line is above the limit
     kept = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect() if verdict[r.doc_id]["kept"]]
-    lines = line_reference(kept)
+    lines = every_character(kept)
     after = [(d, lines[(d, t)]) for d, t in kept]
     first = {}
     for d, c, _ in near_reference(after):
