@@ -4,7 +4,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fim, fingerprints, htmltext, interaction, licenses, linededup, neardup, packing, pieces, quality, sharding, urlfilter
+from . import fim, fingerprints, htmltext, interaction, licenses, linededup, neardup, packing, pieces, quality, sharding, tokenfiles, urlfilter
+from ..session import shared_dir
 from .common import table
 
 #: Vocabulary files; override to run with others.
@@ -52,6 +53,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op11_tokenfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_dir(spark, "token-files")
+    tokenfiles.write_tokens(table(spark, sf_dir, "documents"), WORD_TOKENIZER, folder, end_id=1)
+    return tokenfiles.read_digests(spark, folder)
+
+
 def op12_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interaction.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -71,6 +78,7 @@ QUERIES = {
     "op8_linededup": (op8_linededup, None),
     "op9_packing": (op9_packing, None),
     "op10_quality": (op10_quality, quality.oracle_sql()),
+    "op11_tokenfiles": (op11_tokenfiles, None),
     "op12_audit": (op12_audit, interaction.oracle_sql()),
     "op13_fim": (op13_fim, fim.oracle_sql()),
 }
