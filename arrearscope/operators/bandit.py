@@ -45,7 +45,12 @@ def update(prior_df: DataFrame, outcomes: DataFrame, accounts: DataFrame,
     seg = accounts.select(F.col(key).alias(user), "segment")
     per_seg = (per_user.join(seg, user, "inner")
                .groupBy("segment", "channel").agg(F.sum("s").alias("s"), F.sum("f").alias("f")))
-    return (prior_df.join(per_seg, ["segment", "channel"], "left")
+    return posterior(prior_df, per_seg)
+
+
+def posterior(prior_df: DataFrame, counts: DataFrame) -> DataFrame:
+    """The prior plus successes ``s`` and failures ``f`` per (segment, channel)."""
+    return (prior_df.join(counts, ["segment", "channel"], "left")
             .select("segment", "channel", "channel_order",
                     (F.col("alpha") + F.coalesce(F.col("s"), F.lit(0))).cast("double").alias("alpha"),
                     (F.col("beta") + F.coalesce(F.col("f"), F.lit(0))).cast("double").alias("beta")))
