@@ -20,7 +20,7 @@ import zlib
 import numpy as np
 
 GAIN = 32
-SLOTS = 13  # two to this many slots in each prediction table
+SLOTS = 12  # two to this many slots in each prediction table
 RATE = 5  # a share moves by 1/32 of the difference
 ONE, MOST = 4096, 3600  # shares are in 4096ths, at most MOST
 SURE = 15  # highest confidence; 0 is an empty slot
@@ -47,58 +47,52 @@ def held(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Predictions:
-    """Orders 1 and 2 of all lanes; all begin alike and take their steps together."""
+    """Orders 1 and 2 of all lanes, as rows 0 and 1 of each array; all lanes begin alike and take their steps together."""
 
     def __init__(self, lanes: int):
-        lane = np.arange(lanes)
-        self.slot, self.share_row = lane << SLOTS, lane * (SURE + 1)
-        self.tables = [np.zeros(lanes << SLOTS, np.int64) for _ in range(2)]
-        self.share = [np.where(np.arange(lanes * (SURE + 1)) % (SURE + 1), ONE // 8, 0) for _ in range(2)]
+        row = np.arange(2 * lanes).reshape(2, lanes)
+        self.slot, self.share_row = row << SLOTS, row * (SURE + 1)
+        # an entry is the id that came last and, in its low bits, the confidence; at first an id that never comes
+        self.table = np.full(2 * lanes << SLOTS, LIMIT << 4, np.uint32)
+        self.share = np.where(np.arange(2 * lanes * (SURE + 1)) % (SURE + 1), ONE // 8, 0)
         self.odds = np.array([(h << 16) // (ONE - h) for h in range(MOST + 1)])
-        self.last = [np.zeros(lanes, np.int64) for _ in range(2)]
+        # what a miss and a hit add to an entry
+        sure = np.arange(SURE + 1)
+        self.change = np.concatenate([(sure >> 1) - sure, (sure < SURE).astype(np.int64)])
+        self.key = np.zeros((2, lanes), np.int64)
 
     def predict(self, m: int, total: int) -> None:
         """Ids and masses that orders 1 and 2 predict in the first ``m`` lanes, beside ``total`` of order 0."""
-        key = self.last[0][:m] * 40503
-        mask = (1 << SLOTS) - 1
-        self.places, self.guess, self.sure, self.cells, self.shares = [], [], [], [], []
-        bonus = []
-        for i, at in enumerate((key, key + self.last[1][:m] * 60493 + 12345)):
-            place = (at >> 3 & mask) + self.slot[:m]
-            entry = self.tables[i].take(place)
-            sure = entry & SURE
-            cell = self.share_row[:m] + sure
-            share = self.share[i].take(cell)
-            self.places.append(place)
-            self.guess.append(entry >> 4)
-            self.sure.append(sure)
-            self.cells.append(cell)
-            self.shares.append(share)
-            bonus.append((self.odds.take(share) * (total + bonus[0] if i else total)) >> 16)
-        one, two = bonus
-        agree = one * (self.guess[0] == self.guess[1])
-        self.two = two + agree  # the id of order 2 comes first, then that of order 1
-        self.both = two + one
+        self.place = (self.key[:, :m] >> 3 & ((1 << SLOTS) - 1)) + self.slot[:, :m]
+        self.entry = self.table.take(self.place, mode="clip").astype(np.int64)
+        self.guess, self.sure = self.entry >> 4, self.entry & SURE
+        self.cell = self.sure + self.share_row[:, :m]
+        self.held = self.share.take(self.cell, mode="clip")
+        one, two = self.odds.take(self.held, mode="clip")
+        one = one * total >> 16
+        two = (one + total) * two >> 16
+        self.both = one + two
+        self.two = two + one * (self.guess[0] == self.guess[1])  # the id of order 2 comes first, then that of order 1
         self.mass = self.both + total
 
-    def interval(self, below: np.ndarray, own: np.ndarray, hit: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """(mass below, mass) of ids that have the given place in order 0."""
-        one, two = hit
-        below = np.where(two, 0, np.where(one, self.two, below + self.both))
-        return below, np.where(two, self.two, np.where(one, self.both - self.two, own))
-
-    def hits(self, x: np.ndarray) -> list[np.ndarray]:
-        """Whether the id is the predicted one and its mass isn't zero."""
-        one = (self.guess[0] == x) & (self.both > self.two)
-        return [one, (self.guess[1] == x) & (self.two > 0)]
+    def interval(self, below: np.ndarray, own: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(mass below, mass) of ids with the given place in order 0; ``one`` and ``two`` tell those that come by prediction."""
+        below, own = below + self.both, own.copy()
+        np.copyto(below, self.two, where=one)
+        np.copyto(own, self.both - self.two, where=one)
+        np.copyto(below, 0, where=two)
+        np.copyto(own, self.two, where=two)
+        return below, own
 
     def learn(self, x: np.ndarray, m: int) -> None:
-        for table, share, place, guess, sure, cell, old in zip(self.tables, self.share, self.places, self.guess, self.sure, self.cells, self.shares):
-            hit = (guess == x) & (sure > 0)
-            share[cell] = np.minimum(old + (((hit * ONE) - old >> RATE) * (sure > 0)), MOST)
-            table[place] = np.where(hit, np.minimum(sure + 1, SURE) + (guess << 4), np.where(sure < 2, (x << 4) + 1, (sure >> 1) + (guess << 4)))
-        self.last[1][:m] = self.last[0][:m]
-        self.last[0][:m] = x
+        hit = self.guess == x
+        self.share.put(self.cell, self.held + ((hit * MOST - self.held) >> RATE), mode="clip")
+        entry = self.entry + self.change.take(self.sure + (hit << 4), mode="clip")
+        np.copyto(entry, (x << 4) + 1, where=(self.sure < 2) & ~hit)
+        self.table.put(self.place, entry, mode="clip")
+        key = x * 40503
+        self.key[1, :m] = (self.key[0, :m] & 0xFFFFF) * 60493 + key
+        self.key[0, :m] = key
 
 
 class Coder:
@@ -113,7 +107,7 @@ class Coder:
         low, width = self.low[:m], self.range[:m]
         low += unit * below.view(np.uint64)
         np.multiply(unit, own.view(np.uint64), out=width)
-        same = (low ^ (low + width - np.uint64(1))) >> WORD == 0
+        same = (low ^ (low + width - np.uint64(1))) <= LOW
         cut = (width < BOTTOM) & ~same
         if cut.any():  # the range is small and crosses a word: keep the part below the crossing
             width[cut] = np.uint64(1 << 32) - (low[cut] & LOW)
@@ -121,8 +115,8 @@ class Coder:
         return np.flatnonzero(same)
 
     def shift(self, lanes: np.ndarray) -> None:
-        self.low[lanes] <<= WORD
-        self.range[lanes] = (self.range[lanes] << WORD) - np.uint64(1)
+        self.low.put(lanes, self.low.take(lanes) << WORD)
+        self.range.put(lanes, (self.range.take(lanes) << WORD) - np.uint64(1))
 
 
 def lanes_of(blocks: list, sizes: list[int]) -> tuple[list[int], np.ndarray]:
@@ -166,11 +160,14 @@ def encode(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
             m = int(np.searchsorted(-sizes, -step, "left"))
             x = ids[step - first, :m]
             model.predict(m, total)
-            below, own = model.interval(lower[step - first, :m], mine[step - first, :m], model.hits(x))
+            two = (model.guess[1] == x) & (model.two > 0)
+            one = (model.guess[0] == x) & (model.both > model.two)
+            below, own = model.interval(lower[step - first, :m], mine[step - first, :m], one & ~two, two)
             out = coder.narrow(coder.range[:m] // model.mass.view(np.uint64), below, own, m)
             if len(out):
-                words[out, used[out]] = coder.low[out] >> WORD
-                used[out] += 1
+                at = used.take(out)
+                words.put(out * words.shape[1] + at, coder.low.take(out) >> WORD)
+                used.put(out, at + 1)
                 coder.shift(out)
             model.learn(x, m)
     result: list[bytes] = [b""] * lanes
@@ -194,26 +191,22 @@ def decode(coded: list[bytes], sizes: list[int], vocabulary: int) -> list[np.nda
     for lane, i in enumerate(order):
         raw = np.frombuffer(coded[i], "<u4")
         words[lane, :len(raw)] = raw
-    ids = np.zeros((lanes, steps), np.int64)
+    ids = np.zeros((steps, lanes), np.int32)
     model, coder = Predictions(lanes), Coder(lanes)
     code = words[:, 0] << WORD | words[:, 1]
     used = np.full(lanes, 2, np.int64)
     for first, last in stretches(steps):
         m = int(np.searchsorted(-count, -first, "left"))
-        # distinct ids of each lane: mass below, mass and id; entry 0 stands for what lies below the first
-        tables = [held(ids[lane, :first]) for lane in range(m)]
+        # the distinct ids of each lane with the mass below and of each; entry 0 stands for what lies below the first
+        tables = [held(row) for row in np.ascontiguousarray(ids[:first, :m].T)]
         width = 1 << max(len(k) for k, _, _ in tables).bit_length()
-        lower = np.full((m, width), np.iinfo(np.int64).max)
-        mine, name = np.zeros((m, width), np.int64), np.zeros((m, width), np.int64)
+        lower = np.full((m, width), 0xFFFFFFFF, np.uint32)
+        mine, name = np.zeros((m, width), np.uint32), np.zeros((m, width), np.uint32)
         lower[:, 0] = 0
         for lane, (known, low, own) in enumerate(tables):
-            lower[lane, 1:len(known) + 1] = low
-            mine[lane, 1:len(known) + 1] = own
-            name[lane, 1:len(known) + 1] = known
-        # beyond its entry's mass an unseen id is its place less what the seen ids add
-        name[:, 0] = -1
-        added = lower + mine - name - 1
-        flat_lower, flat_mine, flat_name, flat_added = (a.reshape(-1) for a in (lower, mine, name, added))
+            n = len(known) + 1
+            lower[lane, 1:n], mine[lane, 1:n], name[lane, 1:n] = low, own, known
+        lower, mine, name = lower.reshape(-1), mine.reshape(-1), name.reshape(-1)
         rows = np.arange(m) * width
         total = vocabulary + GAIN * first
         for step in range(first, last):
@@ -222,26 +215,38 @@ def decode(coded: list[bytes], sizes: list[int], vocabulary: int) -> list[np.nda
             unit = coder.range[:m] // model.mass.view(np.uint64)
             t = np.minimum(((code[:m] - coder.low[:m]) // unit).view(np.int64), model.mass - 1)
             two, one = t < model.two, t < model.both
+            one &= ~two
             t -= model.both
-            at = rows[:m].copy()
+            np.maximum(t, 0, out=t)
+            wanted = t.astype(np.uint32)
+            at = rows[:m]
             jump = width >> 1
             while jump:
-                at += jump * (flat_lower.take(at + jump) <= t)
+                to = at + jump
+                at = np.where(lower.take(to, mode="clip") <= wanted, to, at)
                 jump >>= 1
-            below, own = flat_lower.take(at), flat_mine.take(at)
-            seen = t < below + own
-            x = np.where(two, model.guess[1], np.where(one, model.guess[0], np.where(seen, flat_name.take(at), t - flat_added.take(at))))
-            below, own = model.interval(np.where(seen, below, t), np.where(seen, own, 1), [one, two])
+            below, own = lower.take(at, mode="clip").astype(np.int64), mine.take(at, mode="clip")
+            x = name.take(at, mode="clip").astype(np.int64)
+            beyond = t - below - own
+            new = beyond >= 0
+            # an unseen id: so many after the seen one below it (entry 0: from the first id on)
+            np.copyto(x, x + beyond + (at > rows[:m]), where=new)
+            np.copyto(below, t, where=new)
+            np.copyto(own, 1, where=new)
+            np.copyto(x, model.guess[0], where=one)
+            np.copyto(x, model.guess[1], where=two)
+            below, own = model.interval(below, own.astype(np.int64), one, two)
             out = coder.narrow(unit, below, own, m)
             if len(out):
-                code[out] = code[out] << WORD | words[out, used[out]]
-                used[out] += 1
+                at = used.take(out)
+                code.put(out, code.take(out) << WORD | words.take(out * words.shape[1] + at))
+                used.put(out, at + 1)
                 coder.shift(out)
             model.learn(x, m)
-            ids[:m, step] = x
+            ids[step, :m] = x
     result: list[np.ndarray] = [np.empty(0, np.int64)] * lanes
     for lane, i in enumerate(order):
-        result[i] = ids[lane, :count[lane]].copy()
+        result[i] = ids[:count[lane], lane].astype(np.int64)
     return result
 
 
