@@ -22,6 +22,16 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def per_worker(key: tuple, make):
+    """``make()`` once per Python worker and key: tables that are costly to fill serve all tasks of a worker."""
+    import sys
+    import types
+    kept = sys.modules.setdefault("arrearscope_worker", types.ModuleType("arrearscope_worker"))
+    if key not in kept.__dict__.setdefault("made", {}):
+        kept.made[key] = make()
+    return kept.made[key]
+
+
 def pieces_of(text: str, limit: int):
     """``text`` in slices of at most ``limit`` characters (for bounded working memory, not for cutting work)."""
     for i in range(0, len(text), limit):

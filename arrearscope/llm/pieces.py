@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import no_text
+from .common import no_text, per_worker
 
 SPACE = "▁"  # the vocabulary's visible space
 LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", ".,;:!?"
@@ -208,7 +208,7 @@ def encode_documents(docs: DataFrame, model_path: str, chars: int = 4_000_000) -
     """doc_id, n_tokens, ids_sha256, decoded_sha256, n_segments of every whole text."""
 
     def run(batches):
-        codec = Codec(model_path)
+        codec = per_worker(("pieces", model_path), lambda: Codec(model_path))
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             at = 0
