@@ -12,7 +12,8 @@ loss against one global packing is at most a part-filled bin or two per block. F
 search: each is a sequence of its own.
 
 Tokens. ``token_pieces`` tokenises whole texts in Arrow batches. The vocabulary's pre-tokeniser never joins
-characters across white space, so a text is encoded run by run; a bounded cache keeps the runs' ids.
+characters across white space, so a text is encoded run by run; a bounded cache keeps the runs' ids for all tasks of a
+Python worker.
 
 Edge cases. Null text is the empty text: one piece holding only the end id. Ties go to the lowest bin; repeated
 rows are pieces of their own; an empty table gives an empty result; further columns are ignored.
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import no_text, stored
+from .common import no_text, per_worker, stored
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -41,15 +42,18 @@ RUNS = re.compile(r"[^ \t\n\r\x0b\x0c]+")
 class RunEncoder:
     """Ids (little-endian unsigned 32-bit) of texts by a ``tokenizers`` file, run of non-white-space by run.
 
-    The vocabulary drops white space, lower-cases letter by letter and never merges across runs. Runs are looked up
-    in a bounded cache; a new Latin-1 run is cut as the vocabulary's own pattern cuts it and its words are looked up
-    in a second cache, so the library only sees each new word once; any other new run goes to the library whole.
+    The vocabulary drops white space, lower-cases letter by letter and never merges across runs. A Latin-1 text is cut into
+    words by the vocabulary's own pattern, and words are looked up in a bounded cache, so the library only sees each new
+    word once. Other texts are cut into runs with a cache of their own; a new Latin-1 run is cut into words, any other new
+    run goes to the library whole.
     """
 
     #: The pre-tokeniser's pattern for lower-case Latin-1 runs (fixed values: its classes and contractions).
     WORDS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^a-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
     LETTERS = re.compile(r"[a-zªºß-öø-ÿ]+")
     LATIN = re.compile(r"[\x00-\xb4\xb6-\xff]+")
+    #: The same over a whole text: white space belongs to no word, so words never cross runs.
+    TEXT_WORDS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^a-zªµºß-öø-ÿ0-9²³¹¼½¾ \t\n\r\x0b\x0c\x85\xa0]+")
 
     def __init__(self, path: str, cache_runs: int = 500_000, cache_words: int = 500_000, longest: int = 40):
         import os
@@ -108,10 +112,30 @@ class RunEncoder:
         out.update((r, b"".join(map(get, words))) for r, words in cut.items())
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _plain(self, text: str) -> bool:
+        """Latin-1 without the vocabulary's special strings, so the pattern alone cuts it."""
+        return ("<|" not in text and (text.isascii() or self.LATIN.fullmatch(text) is not None)
+                and not any(c in text for c in INFO_SEPARATORS))
+
+    def _by_words(self, texts: list[str]) -> list[bytes]:
+        split = [self.TEXT_WORDS.findall(t.lower()) for t in texts]
+        known = self.words
+        new = set().union(*map(set, split)).difference(known)
+        long = {}
+        if new:
+            learnt = self._learn_words(new)
+            long = {w: learnt.pop(w) for w in [w for w in learnt if len(w) > self.longest]}
+            if len(known) + len(learnt) > self.cache_words:  # bounded: keep what this batch uses
+                known = {w: known[w] for words in split for w in words if w in known}
+            known.update(learnt)
+            self.words = known
+        get = known.__getitem__ if not long else lambda w: known[w] if w in known else long[w]
+        return [b"".join(map(get, words)) for words in split]
+
+    def _by_runs(self, texts: list[str]) -> list[bytes]:
         split = [RUNS.findall(t) if any(c in t for c in INFO_SEPARATORS) else t.split() for t in texts]
         known = self.runs
-        new = set().union(*map(set, split)).difference(known) if split else set()
+        new = set().union(*map(set, split)).difference(known)
         if new:
             learnt = self._learn(new)
             short = {r: b for r, b in learnt.items() if len(r) <= self.longest}
@@ -124,12 +148,18 @@ class RunEncoder:
         get = known.__getitem__
         return [b"".join(map(get, runs)) for runs in split]
 
+    def encode(self, texts: list[str]) -> list[bytes]:
+        plain = [self._plain(t) for t in texts]
+        words = iter(self._by_words([t for t, p in zip(texts, plain) if p]))
+        runs = iter(self._by_runs([t for t, p in zip(texts, plain) if not p]))
+        return [next(words if p else runs) for p in plain]
+
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, limit: int, end_id: int = 0, chars: int = 4_000_000) -> DataFrame:
     """One row per piece: a document's ids and the end id, cut only where they exceed ``limit`` tokens."""
 
     def run(batches):
-        encoder = RunEncoder(tokenizer_path)
+        encoder = per_worker(("runs", tokenizer_path), lambda: RunEncoder(tokenizer_path))
         end = np.asarray([end_id], dtype="<u4").tobytes()
         step = 4 * limit
         for batch in batches:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import mixcoder
-from .common import no_text
+from .common import no_text, per_worker
 from .packing import RunEncoder
 
 MAGIC, VERSION = b"IDMX", 1
@@ -119,7 +119,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
     def run(batches):
         from pyspark import TaskContext
         part = TaskContext.get().partitionId()
-        encoder = RunEncoder(tokenizer_path)
+        encoder = per_worker(("runs", tokenizer_path), lambda: RunEncoder(tokenizer_path))
         vocabulary = max(encoder.whole.get_vocab_size(), end_id + 1)
         waiting, names, ids, held, seq = [], [], [], 0, 0
 

@@ -249,6 +249,9 @@ def test_runs_equal_whole_texts():
     rng = random.Random(2)
     odd = ["a\x1cb !\x1c! x", " á ́b", "İ Σίσυφος ΣΑΣ", "a<|endoftext|>b <|startoftext|>", "it's 're ' s'll", "　日本 \x85 x", "é" * 50 + "x" * 500, "ﬁ ẞ ﬀ µ ª²½ 'S 'RE"]
     odd += ["".join(rng.choice("aAé'sµ²1!. \n\x1d日ẞ") for _ in range(rng.randrange(60))) for _ in range(300)]
+    # whole Latin-1 texts, with every character of it, long words and the special strings' parts
+    odd += ["".join(map(chr, range(256))), "A\x85b\xa0C'S' t 'Re", "< |x|> <", "z" * 300 + " É" + "Q" * 100, "don't' 'D 12½x ªºµ"]
+    odd += ["".join(rng.choice("aAéÿß'sS²½1!.<|> \n\x85\xa0\x1b\x00tredm") for _ in range(rng.randrange(80))) for _ in range(600)]
     for i in range(0, len(odd), 25):
         for t, raw in zip(odd[i:i + 25], encoder.encode(odd[i:i + 25])):
             assert np.frombuffer(raw, "<u4").tolist() == ids_reference(t)[:-1], repr(t)
