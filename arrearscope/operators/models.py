@@ -2,25 +2,25 @@
 
 Settings follow the reference (forests 250 x depth 10 x leaf 5, GBT 200 x depth 3 x 0.08, uplift forests
 300 x depth 6, KMeans k=4 with 10 restarts). Fitted models are driver-side objects; the data they
-train on is persisted MEMORY_AND_DISK so a lost executor recomputes its blocks from lineage, and
-iterative fits checkpoint to the shared folder (``spark.checkpoint.dir``) every 10 iterations.
+train on is written once as a narrow table to the shared folder (``spark.checkpoint.dir``), so a lost executor reads files
+again and nothing stays cached, and iterative fits checkpoint there every 10 iterations.
 """
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import HashingTF, IDF, Normalizer, RegexTokenizer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
-from .splits import class_weights, roc_auc, stratified_split
+from ..functions.numeric import lit_d
+from ..session import shared_dir, written
+from .splits import class_weights, cumulative_before, roc_auc, stratified_split
 
 FIT_THREADS = 4  # independent fits are submitted as concurrent Spark jobs
 
@@ -79,7 +79,7 @@ def sized(df: DataFrame, n: int | None = None) -> DataFrame:
 
 def split_train_test(df: DataFrame, label: str, share: float, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     s = stratified_split(df, label, share, seed)
-    s = sized(s, df.count()).persist(StorageLevel.MEMORY_AND_DISK)
+    s = written(sized(s, df.count()), f"train-{label}")
     return s.where(~F.col("is_test")).drop("is_test"), s.where(F.col("is_test")).drop("is_test")
 
 
@@ -117,8 +117,9 @@ def train_gbts(df: DataFrame, features: Sequence[str], targets: Sequence[str], *
 
 
 def train_uplift(df: DataFrame, features: Sequence[str], label: str, **kw):  # M6: T-learner
-    treated = sized(df.where(F.col("treatment") == 1)).persist(StorageLevel.MEMORY_AND_DISK)
-    control = sized(df.where(F.col("treatment") == 0)).persist(StorageLevel.MEMORY_AND_DISK)
+    narrow = df.select(*features, label, "treatment")
+    treated = written(sized(narrow.where(F.col("treatment") == 1)), "train-treated")
+    control = written(sized(narrow.where(F.col("treatment") == 0)), "train-control")
     mt, mc = fit_all(lambda d: fit_forest(d, features, label, **({**UPLIFT_RF, **kw})), [treated, control])
     return mt, mc
 
@@ -130,42 +131,69 @@ def uplift_scores(df: DataFrame, m_treated, m_control) -> DataFrame:  # M7
                              "recovery_probability": F.col("p_treated")})
 
 
+def feistel(x: Column, n: int, key: Column, rounds: int = 6) -> Column:
+    """A keyed permutation of 0..n-1 as a column of ``x``: x is a pair (left of a, right of b values, a * b just above n), and
+    every round adds a hash of one half to the other, which can be undone and so maps the pairs one to one. Pairs at or above
+    n are walked on until they fall below it: fewer than one in sqrt(n) of them, so 64 steps are never used up."""
+    a = max(1, math.isqrt(max(n - 1, 0)) + 1)
+    b = max(1, -(-n // a))
+
+    def once(v):
+        halves = F.struct(F.floor(v / F.lit(b)).cast("bigint").alias("l"), (v % F.lit(b)).cast("bigint").alias("r"))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), halves, lambda h, r: F.struct(
+            F.when(r % 2 == 0, (h["l"] + mixed(h["r"], key, r)) % F.lit(a)).otherwise(h["l"]).cast("bigint").alias("l"),
+            F.when(r % 2 == 1, (h["r"] + mixed(h["l"], key, r)) % F.lit(b)).otherwise(h["r"]).cast("bigint").alias("r")),
+            lambda h: h["l"] * F.lit(b) + h["r"])
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(64)), once(x.cast("bigint")), lambda v, _: F.when(v < n, v).otherwise(once(v)))
+
+
+def mixed(v: Column, key: Column, r: Column) -> Column:
+    """Round function: products and a division of whole numbers below 2^63, so SQL can state the same."""
+    key, r = key.cast("bigint"), r.cast("bigint")
+    y = (v + key * F.lit(7919) + F.lit(104729) * (r + 1)) % F.lit(2147483647)
+    y = (y * F.lit(48271)) % F.lit(2147483647)
+    return F.floor((y * F.lit(69621)) % F.lit(2147483647) / F.lit(16)).cast("bigint")
+
+
+def numbered(df: DataFrame, order: Sequence[str], n: int, rows_per_bucket: int = 200_000) -> DataFrame:
+    """Adds ``row_no``, 0..n-1 in the order of a hash of the columns ``order``: numbers inside hash ranges plus the sizes of
+    the ranges before, so no task numbers all rows."""
+    buckets = max(1, -(-n // rows_per_bucket))
+    h = df.withColumn("_h", F.xxhash64(*order))
+    span = (1 << 64) // buckets + 1
+    bucket = F.floor((F.col("_h").cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")) / F.lit(str(span)).cast("decimal(20,0)")).cast("int")
+    return cumulative_before(h, [], bucket, [F.col("_h"), *[F.col(c) for c in order]]).withColumnRenamed("_before", "row_no").drop("_h")
+
+
 def permutation_importance(model, test: DataFrame, features: Sequence[str], label: str, repeats: int = 15,
-                           seed: int = 42, bucket_rows: int = 200_000) -> DataFrame:
+                           seed: int = 42) -> DataFrame:
     """M8: mean accuracy drop when one feature's values are shuffled across test rows.
 
-    Each (feature, repeat) permutation is drawn inside hash buckets of at most ``bucket_rows`` rows:
-    rows are ranked by one hash, donor values by another, and matched on rank with an equi-join, so
-    no task ever holds more than one bucket of one (feature, repeat). All 15 x 14 permuted copies are
-    scored by a single ``transform``.
+    The test rows are numbered once and stored. In each repeat a row meets one donor, the row at the place that a keyed
+    permutation of the numbers gives it: one join per repeat, in which both sides have one row per test row. The donor's
+    vector then serves all features in-row: vector f is the row's own with the donor's value at f. The accuracies of a repeat
+    are sums, reduced map-side; ``rows`` states how many test rows each rests on.
     """
-    n = test.count()
-    buckets = max(1, -(-n // bucket_rows))
     feats = list(features)
-    t = test.select("customer_id", *feats, label)
-    keyed = (t.withColumn("f", F.explode(F.sequence(F.lit(0), F.lit(len(feats) - 1))))
-             .withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))))
-    h = lambda tag: F.xxhash64("customer_id", "f", "r", F.lit(seed), F.lit(tag))
-    keyed = keyed.withColumn("b", F.pmod(h("bucket"), F.lit(buckets)))
-    w_pos = Window.partitionBy("f", "r", "b").orderBy(h("pos"), "customer_id")
-    w_val = Window.partitionBy("f", "r", "b").orderBy(h("val"), "customer_id")
+    n = test.count()
     vals = F.array(*[F.col(c).cast("double") for c in feats])
-    rows = keyed.withColumn("k", F.row_number().over(w_pos))
-    donors = keyed.select("f", "r", "b", F.row_number().over(w_val).alias("k"),
-                          F.element_at(vals, F.col("f") + 1).alias("donor"))
-    perm = rows.join(donors, ["f", "r", "b", "k"])
-    swapped = F.transform(vals, lambda x, i: F.when(i == F.col("f"), F.col("donor")).otherwise(x))
-    base = t.select("customer_id", label, F.lit(-1).alias("f"), F.lit(0).alias("r"), vals.alias("_vals"))
-    allrows = perm.select("customer_id", label, "f", "r", swapped.alias("_vals")).unionByName(base)
-    scored = model.stages[-1].transform(allrows.withColumn("features", array_to_vector("_vals")))
-    acc = scored.groupBy("f", "r").agg(F.avg((F.col("prediction") == F.col(label)).cast("double")).alias("acc"))
-    # (features x repeats + 1) rows: a global window over them is bounded.
-    acc = acc.withColumn("base", F.max(F.when(F.col("f") == -1, F.col("acc"))).over(Window.partitionBy()))
+    t = written(numbered(test.select("customer_id", F.col(label).cast("double").alias("y"), vals.alias("x")), ["customer_id"], n), "permutation-rows")
+    runs = t.select("row_no", "y", "x", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("r"))
+    runs = runs.withColumn("donor_no", feistel(F.col("row_no"), n, F.col("r") + F.lit(seed * 1000)))
+    joined = runs.join(t.select(F.col("row_no").alias("donor_no"), F.col("x").alias("dx")), "donor_no")
+    # vector -1 is the row as it is
+    vectors = F.transform(F.sequence(F.lit(-1), F.lit(len(feats) - 1)), lambda f: F.struct(
+        f.alias("f"), F.transform("x", lambda v, i: F.when(i == f, F.element_at("dx", i + 1)).otherwise(v)).alias("v")))
+    swapped = joined.select("y", "r", F.explode(vectors).alias("s")).select("y", "r", "s.f", array_to_vector("s.v").alias("features"))
+    scored = model.stages[-1].transform(swapped)
+    acc = scored.groupBy("f", "r").agg(F.count_if(F.col("prediction") == F.col("y")).alias("right"), F.count(F.lit(1)).alias("rows"))
+    base = acc.where("f = -1").select("r", (F.col("right") / F.col("rows")).alias("base"))
+    drop = F.col("base") - F.col("right") / F.col("rows")
     names = F.array(*[F.lit(c) for c in feats])
-    drop = F.col("base") - F.col("acc")
-    return (acc.where(F.col("f") >= 0).groupBy("f")
-            .agg(F.avg(drop).alias("importance"), F.stddev_pop(drop).alias("importance_std"))
-            .select(F.element_at(names, F.col("f") + 1).alias("feature"), "importance", "importance_std"))
+    return (acc.where("f >= 0").join(base, "r").groupBy("f")
+            .agg(F.avg(drop).alias("importance"), F.stddev_pop(drop).alias("importance_std"), F.min("rows").alias("rows"))
+            .select(F.element_at(names, F.col("f") + 1).alias("feature"), "importance", "importance_std", "rows"))
 
 
 def importance_order(imp: DataFrame) -> DataFrame:  # L3 (features: a bounded list)
@@ -173,21 +201,87 @@ def importance_order(imp: DataFrame) -> DataFrame:  # L3 (features: a bounded li
     return imp.withColumn("rank", F.row_number().over(w))
 
 
-def kmeans_segments(df: DataFrame, features: Sequence[str], k: int = 4, restarts: int = 10, seed: int = 42):
-    """M9 + M10: population-std standardisation, then KMeans restarted with seeds seed..seed+restarts-1;
-    the fit with the lowest training cost wins (k-means|| init)."""
-    from .segments import standardize
-    z = standardize(df.select("customer_id", *features), features, keep=["customer_id"])
-    z = sized(assembler(features).transform(z)).persist(StorageLevel.MEMORY_AND_DISK)
-    def one(sd):
-        m = KMeans(k=k, seed=sd, featuresCol="features", predictionCol="segment_raw").fit(z)
-        return m.summary.trainingCost, sd, m
+def kmeans_segments(df: DataFrame, features: Sequence[str], k: int = 4, restarts: int = 10, seed: int = 42, max_iter: int = 50,
+                    tol: float = 1e-4, sample: int = 10_000):
+    """M9 + M10: population-std standardisation, then ``restarts`` runs of k-means at once; the one of least cost wins.
 
-    # lowest cost wins; equal costs -> lowest seed (deterministic whatever the thread timing)
-    cost, _, model = min(fit_all(one, range(seed, seed + restarts)), key=lambda x: (x[0], x[1]))
-    best = (cost, model)
-    pred = best[1].transform(z).select("customer_id", F.col("segment_raw").cast("int"))
-    return best[1], best[0], pred
+    Every iteration is one job for all restarts: each batch of rows is assigned to the nearest centroid of every restart and
+    leaves one partial sum per (restart, centroid), so what is shuffled doesn't grow with the rows. A restart whose centroids
+    move less than ``tol`` stops by itself. Starts are k-means++ draws (seeds seed, seed + 1, ...) from the ``sample`` rows
+    with the smallest hash of their id. Returns (centroids and costs of all restarts, least cost, assigned rows).
+    """
+    import numpy as np
+
+    from .segments import standardize
+    z = written(sized(standardize(df.select("customer_id", *features), features, keep=["customer_id"])
+                      .select("customer_id", F.array(*[F.col(c) for c in features]).alias("x"))), "kmeans-rows")
+    first = z.orderBy(F.xxhash64("customer_id", F.lit(seed)), "customer_id").limit(sample).toPandas()
+    points = np.array(first["x"].tolist(), dtype=float).reshape(-1, len(features))
+    centers = np.stack([plus_plus(points, k, seed + r) for r in range(restarts)])
+    running, costs = np.ones(restarts, bool), np.full(restarts, np.inf)
+    for _ in range(max_iter):
+        sums, counts, costs_now = assigned_sums(z, centers, running)
+        for r in np.flatnonzero(running):
+            moved = np.where(counts[r][:, None] > 0, sums[r] / np.maximum(counts[r], 1)[:, None], centers[r])
+            shift = ((moved - centers[r]) ** 2).sum(axis=1).max()
+            centers[r], costs[r] = moved, costs_now[r]
+            running[r] = shift > tol * tol
+        if not running.any():
+            break
+    _, _, costs = assigned_sums(z, centers, np.ones(restarts, bool))
+    best = int(np.argmin(np.round(costs, 9)))
+    spark = df.sparkSession
+    runs = spark.createDataFrame([(r, c, [float(v) for v in centers[r, c]], float(costs[r])) for r in range(restarts) for c in range(k)],
+                                 "restart int, segment_raw int, center array<double>, cost double")
+    packed = F.array(*[F.struct(F.lit(c).alias("cid"), F.array(*[lit_d(v) for v in centers[best, c]]).alias("v")) for c in range(k)])
+    near = F.array_min(F.transform(packed, lambda c: F.struct(sq_distance(F.col("x"), c["v"]).alias("d"), c["cid"].alias("cid"))))
+    pred = z.select("customer_id", near["cid"].alias("segment_raw"), "x", near["d"].alias("sq_dist"))
+    return runs, float(costs[best]), pred
+
+
+def sq_distance(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), lit_d(0.0), lambda s, v: s + v)
+
+
+def plus_plus(points, k: int, seed: int):
+    """k starting centroids by k-means++ draws."""
+    import numpy as np
+    rng = np.random.default_rng(seed)
+    chosen = [points[rng.integers(len(points))]]
+    for _ in range(k - 1):
+        d = np.min([((points - c) ** 2).sum(axis=1) for c in chosen], axis=0)
+        chosen.append(points[rng.choice(len(points), p=d / d.sum())] if d.sum() > 0 else points[rng.integers(len(points))])
+    return np.array(chosen)
+
+
+def assigned_sums(rows: DataFrame, centers, running):
+    """(sums, counts, costs) of the running restarts' centroids over all rows: one job, one partial per batch and centroid."""
+    import numpy as np
+    restarts, k, dims = centers.shape
+
+    def run(batches):
+        import pandas as pd
+        total, count, cost = np.zeros((restarts, k, dims)), np.zeros((restarts, k), np.int64), np.zeros(restarts)
+        for pdf in batches:
+            x = np.array(pdf["x"].tolist(), dtype=float).reshape(-1, dims)
+            for r in np.flatnonzero(running):
+                d = np.stack([((x - c) ** 2).sum(axis=1) for c in centers[r]], axis=1)
+                near = d.argmin(axis=1)
+                cost[r] += d[np.arange(len(x)), near].sum()
+                count[r] += np.bincount(near, minlength=k)
+                for f in range(dims):
+                    total[r, :, f] += np.bincount(near, weights=x[:, f], minlength=k)
+        yield pd.DataFrame({"r": np.repeat(np.arange(restarts), k), "c": np.tile(np.arange(k), restarts), "n": count.ravel(),
+                            "s": total.reshape(-1, dims).tolist(), "cost": np.repeat(cost / k, k)})
+
+    parts = rows.select("x").mapInPandas(run, "r int, c int, n long, s array<double>, cost double")
+    found = parts.groupBy("r", "c").agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"),
+                                        F.array(*[F.sum(F.element_at("s", i + 1)) for i in range(dims)]).alias("s")).collect()
+    sums, counts, costs = np.zeros((restarts, k, dims)), np.zeros((restarts, k), np.int64), np.zeros(restarts)
+    for row in found:  # restarts x k rows
+        sums[row.r, row.c], counts[row.r, row.c] = row.s, row.n
+        costs[row.r] += row.cost
+    return sums, counts, costs
 
 
 def embed_chunks(chunks: DataFrame, num_features: int = 1 << 18):  # R2 (lexical vectoriser, not semantic)
@@ -201,9 +295,10 @@ def embed_chunks(chunks: DataFrame, num_features: int = 1 << 18):  # R2 (lexical
 
 
 def lsh_topk(corpus: DataFrame, queries: DataFrame, k: int = 4, bucket_length: float = 0.5,
-             num_tables: int = 4, max_dist: float = 1.2, seed: int = 42) -> DataFrame:
+             num_tables: int = 4, max_dist: float = 2.1, seed: int = 42) -> DataFrame:
     """Approximate R4 with random-projection LSH on unit vectors (Euclidean distance; cosine =
-    1 - d^2 / 2). Candidate pairs come only from shared hash buckets, so recall < 1 by design."""
+    1 - d^2 / 2). Candidate pairs come only from shared hash buckets, so recall < 1 by design; ``max_dist`` cuts none of them
+    by default (unit vectors are at most 2 apart). ``ivf.search`` always finds k."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     c = corpus.select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
     q = queries.select("query_id", array_to_vector("qvec").alias("v"))

@@ -9,7 +9,7 @@ from ..schema import ACCOUNT, CHUNK
 from ..session import shared_dir
 from ..sources import io as IO
 from ..sources.ingest import request_ingest, score_response
-from ..sources.portfolio import portfolio
+from ..sources.portfolio import portfolio, training_portfolio
 from ..sources.tables import table
 from . import oracle as O
 from .catalog import register
@@ -22,7 +22,7 @@ TONE_REQUESTS = ["professional", "empathetic", "concise", None, "urgent"]
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = score_service(portfolio(spark, sf_dir, with_labels=False))
+    s = score_service(portfolio(spark, sf_dir))
     arr = F.array(*[F.lit(t).cast("string") for t in TONE_REQUESTS])
     return s.withColumn("requested_tone", F.element_at(arr, (F.col("c_custkey") % len(TONE_REQUESTS) + 1).cast("int")))
 
@@ -120,7 +120,7 @@ SELECT customer_id, to_json({'customer_id': customer_id, 'payment_probability_30
   'next_best_action': {'action': action, 'recommended_channel': preferred_channel, 'reason': reason}}) AS response
 FROM scored_service"""))
 def q_score_response(spark, sf_dir):  # S9
-    s = score_service(portfolio(spark, sf_dir, with_labels=False))
+    s = score_service(portfolio(spark, sf_dir))
     return s.select("customer_id", score_response(s).alias("response"))
 
 
@@ -136,7 +136,7 @@ SELECT customer_id AS source_id, c_custkey % 97 <> 0 AS parsed_ok,
   CAST(CASE WHEN c_custkey % 97 <> 0 THEN 0 ELSE 18 END AS BIGINT) AS n_reasons
 FROM portfolio"""))
 def q_request_ingest(spark, sf_dir):  # S8: payloads are the accounts as JSON; every 97th is cut short
-    p = portfolio(spark, sf_dir, with_labels=False)
+    p = portfolio(spark, sf_dir)
     js = F.to_json(F.struct(*ACCOUNT_COLS))
     pay = p.select(F.col("customer_id").alias("source_id"), "c_custkey", *ACCOUNT_COLS) \
         .select("source_id", F.coalesce(F.when(F.col("c_custkey") % 97 == 0,
@@ -154,13 +154,13 @@ def q_chunk_json(spark, sf_dir):  # S4 write + S3 read
     return IO.read_chunks_json(spark, path, schema=CHUNK)
 
 
-@register("training_csv_export", O.portfolio_sql(
+@register("training_csv_export", O.training_sql(
     "SELECT " + ", ".join(ACCOUNT_COLS + ["will_pay", "ptp_kept", "recovery_success"]) + " FROM portfolio"))
 def q_training_csv(spark, sf_dir):  # S5
     from pyspark.sql import types as T
     cols = ACCOUNT_COLS + ["will_pay", "ptp_kept", "recovery_success"]
     path = shared_dir(spark, "training-csv")
-    IO.write_csv(portfolio(spark, sf_dir).select(*cols), path)
+    IO.write_csv(training_portfolio(spark, sf_dir).select(*cols), path)
     schema = T.StructType(ACCOUNT.fields + [T.StructField(c, T.IntegerType()) for c in cols[len(ACCOUNT_COLS):]])
     return IO.read_csv(spark, path, schema)
 

@@ -1,20 +1,28 @@
-"""Registered model queries (E3 advanced run and the offline training script). Rows-only checks:
-fitted models are the output, and Spark's binned trees do not equal another library's numbers."""
+"""Registered model queries (E3 advanced run and the offline training script).
+
+Fitted models are checked by rows only where they are the output, as Spark's binned trees do not equal another library's
+numbers; what must hold for any fit (a table of nodes scores like the model, a permutation meets every row once, every row
+has its nearest centroid) has keys that SQL checks. Models are fitted on the training portfolio (features before the
+cut-offs, outcomes after them) and score the current one."""
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.features import with_service_features
 from ..functions.numeric import round_stable
+from ..operators import ivf as IVF
 from ..operators import models as MD
 from ..operators import retrieval as RT
 from ..operators import segments as SG
+from ..operators import treetable as TT
+from ..operators.splits import cumulative_before
 from ..schema import CLUSTER_FEATURES, RAW_FEATURES, SERVICE_FEATURES
-from ..session import shared_dir
+from ..session import shared_dir, written
 from ..sources import io as IO
-from ..sources.portfolio import portfolio
+from ..sources.portfolio import portfolio, training_portfolio
 from ..sources.tables import table
+from . import oracle as O
 from .catalog import register
 from .retrieval_queries import chunks
 from .scoring import score_advanced, score_service
@@ -31,10 +39,18 @@ def _key(spark: SparkSession, sf_dir: str, what: str):
 
 
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The training portfolio with features and labels, stored once per session and scale."""
     k = _key(spark, sf_dir, "base")
     if k not in _CACHE:
-        from ..functions.features import with_service_features
-        _CACHE[k] = with_service_features(portfolio(spark, sf_dir)).persist(StorageLevel.MEMORY_AND_DISK)
+        _CACHE[k] = written(with_service_features(training_portfolio(spark, sf_dir)), "training")
+    return _CACHE[k]
+
+
+def current(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The current portfolio with features: what the models score."""
+    k = _key(spark, sf_dir, "current")
+    if k not in _CACHE:
+        _CACHE[k] = written(with_service_features(portfolio(spark, sf_dir)), "current")
     return _CACHE[k]
 
 
@@ -65,12 +81,12 @@ def model_scored(spark, sf_dir) -> DataFrame:
     if k not in _CACHE:
         models, _, _ = gbts(spark, sf_dir)
         mt, mc = uplift_models(spark, sf_dir)
-        b = base(spark, sf_dir)
+        b = current(spark, sf_dir)
         drop = ["features", "rawPrediction", "probability", "prediction"]
         s = MD.p1(models["did_pay_last_cycle"].transform(b), "model_pay").drop(*drop)
         s = MD.p1(models["kept_ptp_last_cycle"].transform(s), "model_ptp").drop(*drop)
         s = MD.uplift_scores(s, mt, mc)
-        _CACHE[k] = s.persist(StorageLevel.MEMORY_AND_DISK)
+        _CACHE[k] = written(s, "model-scored")
     return _CACHE[k]
 
 
@@ -87,7 +103,7 @@ def q_train_gbt(spark, sf_dir):  # M3 + M4
 @register("score_portfolio")
 def q_score_portfolio(spark, sf_dir):  # M5: service API scoring with the three forests
     models, _ = forests(spark, sf_dir)
-    b = base(spark, sf_dir)
+    b = current(spark, sf_dir)
     drop = ["features", "rawPrediction", "probability", "prediction"]
     s = MD.p1(models["will_pay"].transform(b), "m_pay").drop(*drop)
     s = MD.p1(models["ptp_kept"].transform(s), "m_ptp").drop(*drop)
@@ -101,7 +117,7 @@ def q_score_portfolio(spark, sf_dir):  # M5: service API scoring with the three
 
 @register("train_uplift")
 def q_train_uplift(spark, sf_dir):  # M6: the two arms' sizes and mean predicted pay
-    s = model_scored(spark, sf_dir)
+    s = MD.uplift_scores(base(spark, sf_dir), *uplift_models(spark, sf_dir))
     return s.groupBy("treatment").agg(F.count(F.lit(1)).alias("accounts"),
                                       round_stable(F.avg("p_treated"), 9).alias("mean_p_treated"),
                                       round_stable(F.avg("p_control"), 9).alias("mean_p_control"))
@@ -124,20 +140,29 @@ def q_permutation_importance(spark, sf_dir):  # M8
 def q_importance_order(spark, sf_dir):  # L3
     k = _key(spark, sf_dir, "importance")
     if k not in _CACHE:
-        _CACHE[k] = q_permutation_importance(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+        _CACHE[k] = written(q_permutation_importance(spark, sf_dir), "importance")
     return MD.importance_order(_CACHE[k])
 
 
+def clusters(spark, sf_dir):
+    """(centroids and costs of all restarts, assigned rows) over the scored portfolio."""
+    k = _key(spark, sf_dir, "clusters")
+    if k not in _CACHE:
+        s = model_scored(spark, sf_dir).withColumnsRenamed({"model_pay": "payment_probability"})
+        runs, _, pred = MD.kmeans_segments(s, CLUSTER_FEATURES)
+        _CACHE[k] = (written(runs, "kmeans-runs"), written(pred, "kmeans-assigned"))
+    return _CACHE[k]
+
+
 def advanced_model_portfolio(spark, sf_dir) -> DataFrame:
     """Model probabilities + uplift -> KMeans segments -> labels -> F15/F17 priority, F21 flag."""
     k = _key(spark, sf_dir, "advanced_models")
     if k not in _CACHE:
         s = model_scored(spark, sf_dir).withColumnsRenamed({"model_pay": "payment_probability"}).drop("segment_raw")
-        _, _, seg = MD.kmeans_segments(s, CLUSTER_FEATURES)
-        j = s.join(seg, "customer_id")
+        j = s.join(clusters(spark, sf_dir)[1].select("customer_id", "segment_raw"), "customer_id")
         scored = score_advanced(j, F.col("payment_probability"), F.col("model_ptp"),
                                 F.col("uplift_score"), F.col("recovery_probability"))
-        _CACHE[k] = SG.label_segments(scored).persist(StorageLevel.MEMORY_AND_DISK)
+        _CACHE[k] = written(SG.label_segments(scored), "advanced-models")
     return _CACHE[k]
 
 
@@ -154,12 +179,107 @@ def q_model_io(spark, sf_dir):  # S7: save, reload, rescore; both probabilities
     path = shared_dir(spark, "model-will-pay")
     IO.save_model(models["will_pay"], path)
     loaded = IO.load_pipeline_model(path)
-    b = base(spark, sf_dir).select("customer_id", *SERVICE_FEATURES)
+    b = current(spark, sf_dir).select("customer_id", *SERVICE_FEATURES)
     drop = ["features", "rawPrediction", "probability", "prediction"]
     a = MD.p1(models["will_pay"].transform(b), "p_saved").drop(*drop)
     return MD.p1(loaded.transform(a), "p_loaded").select("customer_id", "p_saved", "p_loaded")
 
 
+def nodes(spark, sf_dir) -> DataFrame:
+    """The node table of the fitted models, written and read back: will_pay (forest), did_pay (boosted), treated and control."""
+    k = _key(spark, sf_dir, "nodes")
+    if k not in _CACHE:
+        mt, mc = uplift_models(spark, sf_dir)
+        fitted = {"will_pay": forests(spark, sf_dir)[0]["will_pay"], "did_pay": gbts(spark, sf_dir)[0]["did_pay_last_cycle"], "treated": mt, "control": mc}
+        path = shared_dir(spark, "node-table")
+        parts = [TT.node_table(m, name) for name, m in fitted.items()]
+        every = parts[0]
+        for p in parts[1:]:
+            every = every.unionByName(p)
+        TT.write_nodes(every, path)
+        _CACHE[k] = TT.read_nodes(spark, path)
+    return _CACHE[k]
+
+
+def _close(a: str, b: str):
+    return F.abs(F.col(a) - F.col(b)) <= 1e-9
+
+
+ALL_ACCOUNTS_SQL = "SELECT customer_id, true AS same FROM portfolio"
+
+
+@register("node_table_scores", O.portfolio_sql("SELECT customer_id, true AS forest_same, true AS boosted_same FROM portfolio"))
+def q_node_table_scores(spark, sf_dir):  # S7 + M5: joins over the written nodes score like the fitted models
+    b, n = current(spark, sf_dir), nodes(spark, sf_dir)
+    f = TT.score(b, n.where("model = 'will_pay'"), SERVICE_FEATURES, "customer_id").select("customer_id", F.col("margin").alias("f"))
+    g = TT.score(b, n.where("model = 'did_pay'"), RAW_FEATURES, "customer_id").select("customer_id", TT.boosted_probability(F.col("margin")).alias("g"))
+    drop = ["features", "rawPrediction", "probability", "prediction"]
+    want = MD.p1(forests(spark, sf_dir)[0]["will_pay"].transform(b.select("customer_id", *SERVICE_FEATURES)), "wf").drop(*drop)
+    want = MD.p1(gbts(spark, sf_dir)[0]["did_pay_last_cycle"].transform(want), "wg").select("customer_id", "wf", "wg")
+    return want.join(f, "customer_id", "left").join(g, "customer_id", "left").select(
+        "customer_id", _close("f", "wf").alias("forest_same"), _close("g", "wg").alias("boosted_same"))
+
+
+@register("node_table_uplift", O.portfolio_sql("SELECT customer_id, true AS is_difference, true AS same FROM portfolio"))
+def q_node_table_uplift(spark, sf_dir):  # M7: uplift from the node table is the difference of the two models' scores
+    got = TT.uplift(current(spark, sf_dir), nodes(spark, sf_dir), RAW_FEATURES, "customer_id", "treated", "control")
+    want = model_scored(spark, sf_dir).select("customer_id", F.col("p_treated").alias("wt"), F.col("p_control").alias("wc"), F.col("uplift_score").alias("wu"))
+    return want.join(got, "customer_id", "left").select("customer_id", (F.col("uplift_score") == F.col("p_treated") - F.col("p_control")).alias("is_difference"),
+                                                        (_close("p_treated", "wt") & _close("p_control", "wc") & _close("uplift_score", "wu")).alias("same"))
+
+
+@register("model_io_same", O.portfolio_sql(ALL_ACCOUNTS_SQL))
+def q_model_io_same(spark, sf_dir):  # S7: a reloaded model gives the saved one's probabilities
+    return q_model_io(spark, sf_dir).select("customer_id", (F.col("p_saved") == F.col("p_loaded")).alias("same"))
+
+
+@register("kmeans_nearest", O.portfolio_sql("""
+SELECT customer_id, true AS has_nearest, true AS least_cost FROM portfolio"""))
+def q_kmeans_nearest(spark, sf_dir):  # M10: every account has its nearest centroid, in the restart of least cost
+    runs, assigned = clusters(spark, sf_dir)
+    least = runs.agg(F.min(F.struct("cost", "restart")).alias("m")).select("m.restart")
+    best = runs.join(least, "restart").select(F.col("segment_raw").alias("c"), "center")
+    cents = best.agg(F.collect_list(F.struct("c", "center")).alias("l")).scalar()  # k centroids
+    d = F.transform("cents", lambda c: F.struct(MD.sq_distance(F.col("x"), c["center"]).alias("d"), c["c"].alias("c")))
+    cost = assigned.agg(F.sum("sq_dist").alias("s")).scalar()
+    lowest = runs.agg(F.min("cost").alias("m")).scalar()
+    return assigned.withColumn("cents", cents).select("customer_id", (F.array_min(d)["d"] >= F.col("sq_dist") - 1e-9).alias("has_nearest"),
+                           (F.abs(cost - lowest) <= 1e-6 * lowest).alias("least_cost"))
+
+
+FEISTEL_KEY, FEISTEL_ROUNDS = 42, 6
+
+
+def _feistel_sql(n: str = "n") -> str:
+    """One step of the permutation of ``v`` among 0..n-1, written out in rounds."""
+    left, right = "(v // b)", "(v % b)"
+    for r in range(FEISTEL_ROUNDS):
+        half = left if r % 2 else right
+        y = f"((({half} + {FEISTEL_KEY * 7919} + {104729 * (r + 1)}) % 2147483647) * 48271) % 2147483647"
+        mixed = f"((({y}) * 69621) % 2147483647 // 16)"
+        if r % 2:
+            right = f"(({right} + {mixed}) % b)"
+        else:
+            left = f"(({left} + {mixed}) % a)"
+    return f"({left} * b + {right})"
+
+
+@register("feistel_rows", f"""
+WITH RECURSIVE t AS (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS row_no, count(*) OVER () AS n FROM customer),
+s AS (SELECT row_no, n, floor(sqrt(n - 1))::BIGINT + 1 AS a, CAST(ceil(n / (floor(sqrt(n - 1)) + 1)) AS BIGINT) AS b FROM t),
+walk AS (
+  SELECT row_no, n, a, b, 1 AS k, {_feistel_sql().replace('v', 'row_no')} AS w FROM s
+  UNION ALL SELECT row_no, n, a, b, k + 1, {_feistel_sql().replace('v', 'w')} FROM walk WHERE w >= n)
+SELECT row_no, w AS donor_no FROM walk WHERE w < n""")
+def q_feistel(spark, sf_dir):  # the permutation behind M8, over the customers in order of key
+    c = table(spark, sf_dir, "customer").select("c_custkey")
+    n = c.count()
+    lo, hi = c.agg(F.min("c_custkey"), F.max("c_custkey")).first()
+    buckets = max(1, -(-n // 200_000))
+    rows = cumulative_before(c, [], F.floor((F.col("c_custkey") - lo) * buckets / F.lit(max(1, (hi - lo) + 1))), [F.col("c_custkey")])
+    return rows.select(F.col("_before").alias("row_no"), MD.feistel(F.col("_before"), n, F.lit(FEISTEL_KEY), FEISTEL_ROUNDS).alias("donor_no"))
+
+
 @register("embed_chunks")
 def q_embed_chunks(spark, sf_dir):  # R2
     _, e = MD.embed_chunks(chunks(spark, sf_dir))
@@ -173,3 +293,28 @@ def q_lsh(spark, sf_dir):  # R6
     e = table(spark, sf_dir, "embeddings")
     return MD.lsh_topk(e, RT.mean_vectors(e, "label")).select(
         "query_id", "vec_id", F.col("rank").cast("bigint").alias("rank"), round_stable(F.col("score"), 4).alias("score"))
+
+
+def _ivf(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    q = RT.mean_vectors(e, "label")
+    return e, q, IVF.search(IVF.build(e), q)
+
+
+@register("vector_topk_ivf")
+def q_ivf(spark, sf_dir):  # R6: inverted cells and product-quantised codes, exact scores of what is looked at
+    return _ivf(spark, sf_dir)[2].select("query_id", "vec_id", F.col("rank").cast("bigint").alias("rank"), "score")
+
+
+@register("ivf_recall", """
+SELECT label AS query_id, least(4, (SELECT count(*) FROM embeddings)) AS hits, true AS scores_exact, true AS recall_ok FROM embeddings GROUP BY label""")
+def q_ivf_recall(spark, sf_dir):  # R6 against R4: always k hits, their scores exact, recall of all queries at least 0.9
+    e, q, found = _ivf(spark, sf_dir)
+    exact = RT.vector_topk(e.select("vec_id", "embedding"), q, 4).select("query_id", "vec_id", F.lit(True).alias("in_exact"))
+    right = (found.join(q, "query_id").join(e.select("vec_id", "embedding"), "vec_id").join(exact, ["query_id", "vec_id"], "left")
+             .withColumn("dot", F.aggregate(F.zip_with("qvec", "embedding", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)))
+    per = right.groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"), F.bool_and(F.abs(F.col("dot") - F.col("score")) < 1e-4).alias("scores_exact"),
+                                        F.count("in_exact").alias("found"))
+    per = written(per, "ivf-recall")
+    share = per.agg(F.sum("found") / F.sum("hits")).scalar()
+    return per.select("query_id", "hits", "scores_exact", (share >= 0.9).alias("recall_ok"))

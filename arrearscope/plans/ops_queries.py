@@ -7,9 +7,10 @@ from ..functions import actions as AC
 from ..functions.numeric import round_stable
 from ..operators import bandit as B
 from ..operators import compliance as C
+from ..operators import pointintime as PT
 from ..operators import splits as X
 from ..schema import CHANNELS
-from ..sources.portfolio import portfolio
+from ..sources.portfolio import portfolio, training_portfolio
 from ..sources.tables import table
 from . import oracle as O
 from .catalog import register
@@ -179,36 +180,66 @@ def q_thompson(spark, sf_dir):
     return B.thompson_pick(acc, post.select("segment", "channel", "channel_order", "alpha", "beta"))
 
 
+# ---------------- point in time ----------------
+SNAPSHOT_CUTS = [f"{y}-08-02" for y in range(1996, 2001)]
+
+
+@register("training_snapshots", f"""
+WITH cuts AS (SELECT unnest([{", ".join(f"TIMESTAMP '{c}'" for c in SNAPSHOT_CUTS)}]) AS cut),
+x AS (SELECT c_custkey, cut, o.* FROM customer, cuts LEFT JOIN orders o ON c_custkey = o_custkey)
+SELECT c_custkey, CAST(CAST(cut AS DATE) AS VARCHAR) AS cut, count(o_orderkey) FILTER (WHERE o_orderdate < cut) AS orders_before,
+  CAST(coalesce(sum(CAST(o_totalprice AS DECIMAL(18,2))) FILTER (WHERE o_orderdate < cut), 0) AS DOUBLE) AS loan_amount,
+  count(o_orderkey) FILTER (WHERE o_orderdate < cut AND o_orderstatus = 'P') AS missed,
+  date_diff('day', max(CAST(o_orderdate AS DATE)) FILTER (WHERE o_orderdate < cut AND o_orderstatus = 'F'), CAST(cut AS DATE)) AS days_since_paid,
+  CAST(coalesce(bool_or(o_orderstatus = 'F' AND o_orderdate >= cut AND o_orderdate < cut + INTERVAL 365 DAY), false) AS INTEGER) AS will_pay,
+  CAST(coalesce(bool_or(o_orderstatus = 'F' AND o_orderpriority < '4' AND o_orderdate >= cut AND o_orderdate < cut + INTERVAL 365 DAY), false) AS INTEGER) AS ptp_kept
+FROM x GROUP BY c_custkey, cut""")
+def q_training_snapshots(spark, sf_dir):  # features before and outcomes after each of five cut-offs, for every customer
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_orderstatus", "o_orderpriority", "o_totalprice")
+    st = F.col("o_orderstatus")
+    before = PT.known_before(orders, "o_custkey", "o_orderdate", SNAPSHOT_CUTS,
+                             {"orders_before": F.lit(1), "loan": F.col("o_totalprice").cast("decimal(18,2)"), "missed": (st == "P").cast("int")},
+                             {"paid_on": F.when(st == "F", F.to_date("o_orderdate"))})
+    after = PT.happened_after(orders.where(st == "F"), "o_custkey", "o_orderdate", SNAPSHOT_CUTS, 365,
+                              {"will_pay": F.lit(True), "ptp_kept": F.col("o_orderpriority") < "4"})
+    keys = PT.at_cuts(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey")), SNAPSHOT_CUTS)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return (keys.join(before, ["o_custkey", "cut_index"], "left").join(after, ["o_custkey", "cut_index"], "left")
+            .select(F.col("o_custkey").alias("c_custkey"), F.date_format("cut", "yyyy-MM-dd").alias("cut"), zero("orders_before").cast("bigint").alias("orders_before"),
+                    zero("loan").cast("double").alias("loan_amount"), zero("missed").cast("bigint").alias("missed"),
+                    F.datediff(F.to_date("cut"), "paid_on").cast("bigint").alias("days_since_paid"), zero("will_pay").alias("will_pay"), zero("ptp_kept").alias("ptp_kept")))
+
+
 # ---------------- splits, weights, AUC ----------------
 @register("assign_treatment", O.portfolio_sql("SELECT customer_id, treatment FROM portfolio"))
 def q_assign_treatment(spark, sf_dir):  # X4
-    return X.assign_treatment(portfolio(spark, sf_dir, with_labels=False)).select("customer_id", "treatment")
+    return X.assign_treatment(portfolio(spark, sf_dir)).select("customer_id", "treatment")
 
 
 @register("treatment_partition", O.portfolio_sql("""
 SELECT customer_id, 'treated' AS arm FROM portfolio WHERE treatment = 1
 UNION ALL SELECT customer_id, 'control' FROM portfolio WHERE treatment = 0"""))
 def q_treatment_partition(spark, sf_dir):  # X2
-    t, c = X.treatment_partition(portfolio(spark, sf_dir, with_labels=False))
+    t, c = X.treatment_partition(portfolio(spark, sf_dir))
     return t.select("customer_id", F.lit("treated").alias("arm")).unionByName(
         c.select("customer_id", F.lit("control").alias("arm")))
 
 
-@register("stratified_split", O.portfolio_sql(f"""
+@register("stratified_split", O.training_sql(f"""
 SELECT customer_id, will_pay,
   row_number() OVER (PARTITION BY will_pay ORDER BY {O.u('split42')}, customer_id)
     <= ceil(count(*) OVER (PARTITION BY will_pay) * 0.2e0) AS is_test
 FROM portfolio"""))
 def q_stratified_split(spark, sf_dir):  # X1
-    p = portfolio(spark, sf_dir).select("customer_id", "will_pay")
+    p = training_portfolio(spark, sf_dir).select("customer_id", "will_pay")
     return X.stratified_split(p, "will_pay", 0.2, 42).select("customer_id", "will_pay", "is_test")
 
 
-@register("class_weights", O.portfolio_sql(f"""
+@register("class_weights", O.training_sql(f"""
 SELECT customer_id, will_pay,
   CAST(count(*) OVER () AS DOUBLE) / (2.0e0 * count(*) OVER (PARTITION BY will_pay)) AS weight FROM portfolio"""))
 def q_class_weights(spark, sf_dir):  # M2
-    p = portfolio(spark, sf_dir).select("customer_id", "will_pay")
+    p = training_portfolio(spark, sf_dir).select("customer_id", "will_pay")
     return X.class_weights(p, "will_pay").select("customer_id", "will_pay", "weight")
 
 
@@ -221,12 +252,12 @@ SELECT '{target}' AS target, {O.rs('num / (CAST(P AS DOUBLE) * N)', 9)} AS auc,
           FROM scored_service GROUP BY {score})))"""
 
 
-@register("roc_auc", O.service_sql(" UNION ALL ".join([
+@register("roc_auc", O.training_service_sql(" UNION ALL ".join([
     _auc_sql("payment_probability_30d", "will_pay", "will_pay"),
     _auc_sql("ptp_probability", "ptp_kept", "ptp_kept"),
     _auc_sql("recovery_probability", "recovery_success", "recovery_success")])))
-def q_roc_auc(spark, sf_dir):  # M4 on the service scorecard vs the drawn labels
-    s = score_service(portfolio(spark, sf_dir))
+def q_roc_auc(spark, sf_dir):  # M4: the scorecard as of the cut-off against what happened after it
+    s = score_service(training_portfolio(spark, sf_dir))
     pairs = [("payment_probability_30d", "will_pay"), ("ptp_probability", "ptp_kept"),
              ("recovery_probability", "recovery_success")]
     # one pass over the scored portfolio: each row fans out to its three (target, score, label) pairs

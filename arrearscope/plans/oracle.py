@@ -6,9 +6,6 @@ operations (literals as doubles, the same association order) so both engines pro
 """
 from __future__ import annotations
 
-ASOF_O = "DATE '2001-08-02'"
-
-
 def d(x: float) -> str:
     """A DuckDB DOUBLE literal (a bare 0.45 would be a DECIMAL)."""
     r = repr(float(x))
@@ -78,11 +75,14 @@ def band(score: str, hi: float = 70.0, med: float = 40.0) -> str:
     return f"CASE WHEN {score} >= {d(hi)} THEN 'HIGH' WHEN {score} >= {d(med)} THEN 'MEDIUM' ELSE 'LOW' END"
 
 
-PORTFOLIO_CTES = [
-    ("li_agg", """
+def portfolio_ctes(orders_asof: str, events_asof: str) -> list[tuple[str, str]]:
+    """The portfolio as known at the as-of dates, up to ``pb2``."""
+    day = f"DATE '{orders_asof}'"
+    return [
+    ("li_agg", f"""
 SELECT l_orderkey, count(*) AS n_r, count(*) FILTER (WHERE l_linestatus = 'F') AS n_rf
-FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey"""),
-    ("hist", """
+FROM lineitem WHERE l_returnflag = 'R' AND l_shipdate < {day} GROUP BY l_orderkey"""),
+    ("hist", f"""
 SELECT o_custkey,
   sum(CAST(o_totalprice AS DECIMAL(18,2))) AS loan_dec,
   sum(CASE WHEN o_orderstatus = 'O' THEN CAST(o_totalprice AS DECIMAL(18,2)) END) AS out_dec,
@@ -93,11 +93,11 @@ SELECT o_custkey,
   max(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END) AS max_f_price,
   max(CASE WHEN o_orderstatus = 'F' THEN CAST(o_orderdate AS DATE) END) AS last_f,
   sum(n_r) AS n_r, sum(n_rf) AS n_rf
-FROM orders LEFT JOIN li_agg ON o_orderkey = l_orderkey GROUP BY o_custkey"""),
-    ("ev_agg", """
+FROM orders LEFT JOIN li_agg ON o_orderkey = l_orderkey WHERE o_orderdate < {day} GROUP BY o_custkey"""),
+    ("ev_agg", f"""
 SELECT user_id, count(*) AS n_contacts FROM events
 WHERE event_type IN ('view', 'click', 'error')
-  AND ts >= TIMESTAMP '2024-01-24 00:00:00' AND ts < TIMESTAMP '2024-01-31 00:00:00'
+  AND ts >= TIMESTAMP '{events_asof} 00:00:00' - INTERVAL 7 DAY AND ts < TIMESTAMP '{events_asof} 00:00:00'
 GROUP BY user_id"""),
     ("pbase", f"""
 SELECT 'C' || CAST(1000 + c_custkey AS VARCHAR) AS customer_id, c_name AS customer_name, c_custkey,
@@ -106,34 +106,50 @@ SELECT 'C' || CAST(1000 + c_custkey AS VARCHAR) AS customer_id, c_name AS custom
   CAST(coalesce(loan_dec, 0) AS DOUBLE) AS loan_amount,
   CAST(coalesce(out_dec, 0) AS DOUBLE) AS outstanding_amount,
   CAST(300 + (c_custkey * 37) % 551 AS DOUBLE) AS credit_score,
-  CAST([0, 5, 15, 30, 45, 60, 90, 120, 180][((c_custkey + coalesce(date_diff('day', last_o, {ASOF_O}), 0)) % 9 + 9) % 9 + 1] AS INTEGER) AS dpd,
+  CAST([0, 5, 15, 30, 45, 60, 90, 120, 180][((c_custkey + coalesce(date_diff('day', last_o, {day}), 0)) % 9 + 9) % 9 + 1] AS INTEGER) AS dpd,
   CAST(coalesce(n_p, 0) AS INTEGER) AS missed_payment_count,
   CAST(coalesce(n_f, 0) AS INTEGER) AS previous_ptp_count,
   CAST(coalesce(n_fk, 0) AS INTEGER) AS previous_ptp_kept_count,
   CAST(coalesce(n_r, 0) AS INTEGER) AS collection_attempts,
   CAST(coalesce(n_rf, 0) AS INTEGER) AS successful_contacts,
   coalesce({rs('0.06e0 * max_f_price', 2)}, 0.0e0) AS recent_payment_amount,
-  CAST(coalesce(date_diff('day', last_f, {ASOF_O}) % 180, 0) AS INTEGER) AS days_since_last_payment,
+  CAST(coalesce(date_diff('day', last_f, {day}) % 180, 0) AS INTEGER) AS days_since_last_payment,
   CASE c_mktsegment WHEN 'BUILDING' THEN 'PHONE' WHEN 'AUTOMOBILE' THEN 'SMS'
        WHEN 'MACHINERY' THEN 'WHATSAPP' ELSE 'EMAIL' END AS preferred_channel,
   CAST(coalesce(n_contacts, 0) AS INTEGER) AS contacts_last_7_days
 FROM customer LEFT JOIN hist ON c_custkey = o_custkey LEFT JOIN ev_agg ON c_custkey = user_id"""),
     ("pb2", f"""
 SELECT *, {rs('loan_amount * 0.03e0', 2)} AS emi_amount,
-  strftime({ASOF_O} - dpd, '%d-%m-%Y') AS due_date,
+  strftime({day} - dpd, '%d-%m-%Y') AS due_date,
   CAST({u('treat')} < 0.5e0 AS INTEGER) AS treatment,
   CAST(c_custkey % 4 AS INTEGER) AS segment_raw
 FROM pbase"""),
-    ("portfolio", f"""
-SELECT *,
-  CAST({u('pay')} < {pay10(f7(), F5)} AS INTEGER) AS will_pay,
-  CAST({u('ptp')} < {ptp10(f7(), F1, F2)} AS INTEGER) AS ptp_kept,
-  CAST({u('rec')} < {rec10(f7(), F5)} AS INTEGER) AS recovery_success,
-  CAST({u('cycle')} < {clip(f'0.9e0 - {F8} + CAST(treatment AS DOUBLE) * {uplift31(F8)}', 0.02, 0.99)} AS INTEGER)
-    AS did_pay_last_cycle,
-  CAST({u('kept')} < {clip(f'0.85e0 - 0.9e0 * {F8} + 0.7e0 * CAST(treatment AS DOUBLE) * {uplift31(F8)}', 0.02, 0.99)} AS INTEGER)
-    AS kept_ptp_last_cycle
-FROM pb2"""),
+]
+
+
+PORTFOLIO_CTES = [*portfolio_ctes("2001-08-02", "2024-01-31"), ("portfolio", "SELECT * FROM pb2")]
+
+# what happened after the training cut-offs
+TRAINING_CTES = [
+    *portfolio_ctes("2000-08-02", "2024-01-28"),
+    ("paid", """
+SELECT o_custkey, max(CAST(o_orderpriority < '4' AS INTEGER)) AS ptp_kept FROM orders
+WHERE o_orderstatus = 'F' AND o_orderdate >= DATE '2000-08-02' AND o_orderdate < DATE '2000-08-02' + INTERVAL 365 DAY GROUP BY o_custkey"""),
+    ("collected", """
+SELECT DISTINCT o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+WHERE l_returnflag = 'R' AND l_linestatus = 'F' AND l_shipdate >= DATE '2000-08-02' AND l_shipdate < DATE '2000-08-02' + INTERVAL 365 DAY"""),
+    ("around", """
+SELECT user_id,
+  max(CAST(event_type = 'purchase' AND ts >= TIMESTAMP '2024-01-28 00:00:00' AND ts < TIMESTAMP '2024-01-31 00:00:00' AS INTEGER)) AS cycle,
+  max(CAST(event_type = 'purchase' AND ts >= TIMESTAMP '2024-01-28 00:00:00' AND ts < TIMESTAMP '2024-01-29 00:00:00' AS INTEGER)) AS kept,
+  max(CAST(event_type IN ('view', 'click', 'error') AND ts >= TIMESTAMP '2024-01-27 00:00:00' AND ts < TIMESTAMP '2024-01-28 00:00:00' AS INTEGER)) AS treated
+FROM events GROUP BY user_id"""),
+    ("portfolio", """
+SELECT pb2.* EXCLUDE (treatment), CAST(coalesce(treated, 0) AS INTEGER) AS treatment, CAST(paid.o_custkey IS NOT NULL AS INTEGER) AS will_pay,
+  coalesce(ptp_kept, 0) AS ptp_kept, CAST(collected.o_custkey IS NOT NULL AS INTEGER) AS recovery_success,
+  CAST(coalesce(cycle, 0) AS INTEGER) AS did_pay_last_cycle, CAST(coalesce(kept, 0) AS INTEGER) AS kept_ptp_last_cycle
+FROM pb2 LEFT JOIN paid ON c_custkey = paid.o_custkey LEFT JOIN collected ON c_custkey = collected.o_custkey
+  LEFT JOIN around ON c_custkey = around.user_id"""),
 ]
 
 SERVICE_CTES = [
@@ -225,6 +241,14 @@ def portfolio_sql(body: str) -> str:
     return with_ctes(body, PORTFOLIO_CTES)
 
 
+def training_sql(body: str) -> str:
+    return with_ctes(body, TRAINING_CTES)
+
+
+def training_service_sql(body: str) -> str:
+    return with_ctes(body, TRAINING_CTES, SERVICE_CTES)
+
+
 def service_sql(body: str) -> str:
     return with_ctes(body, PORTFOLIO_CTES, SERVICE_CTES)
 

@@ -20,12 +20,12 @@ UP_W = 2.0 / 40
 
 
 def basic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_basic(portfolio(spark, sf_dir, with_labels=False))
+    return score_basic(portfolio(spark, sf_dir))
 
 
 def advanced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Advanced rule scores with segments labelled from the given clusters (segment_raw)."""
-    return SG.label_segments(score_advanced(portfolio(spark, sf_dir, with_labels=False)))
+    return SG.label_segments(score_advanced(portfolio(spark, sf_dir)))
 
 
 def m9(x: str) -> str:
@@ -200,14 +200,14 @@ def q_account_key(spark, sf_dir):  # F30
 
 @register("due_date", O.portfolio_sql("SELECT customer_id, dpd, due_date FROM portfolio"))
 def q_due_date(spark, sf_dir):  # F25
-    return portfolio(spark, sf_dir, with_labels=False).select("customer_id", "dpd", "due_date")
+    return portfolio(spark, sf_dir).select("customer_id", "dpd", "due_date")
 
 
 @register("ptp_kept_cap", O.portfolio_sql(
     "SELECT customer_id, CAST(least(previous_ptp_kept_count, previous_ptp_count) AS INTEGER) AS previous_ptp_kept_count"
     " FROM portfolio"))
 def q_ptp_kept_cap(spark, sf_dir):  # F9
-    return cap_ptp_kept(portfolio(spark, sf_dir, with_labels=False)).select("customer_id", "previous_ptp_kept_count")
+    return cap_ptp_kept(portfolio(spark, sf_dir)).select("customer_id", "previous_ptp_kept_count")
 
 
 # ---------------- advanced report ----------------
@@ -363,13 +363,13 @@ def q_sample_accounts(spark, sf_dir):  # L4
 SELECT segment_raw, {m9('mean_uplift')} AS mean_uplift, {m9('mean_pay')} AS mean_pay, {m9('mean_dpd')} AS mean_dpd
 FROM seg_profile"""))
 def q_cluster_profile(spark, sf_dir):  # A13
-    p = SG.cluster_profile(score_advanced(portfolio(spark, sf_dir, with_labels=False)))
+    p = SG.cluster_profile(score_advanced(portfolio(spark, sf_dir)))
     return p.select("segment_raw", *[round_stable(F.col(c), 9).alias(c) for c in ("mean_uplift", "mean_pay", "mean_dpd")])
 
 
 @register("segment_labels", O.advanced_sql("SELECT segment_raw, pay_rank, segment FROM seg_labels"))
 def q_segment_labels(spark, sf_dir):  # M12 + W3
-    p = SG.cluster_profile(score_advanced(portfolio(spark, sf_dir, with_labels=False)))
+    p = SG.cluster_profile(score_advanced(portfolio(spark, sf_dir)))
     return SG.segment_labels(p).select("segment_raw", F.col("pay_rank").cast("bigint").alias("pay_rank"), "segment")
 
 
@@ -380,7 +380,7 @@ def q_segment_label_join(spark, sf_dir):  # J1
 
 @register("remaining_set", O.advanced_sql("SELECT segment_raw FROM seg_labels WHERE pay_rank <> 1"))
 def q_remaining_set(spark, sf_dir):  # X3
-    p = SG.segment_labels(SG.cluster_profile(score_advanced(portfolio(spark, sf_dir, with_labels=False))))
+    p = SG.segment_labels(SG.cluster_profile(score_advanced(portfolio(spark, sf_dir))))
     return SG.remaining_clusters(p).select("segment_raw")
 
 

@@ -15,7 +15,7 @@ from .scoring import score_service
 
 
 def _service(spark, sf_dir):
-    return score_service(portfolio(spark, sf_dir, with_labels=False))
+    return score_service(portfolio(spark, sf_dir))
 
 
 def _project(key, builder, cols, sql):
@@ -61,7 +61,7 @@ _project("uplift_rule", advanced, ["uplift_score"], O.advanced_sql("SELECT custo
 SELECT customer_id, least({O.INCOME_RATIO}, 2.0e0) / 2.0e0 AS exposure_service, least({O.INCOME_RATIO}, 1.0e0) AS exposure_capped
 FROM portfolio"""))
 def q_exposure(spark, sf_dir):  # F12
-    return portfolio(spark, sf_dir, with_labels=False).select(
+    return portfolio(spark, sf_dir).select(
         "customer_id", SC.exposure_service().alias("exposure_service"), SC.exposure_capped().alias("exposure_capped"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators.validate import is_valid, with_reasons
 from ..schema import ACCOUNT_COLUMNS
-from ..sources.portfolio import portfolio
+from ..sources.portfolio import portfolio, training_portfolio
 from . import oracle as O
 from .catalog import register
 from .scoring import score_advanced, score_basic, score_service
@@ -18,7 +18,7 @@ PORTFOLIO_COLS = ACCOUNT_COLUMNS + ["contacts_last_7_days", "treatment", "will_p
 
 def flagship(spark: SparkSession, sf_dir: str, k: int = 50) -> DataFrame:
     """S1 -> P1 -> F1-F7 -> F10 -> F13 -> F16 -> F18 -> L1: the k accounts to work first."""
-    valid = portfolio(spark, sf_dir, with_labels=False).where(is_valid())
+    valid = portfolio(spark, sf_dir).where(is_valid())
     s = score_service(valid)
     return (s.orderBy(F.col("collection_priority_score").desc(), F.col("customer_id"))
             .limit(k)
@@ -33,9 +33,9 @@ SELECT customer_id, dpd, outstanding_amount, payment_probability_30d, ptp_probab
 FROM scored_service ORDER BY collection_priority_score DESC, customer_id LIMIT 50"""))(flagship)
 
 
-@register("portfolio_scan", O.portfolio_sql("SELECT " + ", ".join(PORTFOLIO_COLS) + " FROM portfolio"))
+@register("portfolio_scan", O.training_sql("SELECT " + ", ".join(PORTFOLIO_COLS) + " FROM portfolio"))
 def q_portfolio_scan(spark, sf_dir):
-    return portfolio(spark, sf_dir).select(*PORTFOLIO_COLS)
+    return training_portfolio(spark, sf_dir).select(*PORTFOLIO_COLS)
 
 
 def _validate_sql() -> str:
@@ -56,7 +56,7 @@ def _validate_sql() -> str:
 
 @register("validate_accounts", _validate_sql())
 def q_validate(spark, sf_dir):
-    r = with_reasons(portfolio(spark, sf_dir, with_labels=False))
+    r = with_reasons(portfolio(spark, sf_dir))
     return r.select("customer_id", F.size("reasons").cast("bigint").alias("n_reasons"),
                     F.array_join("reasons", ";").alias("reasons"),
                     (F.size("reasons") == 0).alias("is_valid"))
@@ -68,7 +68,7 @@ SERVICE_FEATURE_COLS = ["customer_id", "ptp_kept_rate", "contact_success_rate",
 
 @register("service_features", O.service_sql("SELECT " + ", ".join(SERVICE_FEATURE_COLS) + " FROM scored_service"))
 def q_service_features(spark, sf_dir):
-    return score_service(portfolio(spark, sf_dir, with_labels=False)).select(*SERVICE_FEATURE_COLS)
+    return score_service(portfolio(spark, sf_dir)).select(*SERVICE_FEATURE_COLS)
 
 
 SERVICE_SCORE_COLS = ["customer_id", "payment_probability_30d", "ptp_probability", "recovery_probability",
@@ -79,7 +79,7 @@ SERVICE_SCORE_COLS = ["customer_id", "payment_probability_30d", "ptp_probability
     "SELECT " + ", ".join(SERVICE_SCORE_COLS) + ", action, preferred_channel AS recommended_channel, reason"
     " FROM scored_service"))
 def q_scorecard_service(spark, sf_dir):
-    s = score_service(portfolio(spark, sf_dir, with_labels=False))
+    s = score_service(portfolio(spark, sf_dir))
     return s.select(*SERVICE_SCORE_COLS, "next_best_action.action", "next_best_action.recommended_channel",
                     "next_best_action.reason")
 
@@ -90,7 +90,7 @@ BASIC_COLS = ["customer_id", "stress", "payment_probability", "ptp_probability",
 
 @register("scorecard_basic", O.basic_sql("SELECT " + ", ".join(BASIC_COLS) + " FROM scored_basic"))
 def q_scorecard_basic(spark, sf_dir):
-    return score_basic(portfolio(spark, sf_dir, with_labels=False)).select(*BASIC_COLS)
+    return score_basic(portfolio(spark, sf_dir)).select(*BASIC_COLS)
 
 
 ADV_COLS = ["customer_id", "stress", "payment_probability", "ptp_probability", "uplift_score",
@@ -99,4 +99,4 @@ ADV_COLS = ["customer_id", "stress", "payment_probability", "ptp_probability", "
 
 @register("scorecard_advanced", O.advanced_sql("SELECT " + ", ".join(ADV_COLS) + " FROM adv_r"))
 def q_scorecard_advanced(spark, sf_dir):
-    return score_advanced(portfolio(spark, sf_dir, with_labels=False)).select(*ADV_COLS)
+    return score_advanced(portfolio(spark, sf_dir)).select(*ADV_COLS)

@@ -16,14 +16,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import features as FE
-from ..functions import scorecards as SC
-from ..functions.numeric import clip, hash_uniform, lit_d, round_stable
+from ..functions.numeric import hash_uniform, lit_d, round_stable
+from ..operators import pointintime as PT
 from ..schema import ACCOUNT, DPD_LADDER
 from .tables import table
 
 ORDERS_ASOF = "2001-08-02"
 EVENTS_ASOF = "2024-01-31"
+# training: features from before these days, outcomes from after them
+ORDERS_CUT = "2000-08-02"
+EVENTS_CUT = "2024-01-28"
+OUTCOME_DAYS = 365
+CYCLE_DAYS = 3
+LABELS = ["will_pay", "ptp_kept", "recovery_success", "did_pay_last_cycle", "kept_ptp_last_cycle"]
 CONTACT_EVENT_TYPES = ["view", "click", "error"]
 # ---- fixed values: market segment -> preferred channel ----
 SEGMENT_CHANNEL = {"BUILDING": "PHONE", "AUTOMOBILE": "SMS", "MACHINERY": "WHATSAPP"}
@@ -41,13 +46,14 @@ def _pmod(c: Column, m: int) -> Column:
 
 
 def order_history(spark: SparkSession, sf_dir: str, asof: str = ORDERS_ASOF) -> DataFrame:
-    """Per-customer order and return-line aggregates (one row per o_custkey)."""
+    """Per-customer aggregates of the orders placed and the returned lines shipped before ``asof`` (one row per o_custkey)."""
+    before = F.lit(asof).cast("timestamp_ntz")
     li = (table(spark, sf_dir, "lineitem")
-          .where(F.col("l_returnflag") == "R")
+          .where((F.col("l_returnflag") == "R") & (F.col("l_shipdate") < before))
           .groupBy("l_orderkey")
           .agg(F.count(F.lit(1)).alias("n_r"),
                F.count_if(F.col("l_linestatus") == "F").alias("n_rf")))
-    o = table(spark, sf_dir, "orders").select(
+    o = table(spark, sf_dir, "orders").where(F.col("o_orderdate") < before).select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority",
         F.to_date("o_orderdate").alias("odate"))
     price = F.col("o_totalprice").cast("decimal(18,2)")
@@ -75,8 +81,9 @@ def contact_counts(spark: SparkSession, sf_dir: str, asof: str = EVENTS_ASOF, da
 
 
 def portfolio(spark: SparkSession, sf_dir: str, orders_asof: str = ORDERS_ASOF,
-              events_asof: str = EVENTS_ASOF, with_labels: bool = True) -> DataFrame:
-    """The account portfolio (ACCOUNT columns + contacts, treatment, labels, segment_raw)."""
+              events_asof: str = EVENTS_ASOF) -> DataFrame:
+    """The account portfolio as known at the as-of dates (ACCOUNT columns + contacts, treatment, segment_raw). ``treatment``
+    is the planned assignment (X4); ``training_portfolio`` has the one that happened."""
     cust = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
     hist = order_history(spark, sf_dir, orders_asof)
     ev = contact_counts(spark, sf_dir, events_asof)
@@ -87,7 +94,7 @@ def portfolio(spark: SparkSession, sf_dir: str, orders_asof: str = ORDERS_ASOF,
     chan = F.lit(DEFAULT_CHANNEL)
     for seg, ch in reversed(list(SEGMENT_CHANNEL.items())):
         chan = F.when(F.col("c_mktsegment") == seg, F.lit(ch)).otherwise(chan)
-    df = (cust.join(hist, k == hist.o_custkey, "left")
+    return (cust.join(hist, k == hist.o_custkey, "left")
           .join(ev, k == ev.user_id, "left")
           .select(
               F.concat(F.lit("C"), (F.lit(1000) + k).cast("string")).alias("customer_id"),
@@ -115,32 +122,42 @@ def portfolio(spark: SparkSession, sf_dir: str, orders_asof: str = ORDERS_ASOF,
           .withColumn("due_date", F.date_format(F.date_sub(asof, F.col("dpd")), "dd-MM-yyyy"))
           .withColumn("treatment", (hash_uniform(F.col("customer_id"), "treat") < lit_d(0.5)).cast("int"))
           .withColumn("segment_raw", (k % 4).cast("int")))
-    if with_labels:
-        df = add_outcome_labels(df)
-    return df
-
-
-def add_outcome_labels(df: DataFrame) -> DataFrame:
-    """Repeatable 0/1 outcome labels drawn from the scorecards (FIXTURES.md §3)."""
-    kr, sr = FE.ptp_kept_rate(), FE.contact_success_rate()
-    stress = FE.behavior_stress_score(kr, sr)
-    p2o = FE.payment_to_outstanding()
-    s8 = FE.stress_basic()
-    up = SC.uplift_rule(s8)
-    treat = F.col("treatment").cast("double")
-    cid = F.col("customer_id")
-
-    def draw(salt: str, p: Column) -> Column:
-        return (hash_uniform(cid, salt) < p).cast("int")
-
-    return df.withColumns({
-        "will_pay": draw("pay", SC.service_pay(stress, p2o)),
-        "ptp_kept": draw("ptp", SC.service_ptp(stress, kr, sr)),
-        "recovery_success": draw("rec", SC.service_rec(stress, p2o)),
-        "did_pay_last_cycle": draw("cycle", clip(lit_d(0.90) - s8 + treat * up, 0.02, 0.99)),
-        "kept_ptp_last_cycle": draw("kept", clip(lit_d(0.85) - lit_d(0.9) * s8 + lit_d(0.7) * treat * up,
-                                                 0.02, 0.99)),
-    })
+
+
+def contacted(spark: SparkSession, sf_dir: str, cut: str, days: int) -> DataFrame:
+    """user_id of everyone with a contact event in the ``days`` before ``cut``."""
+    return contact_counts(spark, sf_dir, cut, days).select("user_id")
+
+
+def training_portfolio(spark: SparkSession, sf_dir: str, orders_cut: str = ORDERS_CUT, events_cut: str = EVENTS_CUT) -> DataFrame:
+    """The portfolio as known at the cut-offs, with what happened after them as labels.
+
+    will_pay: an order was fulfilled (F) within a year of ``orders_cut``; ptp_kept: one of a priority below 4 was;
+    recovery_success: a returned line was collected (R, F) within that year. treatment: the account was contacted on the day
+    before ``events_cut``; did_pay_last_cycle: it purchased within three days of it; kept_ptp_last_cycle: within one.
+    Orders and events run on clocks of their own, each with its own cut-off; no feature uses a fact after its cut-off.
+    """
+    k = F.col("c_custkey")
+    orders = table(spark, sf_dir, "orders").where(F.col("o_orderstatus") == "F").select("o_custkey", "o_orderdate", "o_orderpriority")
+    paid = PT.happened_after(orders, "o_custkey", "o_orderdate", [orders_cut], OUTCOME_DAYS,
+                             {"will_pay": F.lit(True), "ptp_kept": F.col("o_orderpriority") < "4"})
+    lines = table(spark, sf_dir, "lineitem").where((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F"))
+    # the horizon's lines per order first: a customer with many orders meets them as one row each
+    collected = PT.happened_after(lines.select("l_orderkey", "l_shipdate"), "l_orderkey", "l_shipdate", [orders_cut], OUTCOME_DAYS,
+                                  {"recovery_success": F.lit(True)})
+    owner = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("l_custkey"))
+    collected = (collected.join(owner, collected["l_orderkey"] == owner["o_orderkey"])
+                 .groupBy("l_custkey").agg(F.max("recovery_success").alias("recovery_success")))
+    events = table(spark, sf_dir, "events").where(F.col("event_type") == "purchase").select("user_id", "ts")
+    cycle = PT.happened_after(events, "user_id", "ts", [events_cut], CYCLE_DAYS, {"did_pay_last_cycle": F.lit(True)}).drop("cut_index")
+    kept = PT.happened_after(events, "user_id", "ts", [events_cut], 1, {"kept_ptp_last_cycle": F.lit(True)}).drop("cut_index")
+    treated = contacted(spark, sf_dir, events_cut, 1).select(F.col("user_id").alias("t_user"), F.lit(1).alias("t"))
+    cycle, kept = cycle.withColumnRenamed("user_id", "c_user"), kept.withColumnRenamed("user_id", "k_user")
+    df = (portfolio(spark, sf_dir, orders_cut, events_cut)
+          .join(paid.drop("cut_index"), k == F.col("o_custkey"), "left").join(collected, k == F.col("l_custkey"), "left")
+          .join(cycle, k == F.col("c_user"), "left").join(kept, k == F.col("k_user"), "left").join(treated, k == F.col("t_user"), "left")
+          .withColumn("treatment", F.coalesce("t", F.lit(0))).drop("o_custkey", "l_custkey", "c_user", "k_user", "t_user", "t"))
+    return df.withColumns({c: F.coalesce(c, F.lit(0)) for c in LABELS})
 
 
 def accounts_only(df: DataFrame) -> DataFrame:

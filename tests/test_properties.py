@@ -8,7 +8,7 @@ from arrearscope.operators import retrieval as RT
 from arrearscope.operators import segments as SG
 from arrearscope.operators.splits import roc_auc, stratified_split
 from arrearscope.schema import RAW_FEATURES
-from arrearscope.sources.portfolio import portfolio
+from arrearscope.sources.portfolio import training_portfolio
 from arrearscope.sources.tables import table
 from conftest import SF_CHECK, SF_SMALL
 
@@ -32,7 +32,7 @@ def test_exact_auc_ties_and_bounds(spark):
 
 
 def test_stratified_split_exact_shares(spark):
-    p = portfolio(spark, SF_CHECK).select("customer_id", "will_pay")
+    p = training_portfolio(spark, SF_CHECK).select("customer_id", "will_pay")
     s = stratified_split(p, "will_pay", 0.2, 42, buckets=8)
     got = {r.will_pay: (r.n, r.t) for r in s.groupBy("will_pay").agg(F.count(F.lit(1)).alias("n"),
                                                                        F.count_if("is_test").alias("t")).collect()}
@@ -59,7 +59,7 @@ def test_lsh_recall_against_exact(spark):
 @pytest.fixture(scope="module")
 def small_models(spark):
     from arrearscope.functions.features import with_service_features
-    b = with_service_features(portfolio(spark, SF_CHECK)).withColumn("constant", F.lit(1.0)).cache()
+    b = with_service_features(training_portfolio(spark, SF_CHECK)).withColumn("constant", F.lit(1.0)).cache()
     feats = RAW_FEATURES + ["constant"]
     models, tests, auc = MD.train_gbts(b, feats, ["did_pay_last_cycle"], maxIter=15)
     return b, feats, models, tests, auc
@@ -84,7 +84,7 @@ def test_permutation_constant_column_is_zero(spark, small_models):
 def test_uplift_and_model_io(spark, tmp_path):
     from arrearscope.functions.features import with_service_features
     from arrearscope.sources import io as IO
-    b = with_service_features(portfolio(spark, SF_SMALL)).cache()
+    b = with_service_features(training_portfolio(spark, SF_SMALL)).cache()
     mt, mc = MD.train_uplift(b, RAW_FEATURES, "did_pay_last_cycle", numTrees=10)
     u = MD.uplift_scores(b, mt, mc)
     bad = u.where((F.abs(F.col("uplift_score") - (F.col("p_treated") - F.col("p_control"))) > 1e-12)
