@@ -14,6 +14,7 @@ alone; an empty table gives an empty result; further columns are ignored.
 """
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -99,10 +100,12 @@ class Scanner:
     def scan(self, raw: bytes) -> tuple:
         words = raw.translate(FOLD).split()
         text = b" " + b" ".join(words) + b" "
+        blanks = np.flatnonzero(np.frombuffer(text, np.uint8) == 32)  # a place's word number is its rank among them
         starts, base_labels = [], set()
         for phrase, label in self.base:
-            for at in places(text, phrase):
-                starts.append(text.count(b" ", 0, at))
+            at = list(places(text, phrase))
+            if at:
+                starts += np.searchsorted(blanks, at).tolist()
                 base_labels.add(label)
         found = {}
         for label, length, k, pieces, pattern in self.fuzzy:
@@ -111,10 +114,11 @@ class Scanner:
                 lo, hi = text.rfind(b" ", 0, lo + 1), text.find(b" ", hi - 1)
                 lo, hi = max(lo, 0), len(text) if hi < 0 else hi + 1
                 window = text[lo:hi].decode("utf-8", "replace")
+                at, seen = lo, 0  # byte place of the character ``seen`` of the window
                 for m in pattern.finditer(window):
                     edits = sum(m.fuzzy_counts)
-                    at = lo + len(window[:m.start()].encode())
-                    first = text.count(b" ", 0, at) - 1
+                    at, seen = at + len(window[seen:m.start()].encode()), m.start()
+                    first = int(np.searchsorted(blanks, at)) - 1
                     last = first + m.group().count(" ")
                     key = (label, first)
                     if key not in found or edits < found[key][3]:

@@ -123,6 +123,17 @@ def test_license_clean_text_has_no_labels():
     assert row[4] == row[5] == "" and row[6] == 0
 
 
+def test_license_scan_of_many_places_is_linear():
+    import time
+    scanner = licenses.Scanner()
+    for text in ("cc by " * 160_000, "é mit  license\n" * 60_000, "Apache Licence " * 20_000):
+        t0 = time.process_time()
+        got = scanner.scan(text.encode())
+        assert time.process_time() - t0 < 20
+        assert got[:5] == base_reference(text)
+        assert all(a["first_word"] <= a["last_word"] for a in got[7])
+
+
 # op5
 
 @pytest.mark.parametrize("clashes", [False, True])
