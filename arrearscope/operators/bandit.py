@@ -95,32 +95,107 @@ def reset(post: DataFrame) -> DataFrame:  # B6: forget every outcome; same (segm
         .withColumns({"alpha": lit_d(1.0), "beta": lit_d(1.0), "bandit_rounds": F.lit(0).cast("bigint")})
 
 
+def log_beta(a, b):
+    """ln B(a, b) of arrays with few distinct values."""
+    import math
+
+    import numpy as np
+    pairs, at = np.unique(np.stack([a, b], axis=1), axis=0, return_inverse=True)
+    return np.array([math.lgamma(x) + math.lgamma(y) - math.lgamma(x + y) for x, y in pairs])[at.reshape(-1)]
+
+
+def beta_cdf(x, a, b, ln):
+    """Regularised incomplete beta function by its continued fraction (modified Lentz), for 0 < x < 1; ln = log_beta(a, b)."""
+    import numpy as np
+    swap = x > (a + 1.0) / (a + b + 2.0)
+    p, q, y = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, 1.0 - x, x)
+    with np.errstate(divide="ignore"):
+        front = np.exp(p * np.log(y) + q * np.log1p(-y) - ln) / p
+    tiny = 1e-300
+
+    def safe(v):
+        return np.where(np.abs(v) < tiny, tiny, v)
+
+    c, d = np.ones_like(y), 1.0 / safe(1.0 - (p + q) * y / (p + 1.0))
+    h = d.copy()
+    todo = np.arange(len(y))
+    for m in range(1, 1000):
+        pm, qm, ym, cm, dm = p[todo], q[todo], y[todo], c[todo], d[todo]
+        for num in (m * (qm - m) * ym / ((pm + 2 * m - 1) * (pm + 2 * m)), -(pm + m) * (pm + qm + m) * ym / ((pm + 2 * m) * (pm + 2 * m + 1))):
+            dm, cm = 1.0 / safe(1.0 + num * dm), safe(1.0 + num / cm)
+            h[todo] *= dm * cm
+        c[todo], d[todo] = cm, dm
+        todo = todo[np.abs(dm * cm - 1.0) > 1e-14]
+        if not len(todo):
+            break
+    tail = front * h
+    return np.where(swap, 1.0 - tail, tail)
+
+
+def beta_quantile(u, a, b):
+    """x with beta_cdf(x; a, b) = u for arrays: Newton steps inside a bracket that every step narrows."""
+    import numpy as np
+    u, a, b = (np.asarray(v, dtype=float) for v in (u, a, b))
+    ln = log_beta(a, b)
+    lo, hi, mean = np.zeros_like(u), np.ones_like(u), a / (a + b)
+    z = (u ** 0.135 - (1.0 - u) ** 0.135) / 0.1975  # about the normal quantile: a start near the answer
+    x = mean + z * np.sqrt(mean * (1.0 - mean) / (a + b + 1.0))
+    x = np.where((x > 0.0) & (x < 1.0), x, mean)
+    left = np.arange(len(u))
+    for _ in range(100):
+        if not len(left):
+            break
+        xs, al, bl, ll = x[left], a[left], b[left], ln[left]
+        off = beta_cdf(xs, al, bl, ll) - u[left]
+        hi[left] = np.where(off > 0, xs, hi[left])
+        lo[left] = np.where(off > 0, lo[left], xs)
+        with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
+            slope = np.exp((al - 1.0) * np.log(xs) + (bl - 1.0) * np.log1p(-xs) - ll)
+            step = xs - off / slope
+        new = np.where((step > lo[left]) & (step < hi[left]), step, (lo[left] + hi[left]) / 2.0)
+        x[left] = new
+        left = left[(np.abs(new - xs) > 1e-12 * np.minimum(new, 1.0 - new)) & (hi[left] - lo[left] > 1e-16)]
+    return x
+
+
 def thompson_pick(accounts: DataFrame, post: DataFrame, seed: int = 42) -> DataFrame:  # B4
-    """One Beta draw per channel per account; the argmax channel and the draws.
+    """One Beta draw per channel per account; the channel of the largest draw (ties: the first) and the draws.
 
-    Each account's generator is seeded by (seed, md5 of its id), so draws do not depend on how rows
-    are partitioned or batched. Posteriors reach the rows as a bounded broadcast join.
+    A draw is the posterior's quantile at a uniform number hashed from seed, account and channel, so it doesn't depend on
+    how rows are partitioned or batched, and a whole batch is drawn by a few vector operations. The posteriors are a
+    table of segments that meets the accounts in an equi-join.
     """
-    packed = post.groupBy("segment").agg(F.array_sort(F.collect_list(F.struct(
-        "channel_order", "channel", "alpha", "beta"))).alias("arms"))
-    rows = accounts.select("customer_id", "segment").join((packed), "segment", "inner")
+    packed = post.groupBy("segment").agg(F.array_sort(F.collect_list(F.struct("channel_order", "channel", "alpha", "beta"))).alias("arms"))
+    u = F.transform("arms", lambda x: hash_uniform_of(F.concat_ws(":", F.lit(str(seed)), "customer_id", x["channel"])))
+    rows = (accounts.select("customer_id", "segment").join(packed, "segment", "inner")
+            .select("customer_id", "segment", F.transform("arms", lambda x: x["channel"]).alias("channels"),
+                    F.transform("arms", lambda x: x["alpha"]).alias("a"), F.transform("arms", lambda x: x["beta"]).alias("b"), u.alias("u")))
 
     def draw(batches):
-        import hashlib
-
         import numpy as np
         import pandas as pd
         for pdf in batches:
-            chans, draws = [], []
-            for cid, arms in zip(pdf["customer_id"], pdf["arms"]):
-                h = int(hashlib.md5(cid.encode()).hexdigest()[:16], 16)
-                g = np.random.default_rng([seed, h])
-                a = np.array([x["alpha"] for x in arms], dtype=float)
-                b = np.array([x["beta"] for x in arms], dtype=float)
-                d = g.beta(a, b)
-                draws.append(d.tolist())
-                chans.append(arms[int(np.argmax(d))]["channel"])
+            if not len(pdf):
+                continue
+            size = pdf["u"].map(len).to_numpy()
+            flat = [np.concatenate(pdf[c].to_list()).astype(float) for c in ("u", "a", "b")]
+            cuts = np.cumsum(size)[:-1]
+            draws = np.split(beta_quantile(*flat), cuts)
             yield pd.DataFrame({"customer_id": pdf["customer_id"], "segment": pdf["segment"],
-                                "recommended_channel": chans, "draws": draws})
+                                "recommended_channel": [c[int(np.argmax(d))] for c, d in zip(pdf["channels"], draws)],
+                                "draws": [d.tolist() for d in draws]})
 
     return rows.mapInPandas(draw, PICK_SCHEMA)
+
+
+def hash_uniform_of(text):
+    """A number strictly between 0 and 1 from the text's hash."""
+    return (F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") + lit_d(0.5)) / lit_d(4294967296.0)
+
+
+def carry_on(table, batch: object, outcomes: DataFrame, segments: DataFrame) -> bool:
+    """B2 over time: add one batch of the outcome log to a table of counts (``streaming.streams.POSTERIOR_COUNTS``). A batch
+    that is there already changes nothing; only the new batch is read. False if it was there."""
+    per_user = outcomes.groupBy("user_id", "channel").agg(F.sum("outcome").alias("s"), F.sum(F.lit(1) - F.col("outcome")).alias("f"))
+    counts = per_user.join(segments.select("user_id", "segment"), "user_id").groupBy("segment", "channel").agg(F.sum("s").alias("s"), F.sum("f").alias("f"))
+    return table.add(batch, {"counts": counts})

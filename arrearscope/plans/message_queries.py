@@ -154,6 +154,21 @@ def q_chunk_json(spark, sf_dir):  # S4 write + S3 read
     return IO.read_chunks_json(spark, path, schema=CHUNK)
 
 
+@register("chunk_json_array", O.with_ctes("SELECT title, text FROM chunks", RET_CTES))
+def q_chunk_json_array(spark, sf_dir):  # S3: the array form, one array per document
+    path = shared_dir(spark, "chunks-json-arrays")
+    IO.write_chunk_arrays_json(chunks(spark, sf_dir).select("title", "text"), path)
+    return IO.read_chunks_json(spark, path, schema=CHUNK)
+
+
+@register("policy_doc_scan", "SELECT 'item_' || item_id AS title, text || chr(10) AS text FROM benchmark WHERE text IS NOT NULL")
+def q_policy_doc_scan(spark, sf_dir):  # S2: a folder of .md files, written and scanned
+    path = shared_dir(spark, "policy-docs")
+    b = table(spark, sf_dir, "benchmark").where(F.col("text").isNotNull())
+    IO.write_policy_docs(b.select(F.concat(F.lit("item_"), F.col("item_id").cast("string")).alias("title"), "text"), path)
+    return IO.policy_doc_scan(spark, path)
+
+
 @register("training_csv_export", O.training_sql(
     "SELECT " + ", ".join(ACCOUNT_COLS + ["will_pay", "ptp_kept", "recovery_success"]) + " FROM portfolio"))
 def q_training_csv(spark, sf_dir):  # S5

@@ -10,8 +10,11 @@ from ..operators import compliance as C
 from ..operators import pointintime as PT
 from ..operators import splits as X
 from ..schema import CHANNELS
+from ..session import written
 from ..sources.portfolio import portfolio, training_portfolio
 from ..sources.tables import table
+from ..streaming import streams as S
+from ..streaming.tables import BatchTable
 from . import oracle as O
 from .catalog import register
 from .report_queries import advanced
@@ -180,6 +183,37 @@ def q_thompson(spark, sf_dir):
     return B.thompson_pick(acc, post.select("segment", "channel", "channel_order", "alpha", "beta"))
 
 
+@register("thompson_check", bandit_sql("""
+SELECT p.segment, p.channel, count(*) AS accounts, true AS picks_largest, true AS mean_near_posterior
+FROM posterior p JOIN scored_advanced s ON p.segment = s.segment GROUP BY p.segment, p.channel"""))
+def q_thompson_check(spark, sf_dir):  # B4: the pick is the largest draw; draws average to the posterior mean within 5 errors
+    acc, post = _posterior(spark, sf_dir)
+    post = written(post, "thompson-posterior")
+    picks = B.thompson_pick(acc, post)
+    names = post.groupBy("segment").agg(F.array_sort(F.collect_list(F.struct("channel_order", "channel"))).alias("arms"))
+    d = (picks.join(names, "segment").select("segment", "recommended_channel", "draws", F.posexplode("arms").alias("i", "arm"))
+         .select("segment", "arm.channel", F.element_at("draws", F.col("i") + 1).alias("draw"),
+                 ((F.col("arm.channel") != F.col("recommended_channel")) | (F.element_at("draws", F.col("i") + 1) == F.array_max("draws"))).alias("fits")))
+    stats = d.groupBy("segment", "channel").agg(F.count(F.lit(1)).alias("accounts"), F.avg("draw").alias("m"), F.bool_and("fits").alias("picks_largest"))
+    total = F.col("alpha") + F.col("beta")
+    error = F.sqrt(F.col("alpha") * F.col("beta") / (total * total * (total + 1)) / F.col("accounts"))
+    return stats.join(post, ["segment", "channel"]).select("segment", "channel", "accounts", "picks_largest",
+                                                           (F.abs(F.col("m") - F.col("alpha") / total) <= 5 * error).alias("mean_near_posterior"))
+
+
+@register("bandit_carried", bandit_sql("SELECT segment, channel, alpha, beta FROM posterior"))
+def q_bandit_carried(spark, sf_dir):  # B2 carried on: weekly batches into a ledger, one of them twice
+    acc = advanced(spark, sf_dir)
+    segs = written(acc.select(F.col("c_custkey").alias("user_id"), "segment"), "carried-segments")
+    log = B.outcome_log(table(spark, sf_dir, "events"))
+    counts = BatchTable(spark, S.POSTERIOR_COUNTS)
+    week = F.date_format(F.date_trunc("week", "ts"), "yyyy-MM-dd")
+    weeks = sorted(r.w for r in log.select(week.alias("w")).distinct().collect())  # names of batches
+    for w in [*weeks, *weeks[:1]]:
+        B.carry_on(counts, w, log.where(week == w), segs)
+    return B.posterior(B.prior(segs), counts.read("counts")).select("segment", "channel", "alpha", "beta")
+
+
 # ---------------- point in time ----------------
 SNAPSHOT_CUTS = [f"{y}-08-02" for y in range(1996, 2001)]
 
