@@ -4,7 +4,8 @@ Base rules per document: counts of words, symbols, repeated lines and words in r
 
 Method. A line is normalised (trimmed, lower-case, white space runs to one space) and hashed. For each host the number
 of distinct documents that hold the line is counted; exact copies of a text count once. A line held by more than
-``share`` of the host's distinct documents, and by more than ``least`` of them, is removed from all of them. A
+``share`` of the host's distinct documents, and by more than ``least`` of them, is removed from all of them (by default by
+three or more: with fewer, two texts that share a line would be a frequency of their own). A
 document left with fewer than ``min_words`` words, or with less than ``min_left`` of its words, is depleted and
 rejected. The host of a document is its source; rows without one form a host of their own.
 
@@ -105,14 +106,14 @@ def verdicts(profiles: DataFrame, share: float, least: int, min_words: int, min_
             .withColumn("removed_lines", F.coalesce("removed_lines", F.lit(0)).cast("long")).drop("lost"))
 
 
-def judge(docs: DataFrame, share: float = 0.1, least: int = 20, min_words: int = MIN_WORDS, min_left: float = 0.2) -> DataFrame:
+def judge(docs: DataFrame, share: float = 0.1, least: int = 2, min_words: int = MIN_WORDS, min_left: float = 0.2) -> DataFrame:
     """doc_id, the base counts, base_failed, kept, removed_lines, words_left of every document."""
     return (verdicts(stored(profile(docs), "quality-profile"), share, least, min_words, min_left)
             .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
                     "removed_lines", "words_left"))
 
 
-def kept_documents(docs: DataFrame, share: float = 0.1, least: int = 20, min_words: int = MIN_WORDS, min_left: float = 0.2) -> DataFrame:
+def kept_documents(docs: DataFrame, share: float = 0.1, least: int = 2, min_words: int = MIN_WORDS, min_left: float = 0.2) -> DataFrame:
     """The documents that pass, in their own columns, without the lines above their host's limit.
 
     Rows are met again by a hash of what decides the verdict (doc_id, text, host): equal rows have equal verdicts.
@@ -131,7 +132,7 @@ def kept_documents(docs: DataFrame, share: float = 0.1, least: int = 20, min_wor
     return rows.select(F.when(F.col("removed").isNull(), record).otherwise(with_text(record, shorter, docs)).alias("record")).select("record.*")
 
 
-def oracle_sql(share: float = 0.1, least: int = 20, min_words: int = MIN_WORDS, min_left: float = 0.2) -> str:
+def oracle_sql(share: float = 0.1, least: int = 2, min_words: int = MIN_WORDS, min_left: float = 0.2) -> str:
     """DuckDB SQL for ``judge`` over the table ``documents``."""
     blank = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
     return f"""
