@@ -40,7 +40,8 @@ def test_every_query_has_a_check():
     # rows-only keys: fitted models, random draws, approximate search, vectoriser output
     assert sorted(missing) == sorted(["thompson_pick", "train_forests", "train_gbt", "score_portfolio",
                                       "train_uplift", "uplift_score", "permutation_importance", "importance_order",
-                                      "kmeans_segments", "model_io", "embed_chunks", "vector_topk_lsh"])
+                                      "kmeans_segments", "model_io", "embed_chunks", "vector_topk_lsh",
+                                      "vector_topk_ivf"])
 
 
 @pytest.mark.parametrize("key", sorted(SQL))

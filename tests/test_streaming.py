@@ -259,3 +259,32 @@ def test_append_stream_goes_on_in_its_folder(spark):
         assert sorted(r.event_id for r in spark.read.parquet(out).collect()) == list(range(60))
     spark.createDataFrame([(60, *rows[0][1:])], S.EVENTS_SCHEMA).write.parquet(f"{d}/zz")
     assert spark.read.parquet(S.run_append(read().select("event_id"), "append", home)).count() == 61
+
+
+def test_guardrail_equals_brute_force_with_a_hot_customer(spark):
+    """One customer has a third of all contacts; batches stop and start, bases drop old contacts, late ones are dropped or counted."""
+    rows = _contact_log(500, users=40)
+    late = [(900, rows[250][1] - dt.timedelta(hours=20), 0, "view", 1.0, "{}"), (901, rows[0][1], 0, "view", 1.0, "{}")]
+    rows = rows[:375] + [r for r in late] + rows[375:]
+    _, read = _files(spark, rows, S.EVENTS_SCHEMA, 4)
+    step = -(-len(rows) // 4)
+    seen, clock, want = [], None, {}
+    for i in range(4):
+        batch = [r for r in rows[i * step:(i + 1) * step] if r[3] in ("view", "click", "error") and (clock is None or r[1] >= clock - dt.timedelta(days=1))]
+        seen += batch
+        for e, t, u, *_ in batch:
+            want[e] = sum(1 for _, s, v, *_ in seen if v == u and t - dt.timedelta(days=7) <= s <= t)
+        clock = max([r[1] for r in seen])
+    assert 901 not in want
+    home = shared_dir(spark, "guard")
+
+    def events():
+        return read().withColumn("ts", F.col("ts").cast("timestamp"))
+
+    for _ in range(5):
+        t = S.run_guardrail(events(), home, max_batches=1)
+        t.compact()
+    got = {r.event_id: (r.contacts_7d, r.blocked_reason) for r in t.read("decisions").collect()}
+    assert {e: n for e, (n, _) in got.items()} == want
+    assert all((why == f"Contact cap reached ({n}/7 in 7 days)") == (n >= 7) for n, why in got.values())
+    assert t.read("contacts").count() < len(seen) and t.read("decisions").count() == len(seen)
