@@ -265,7 +265,7 @@ SELECT customer_id, will_pay,
     <= ceil(count(*) OVER (PARTITION BY will_pay) * 0.2e0) AS is_test
 FROM portfolio"""))
 def q_stratified_split(spark, sf_dir):  # X1
-    p = training_portfolio(spark, sf_dir).select("customer_id", "will_pay")
+    p = written(training_portfolio(spark, sf_dir).select("customer_id", "will_pay"), "labels")  # narrow, read more than once
     return X.stratified_split(p, "will_pay", 0.2, 42).select("customer_id", "will_pay", "is_test")
 
 
@@ -273,7 +273,7 @@ def q_stratified_split(spark, sf_dir):  # X1
 SELECT customer_id, will_pay,
   CAST(count(*) OVER () AS DOUBLE) / (2.0e0 * count(*) OVER (PARTITION BY will_pay)) AS weight FROM portfolio"""))
 def q_class_weights(spark, sf_dir):  # M2
-    p = training_portfolio(spark, sf_dir).select("customer_id", "will_pay")
+    p = written(training_portfolio(spark, sf_dir).select("customer_id", "will_pay"), "labels")  # narrow, read more than once
     return X.class_weights(p, "will_pay").select("customer_id", "will_pay", "weight")
 
 
