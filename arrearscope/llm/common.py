@@ -22,6 +22,13 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def one_per_content(members: DataFrame, item: str, key: str = "key") -> DataFrame:
+    """One key of every set of items: buckets that hold the same items hold the same pairs. Sets are told apart by 128 hash bits and size."""
+    hashes = [F.bit_xor(F.xxhash64(item, F.lit(salt))).alias(f"x{salt}") for salt in (1, 2)]
+    same = members.groupBy(key).agg(F.count("*").alias("items"), *hashes)
+    return same.groupBy("items", "x1", "x2").agg(F.min(key).alias(key)).select(key)
+
+
 def per_worker(key: tuple, make):
     """``make()`` once per Python worker and key: tables that are costly to fill serve all tasks of a worker."""
     import sys

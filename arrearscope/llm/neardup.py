@@ -9,9 +9,9 @@ the probability Jaccard similarity of their weighted shingles.
 Search. Registers are banded; texts that share a band are candidates. In every bucket each text is first compared with
 the bucket's smallest one, which settles the copies; candidates are verified by the exact J_P of their shingle sets,
 and a distributed union-find joins the links. In buckets that still hold several components, texts outside the main one are
-compared with one of its members, another in each bucket; what is left then is searched whole: every text outside the bucket's main component against all others, in blocks, first by signature (a pair goes on if its registers agree to
-within four standard errors of the threshold), then by the exact J_P. So no link between candidates is lost, and copies
-never form all their pairs.
+compared with one of its members, another in each bucket; what is left then is searched whole, in blocks: every text outside
+the bucket's main component meets all others, exact bounds on shared mass leave out pairs, the exact J_P decides, and
+only links that join components leave a block. No class misses a link between candidates, and copies never form all their pairs.
 
 Equal texts are one node from the start. Classes are the connected components; the class id is the smallest doc_id.
 
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_record, no_text, stored
+from .common import as_record, no_text, one_per_content, stored
 from .components import components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -163,11 +163,11 @@ def unpack_set(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return keys, np.ones(len(keys))
 
 
-NODES = "doc_id long, h long, g long, chars int, sig binary, bands array<long>, shingles binary"
+NODES = "doc_id long, h long, g long, chars int, bands array<long>, shingles binary"
 
 
 def signed_documents(docs: DataFrame, chars: int = 3_000_000, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
-    """Signature (one byte per register), band keys and packed shingles of every document, with its text's identity."""
+    """Band keys of the signature and packed shingles of every document, with its text's identity."""
     registers = rows * bands
 
     def run(batches):
@@ -187,13 +187,12 @@ def signed_documents(docs: DataFrame, chars: int = 3_000_000, rows: int = ROWS,
                 for r in range(rows):
                     keys = draw(keys ^ sig[:, r::rows], r + 2)
                 keys = keys.view(np.int64)
-                small = (sig >> np.uint64(56)).astype(np.uint8)
                 cut = np.searchsorted(doc, np.arange(n + 1))
                 some = np.diff(cut) > 0
                 sets = [pack_set(s[i:j], count[i:j]) for i, j in zip(cut, cut[1:])]
                 yield pa.record_batch([
                     ids.slice(at, n), batch.column(2).slice(at, n), batch.column(3).slice(at, n), batch.column(4).slice(at, n),
-                    pa.array([x.tobytes() for x in small]), pa.array([k.tolist() if ok else [] for k, ok in zip(keys, some)], pa.list_(pa.int64())),
+                    pa.array([k.tolist() if ok else [] for k, ok in zip(keys, some)], pa.list_(pa.int64())),
                     pa.array(sets, pa.binary())], names=[c.split(" ")[0] for c in NODES.split(", ")])
                 at += n
 
@@ -217,49 +216,100 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, j double")
 
 
-def block_pairs(mixed_members: DataFrame, sigs: DataFrame, least: float, few: int = 256, many: int = 2048, rows: int = 20_000) -> DataFrame:
-    """Pairs (a, b) of one bucket and two components whose signatures agree in at least ``least`` of the registers.
+class Forest:
+    """Union-find over the components that one task meets."""
 
-    ``mixed_members``: (key, band, node, comp, main) with main the bucket's main component. A pair comes out of the first
-    band whose key it shares only, not of every bucket. Texts outside it, in blocks of about
-    ``few``, meet all texts of the bucket, in blocks of about ``many``; many small buckets share a task.
+    def __init__(self):
+        self.up = {}
+
+    def top(self, x: int) -> int:
+        up = self.up
+        while up.get(x, x) != x:
+            up[x] = up.get(up[x], up[x])
+            x = up[x]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.top(x), self.top(y)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
+def cell_links(comp, left, sets, threshold: float, forest: Forest):
+    """(i, j, J_P) of texts in one cell that join two components, as exact J_P finds them.
+
+    A text outside the main component meets all others at once: shared masses come from a table of shingle numbers. J_P is
+    the collision probability of a coupling, so it is at most the mass that either text's own distribution has
+    on the shared shingles; only pairs above the threshold in both go on to the exact J_P.
+    """
+    right = np.flatnonzero(~left)
+    some = right[[len(sets[j][0]) > 0 for j in right]]
+    if not len(some):
+        return
+    size = np.fromiter((len(sets[j][0]) for j in some), np.int64, len(some))
+    keys, number = np.unique(np.concatenate([sets[j][0] for j in some]), return_inverse=True)
+    share = np.concatenate([sets[j][1] / sets[j][1].sum() for j in some])
+    start = np.cumsum(size) - size
+    mass = np.zeros(len(keys))
+    for i in np.flatnonzero(left):
+        a, wa = sets[i]
+        at = np.minimum(np.searchsorted(keys, a), len(keys) - 1)
+        here = keys[at] == a
+        if wa[here].sum() < (threshold - 1e-9) * wa.sum():
+            continue
+        mass[at[here]] = wa[here] / wa.sum()
+        held = mass[number]
+        mine = np.add.reduceat(held, start)
+        other = np.add.reduceat(np.where(held > 0, share, 0), start)
+        mass[at[here]] = 0
+        near = np.flatnonzero((np.minimum(mine, other) >= threshold - 1e-9) & (comp[some] != comp[i]))
+        # the likeliest first: later pairs of components that are joined by then need no test
+        for j in some[near[np.argsort(-np.minimum(mine, other)[near], kind="stable")]]:
+            if forest.top(comp[i]) != forest.top(comp[j]):
+                value = probability_jaccard(a, wa, *sets[j])
+                if value >= threshold - 1e-12:
+                    forest.join(comp[i], comp[j])
+                    yield i, j, value
+
+
+def block_links(mixed_members: DataFrame, sets: DataFrame, threshold: float, few: int = 1 << 20, many: int = 1 << 23, task: int = 1 << 25) -> DataFrame:
+    """Links (a, b, j) that join the components left in one bucket; every pair of different components is looked at.
+
+    ``mixed_members``: (key, node, comp, main) with main the bucket's main component. Texts outside it, in blocks of about
+    ``few`` bytes of shingles, meet all texts of the bucket, in blocks of about ``many``; cells of about ``task`` bytes share
+    a task. Pairs are verified in their cell, and of its links a task lets out a spanning forest of the components it
+    has met: at most one row for every component, however many pairs there are.
     """
-    m = mixed_members.join(sigs.select("node", "sig", "bands"), "node")
-    sizes = (mixed_members.groupBy("key").agg(F.count("*").alias("n"), F.count(F.when(F.col("comp") != F.col("main"), 1)).alias("out"))
-             .select("key", F.ceil(F.col("out") / few).cast("int").alias("ni"), F.ceil(F.col("n") / many).cast("int").alias("nj")))
-    m = m.join(sizes, "key")
+    chosen = one_per_content(mixed_members, "node")
+    m = mixed_members.join(chosen, "key").join(sets.select("node", "shingles"), "node")
+    m = stored(m.withColumn("bytes", F.length("shingles") + 64), "near-cells")
+    blocks = lambda total, each: F.ceil(F.coalesce(total, F.lit(0)) / each).cast("int")
+    sizes = stored(m.groupBy("key").agg(blocks(F.sum(F.when(F.col("comp") != F.col("main"), F.col("bytes"))), few).alias("ni"),
+                                        blocks(F.sum("bytes"), many).alias("nj"), F.sum("bytes").alias("all")), "near-sizes")
+    total = sizes.agg(F.sum(F.col("all") * (F.col("ni") + F.col("nj")))).first()[0] or 0
+    groups = max(1, math.ceil(total / task))
+    m = m.join(sizes.drop("all"), "key")
     side = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")
     left = m.filter("comp <> main").withColumn("i", side("ni")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nj") - 1))).withColumn("left", F.lit(True))
     right = m.withColumn("j", side("nj")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("ni") - 1))).withColumn("left", F.lit(False))
-    cells = stored(left.unionByName(right).select(F.xxhash64("key", "i", "j").alias("cell"), "band", "node", "comp", "sig", "bands", "left"), "near-cells")
-    groups = max(1, math.ceil(cells.count() / rows))
+    cells = left.unionByName(right).select(F.xxhash64("key", "i", "j").alias("cell"), "node", "comp", "shingles", "left")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("cell", kind="stable")
-        cell = pdf["cell"].to_numpy()
-        node, comp, left, band = (pdf[c].to_numpy() for c in ("node", "comp", "left", "band"))
-        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), -1) if len(pdf) else np.zeros((0, 1), np.uint8)
-        keys = np.stack(pdf["bands"].to_list()) if len(pdf) else np.zeros((0, 1), np.int64)
+        cell, node, comp, left = (pdf[c].to_numpy() for c in ("cell", "node", "comp", "left"))
         head = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
-        out_a, out_b = [], []
+        forest, out = Forest(), []
         for lo, hi in zip(head, np.r_[head[1:], len(cell)]):
-            x = lo + np.flatnonzero(left[lo:hi])
-            y = lo + np.flatnonzero(~left[lo:hi])
-            for i in x:
-                near = y[((sig[y] == sig[i]).mean(axis=1) >= least) & (comp[y] != comp[i])]
-                # by the keys that make the buckets: bytes of a signature may agree where they do not
-                hit = near[(keys[near] == keys[i]).argmax(axis=1) == band[i]]
-                out_a.append(np.minimum(node[hit], node[i]))
-                out_b.append(np.maximum(node[hit], node[i]))
-        if not out_a:
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        return pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b)}).drop_duplicates()
+            sets = [unpack_set(x) for x in pdf["shingles"].iloc[lo:hi]]
+            for i, j, value in cell_links(comp[lo:hi], left[lo:hi], sets, threshold, forest):
+                out.append((min(node[lo + i], node[lo + j]), max(node[lo + i], node[lo + j]), value))
+        return pd.DataFrame(out, columns=["a", "b", "j"]).astype({"a": "int64", "b": "int64", "j": "float64"})
 
-    return cells.groupBy(F.pmod("cell", F.lit(groups)).alias("task")).applyInPandas(run, "a long, b long").distinct()
+    return cells.groupBy(F.pmod("cell", F.lit(groups)).alias("task")).applyInPandas(run, "a long, b long, j double").dropDuplicates(["a", "b"])
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id, class_size, n_links, keep of every document (n_links: verified links of its text)."""
+    """doc_id, class_id, class_size, n_links, keep of every document (n_links: links of its text among those that join its class)."""
     return _classes(docs, threshold).drop("h")
 
 
@@ -279,10 +329,10 @@ def _classes(docs: DataFrame, threshold: float) -> DataFrame:
     exact = stored(signed.groupBy(*same).agg(F.min("row").alias("node")), "near-exact")
     signed_nodes = signed.withColumnRenamed("row", "node")
     held = stored(signed_nodes.select("node", "bands").join(exact.select("node"), "node", "left_semi")
-                  .select("node", F.posexplode("bands").alias("band", "key")), "near-bands")
+                  .select("node", F.explode("bands").alias("key")), "near-bands")
     shared = held.groupBy("key").agg(F.min("node").alias("rep"), F.max("node").alias("top")).filter("rep <> top").select("key", "rep")
     members = stored(held.join(shared, "key"), "near-members")
-    sets = stored(signed_nodes.select("node", "shingles", "sig", "bands").join(members.select("node").distinct(), "node", "left_semi"), "near-sets")
+    sets = stored(signed_nodes.select("node", "shingles").join(members.select("node").distinct(), "node", "left_semi"), "near-sets")
 
     # every text against its buckets' smallest ones
     stars = stored(members.filter("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct(), "near-stars")
@@ -291,24 +341,21 @@ def _classes(docs: DataFrame, threshold: float) -> DataFrame:
 
     # what is left in buckets of several components: texts outside the main one against one of its members per bucket,
     # a different one in each, then against the whole bucket
-    error = math.sqrt(threshold * (1 - threshold) / (ROWS * BANDS))
-    tested = stars
     for last in (False, True):
-        where = members.select("key", "band", "node").join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+        where = members.select("key", "node").join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
         several = where.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
         left = stored(where.join(several, "key"), "near-mixed")
         sizes = left.groupBy("key", "comp").agg(F.count("*").alias("n"))
         main = sizes.groupBy("key").agg(F.max(F.struct("n", "comp"))["comp"].alias("main"))
         left = left.join(main, "key")
         if last:
-            more = block_pairs(left, sets, threshold - 4 * error)
+            more = block_links(left, sets, threshold)
         else:
             one = left.filter("comp = main").groupBy("key").agg(F.min_by("node", F.xxhash64("node", "key")).alias("one"))
-            more = (left.filter("comp <> main").join(one, "key")
-                    .select(F.least("node", "one").alias("a"), F.greatest("node", "one").alias("b")).distinct())
-        more = stored(more.join(tested, ["a", "b"], "left_anti"), "near-more")
-        tested = tested.unionByName(more)
-        links = links.unionByName(stored(verified(more, sets, threshold), "near-links"))
+            pairs = (left.filter("comp <> main").join(one, "key")
+                     .select(F.least("node", "one").alias("a"), F.greatest("node", "one").alias("b")).distinct())
+            more = verified(stored(pairs.join(stars, ["a", "b"], "left_anti"), "near-more"), sets, threshold)
+        links = links.unionByName(stored(more, "near-links"))
         roots = components(links)
 
     degree = (links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
