@@ -14,8 +14,9 @@ have one kind of key in common.
 
 Search. Lines that share a band key are candidates; in each bucket every line is first compared with the smallest, then, in
 buckets left with several components, every line outside the main one with one line of it, another in each bucket, and
-at last with all lines of the bucket in other components. Every comparison is the exact Jaccard similarity of the shingle sets, so only
-candidates are ever missed. A distributed union-find forms components; the first line of each (by doc_id, then position)
+at last, in blocks of bounded size, with all lines of the bucket in other components. Pairs of the last search stay inside their
+cell of two blocks; only links between components leave it. Every comparison is the exact Jaccard similarity of the shingle
+sets, so only candidates are ever missed. A distributed union-find forms components; the first line of each (by doc_id, then position)
 is kept, all others are removed from their documents.
 
 Scale. Texts are read to hash lines, to fetch the lines that have candidates and to write the result; only the
@@ -34,8 +35,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_record, no_text, stored, with_text
-from .components import components
+from .common import as_record, no_text, one_per_content, stored, with_text
+from .components import components, merged
 from .quality import normal_line, trimmed
 
 SHINGLE, TENTHS = 8, 8  # characters; similarity in tenths
@@ -114,16 +115,53 @@ def may_hold(keys: DataFrame, name: str, n: int):
     return test
 
 
+def bound(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def alike(n: Column, m: Column) -> Column:
+    """Sets of n and m shingles can reach the threshold: the smaller is at most the intersection, the larger at least the union."""
+    return 10 * F.least(n, m) >= TENTHS * F.greatest(n, m)
+
+
+def reaches(x: Column, n: Column, y: Column, m: Column) -> Column:
+    """The exact Jaccard similarity of x and y, with n and m distinct shingles, is TENTHS / 10 or more."""
+    return bound(F.size(F.array_intersect(x, y)), lambda both: 10 * both >= TENTHS * (n + m - both))
+
+
 def similar(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """The pairs (a, b) of lines whose exact Jaccard similarity reaches TENTHS / 10. lines: line, norm, n (distinct shingles)."""
+    """The pairs (a, b, further columns) of lines whose exact Jaccard similarity reaches TENTHS / 10. lines: line, norm, n (distinct shingles)."""
     one = lines.select(F.col("line").alias("a"), F.col("norm").alias("x"), F.col("n").alias("nx"))
     two = lines.select(F.col("line").alias("b"), F.col("norm").alias("y"), F.col("n").alias("ny"))
-    near = (pairs.join(one, "a").join(two, "b")
-            # the smaller set is at most the intersection, the larger at least the union
-            .filter(10 * F.least("nx", "ny") >= TENTHS * F.greatest("nx", "ny")))
-    both = F.size(F.array_intersect(shingle_hashes(F.col("x")), shingle_hashes(F.col("y"))))
-    return (near.select("a", "b", (F.col("nx") + F.col("ny")).alias("n"), both.alias("both"))
-            .filter(10 * F.col("both") >= TENTHS * (F.col("n") - F.col("both"))).select("a", "b"))
+    near = pairs.join(one, "a").join(two, "b").filter(alike(F.col("nx"), F.col("ny")))
+    return near.filter(reaches(shingle_hashes(F.col("x")), F.col("nx"), shingle_hashes(F.col("y")), F.col("ny"))).select(pairs.columns)
+
+
+def block_links(left: DataFrame, lines: DataFrame, few: int = 1 << 15, many: int = 1 << 17) -> DataFrame:
+    """Links (u, v) between components of lines that share a bucket; every pair of lines of different components is looked at.
+
+    left: (key, line, comp, main), main being the bucket's main component. Lines outside it, in blocks of about ``few`` bytes,
+    meet all lines of the bucket, in blocks of about ``many``. A cell is one row with its two blocks, so pairs are never rows.
+    """
+    m = left.join(one_per_content(left, "line"), "key").join(lines.select("line", "norm", "n"), "line")
+    m = stored(m.select("key", "line", "comp", "main", "norm", "n", (F.octet_length("norm") + 32).alias("bytes")), "line-cells")
+    blocks = lambda total, each: F.ceil(F.coalesce(total, F.lit(0)) / each).cast("int")
+    sizes = m.groupBy("key").agg(blocks(F.sum(F.when(F.col("comp") != F.col("main"), F.col("bytes"))), few).alias("ni"),
+                                 blocks(F.sum("bytes"), many).alias("nj"))
+    m = m.join(sizes, "key")
+    side = lambda c: F.pmod(F.xxhash64("line"), F.col(c)).cast("int")
+    held = F.collect_list(F.struct("comp", "n", "norm"))
+    rows = m.filter("comp <> main").groupBy("key", side("ni").alias("i"), "nj").agg(held.alias("xs")).select("key", "i", "xs", F.explode(F.sequence(F.lit(0), F.col("nj") - 1)).alias("j"))
+    columns = m.groupBy("key", side("nj").alias("j")).agg(held.alias("ys"))
+    hashed = lambda x: F.struct(x["comp"].alias("comp"), x["n"].alias("n"), F.array_distinct(shingle_hashes(x["norm"])).alias("h"))
+
+    def links(x, ys):
+        near = F.filter(ys, lambda y: (y["comp"] != x["comp"]) & alike(x["n"], y["n"]) & reaches(x["h"], x["n"], y["h"], y["n"]))
+        return F.array_distinct(F.transform(near, lambda y: F.struct(F.least(x["comp"], y["comp"]).alias("u"), F.greatest(x["comp"], y["comp"]).alias("v"))))
+
+    found = bound(F.transform("ys", hashed), lambda ys: F.flatten(F.transform(F.transform("xs", hashed), lambda x: links(x, ys))))
+    return rows.join(columns, ["key", "j"]).select(F.explode(F.array_distinct(found)).alias("link")).select("link.u", "link.v").distinct()
 
 
 def line_components(docs: DataFrame, occ: DataFrame) -> DataFrame:
@@ -142,26 +180,23 @@ def line_components(docs: DataFrame, occ: DataFrame) -> DataFrame:
                    .withColumn("n", F.size(F.array_distinct(shingle_hashes(F.col("norm"))))), "line-texts")
 
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    tested = stored(members.filter("line <> low").select(*pair("line", "low")).distinct(), "line-stars")
-    links = stored(similar(tested, lines), "line-links")
+    stars = stored(members.filter("line <> low").select(*pair("line", "low")).distinct(), "line-stars")
+    roots = components(stored(similar(stars, lines), "line-links"))
     for last in (False, True):
-        roots = components(links).withColumnRenamed("node", "line")
-        where = members.join(roots, "line", "left").withColumn("comp", F.coalesce("root", "line")).drop("root")
+        where = members.join(roots.withColumnRenamed("node", "line"), "line", "left").withColumn("comp", F.coalesce("root", "line")).drop("root")
         several = where.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-        left = stored(where.join(several, "key", "left_semi"), "line-mixed")
+        left = stored(where.join(several, "key", "left_semi").select("key", "line", "comp"), "line-mixed")
         sizes = left.groupBy("key", "comp").agg(F.count("*").alias("n"))
         main = sizes.groupBy("key").agg(F.max(F.struct("n", "comp"))["comp"].alias("main"))
         left = left.join(main, "key")
-        out = left.filter("comp <> main").select("key", F.col("line").alias("x"), F.col("comp").alias("c"))
         if not last:  # one line of the main component, another in each bucket
             one = left.filter("comp = main").groupBy("key").agg(F.min_by("line", F.xxhash64("line", "key")).alias("one"))
-            more = out.join(one, "key").select(*pair("x", "one"))
+            more = left.filter("comp <> main").join(one, "key").select(*pair("line", "one"), F.least("comp", "main").alias("u"), F.greatest("comp", "main").alias("v"))
+            more = similar(stored(more.distinct().join(stars, ["a", "b"], "left_anti"), "line-more"), lines).select("u", "v")
         else:  # the whole bucket
-            more = out.join(left.select("key", "line", "comp"), "key").filter("c <> comp").select(*pair("x", "line"))
-        more = stored(more.distinct().join(tested, ["a", "b"], "left_anti"), "line-more")
-        tested = tested.unionByName(more)
-        links = links.unionByName(stored(similar(more, lines), "line-links"))
-    return components(links).withColumnRenamed("node", "line")
+            more = block_links(left, lines)
+        roots = merged(roots, stored(more, "line-links"))
+    return roots.withColumnRenamed("node", "line")
 
 
 def kept_positions(docs: DataFrame) -> DataFrame:
