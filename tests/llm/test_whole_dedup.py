@@ -89,14 +89,51 @@ def test_keys_have_recall_at_the_threshold(documents):
     assert min(hit.values()) >= 0.99, hit
 
 
-def test_block_search_takes_the_first_true_band(spark):
-    """Two texts whose bytes agree in band 0, where their keys differ, and that share the bucket of band 1."""
-    registers = neardup.ROWS * neardup.BANDS
-    one, two = list(range(100, 100 + neardup.BANDS)), list(range(500, 500 + neardup.BANDS))
-    two[1] = one[1]
-    sigs = spark.createDataFrame([(1, bytearray(registers), one), (2, bytearray(registers), two)], "node long, sig binary, bands array<long>")
-    members = spark.createDataFrame([(one[1], 1, 1, 1, 1), (one[1], 1, 2, 2, 1)], "key long, band int, node long, comp long, main long")
-    assert [tuple(r) for r in neardup.block_pairs(members, sigs, 0.7).collect()] == [(1, 2)]
-    # a pair that shares several buckets comes out of one
-    both = members.unionByName(members.withColumns({"key": F.lit(77).cast("long"), "band": F.lit(2)}))
-    assert neardup.block_pairs(both, sigs, 0.7).count() == 1
+@pytest.mark.parametrize("few,many", [(1 << 15, 1 << 17), (300, 700)])
+def test_line_blocks_link_what_all_pairs_link(spark, few, many):
+    """One bucket under two keys, every line its own component: the links are those of all pairs, in every block size."""
+    rng = np.random.default_rng(5)
+    base = ["".join(rng.choice(list("abcdefghij "), 150)) for _ in range(3)]
+    names = ["".join(rng.choice(list("xyz"), 1)[0] if i in set(rng.choice(150, k % 5)) else c for i, c in enumerate(base[k % 3])) for k in range(40)]
+    names = sorted(set(names))
+    want = set()
+    for a, b in itertools.combinations(range(len(names)), 2):
+        both = len(shingles(names[a]) & shingles(names[b]))
+        if 10 * both >= 8 * len(shingles(names[a]) | shingles(names[b])):
+            want.add((a, b))
+    lines = spark.createDataFrame([(i, x, len(shingles(x))) for i, x in enumerate(names)], "line long, norm string, n int")
+    left = lines.select(F.explode(F.array(F.expr("5L"), F.expr("6L"))).alias("key"), "line", F.col("line").alias("comp"), F.expr("0L").alias("main"))
+    got = {tuple(r) for r in linededup.block_links(left, lines, few, many).collect()}
+    assert got == want and want
+
+
+def weighted_sets(n, rng):
+    """Sets around a few centres: copies with changes of many sizes, some of them with counts above one."""
+    out = []
+    for k in range(n):
+        base = np.arange(100) + 1000 * (k % 4)
+        base[rng.choice(100, rng.integers(0, 25), replace=False)] = 100_000 + rng.integers(0, 10**6, 1)[0] + k * 1000
+        keys = np.unique(base).astype(np.uint64) << np.uint64(32)
+        out.append(neardup.pack_set(keys, rng.integers(1, 3, len(keys)) if k % 3 else np.ones(len(keys), int)))
+    return out
+
+
+@pytest.mark.parametrize("few,many,task", [(1 << 20, 1 << 23, 1 << 25), (900, 2000, 4000)])
+def test_block_links_join_what_all_pairs_join(spark, few, many, task):
+    """One mixed bucket, stored under two keys: its forest has the components of all pairs, in every block size."""
+    sets = weighted_sets(90, np.random.default_rng(3))
+    want = list(range(len(sets)))
+    for a, b in itertools.combinations(range(len(sets)), 2):
+        if neardup.probability_jaccard(*neardup.unpack_set(sets[a]), *neardup.unpack_set(sets[b])) >= 0.8 - 1e-12:
+            want = [want[a] if c == want[b] else c for c in want]
+    table = spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate(sets)], "node long, shingles binary")
+    members = table.select(F.explode(F.array(F.expr("5L"), F.expr("6L"))).alias("key"), "node", F.col("node").alias("comp"), F.lit(0).cast("long").alias("main"))
+    got = list(range(len(sets)))
+    rows = neardup.block_links(members, table, 0.8, few, many, task).collect()
+    for r in rows:
+        assert want[r.a] == want[r.b] and r.j >= 0.8 - 1e-12
+        got = [got[r.a] if c == got[r.b] else c for c in got]
+    groups = lambda c: sorted(tuple(np.flatnonzero(np.array(c) == x)) for x in set(c))
+    assert groups(got) == groups(want) and 4 < len(set(want)) < len(sets) - 20
+    if task > 10**6:  # one task: a forest
+        assert len(rows) == len(sets) - len(set(want))
