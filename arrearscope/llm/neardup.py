@@ -238,9 +238,10 @@ class Forest:
 def cell_links(comp, left, sets, threshold: float, forest: Forest):
     """(i, j, J_P) of texts in one cell that join two components, as exact J_P finds them.
 
-    A text outside the main component meets all others at once: shared masses come from a table of shingle numbers. J_P is
-    the collision probability of a coupling, so it is at most the mass that either text's own distribution has
-    on the shared shingles; only pairs above the threshold in both go on to the exact J_P.
+    A text outside the main component meets all others at once, by a table of shingle numbers. In J_P's term of a shared key i,
+    the sum over j of max(x_j / x_i, y_j / y_i) is at least the sum of max(x_j, y_j), divided by max(x_i, y_i); so J_P is at most
+    the sum of max(x, y) over the shared keys, divided by that over all keys (equal to it where all counts are 1). Only pairs
+    whose bound reaches the threshold go on to the exact J_P.
     """
     right = np.flatnonzero(~left)
     some = right[[len(sets[j][0]) > 0 for j in right]]
@@ -248,23 +249,25 @@ def cell_links(comp, left, sets, threshold: float, forest: Forest):
         return
     size = np.fromiter((len(sets[j][0]) for j in some), np.int64, len(some))
     keys, number = np.unique(np.concatenate([sets[j][0] for j in some]), return_inverse=True)
-    share = np.concatenate([sets[j][1] / sets[j][1].sum() for j in some])
+    number = number.astype(np.int32)
+    weight = np.concatenate([sets[j][1] for j in some]).astype(np.float32)
+    least = threshold - 1e-4  # well above the rounding of the sums
     start = np.cumsum(size) - size
-    mass = np.zeros(len(keys))
+    mass = np.zeros(len(keys), np.float32)
     for i in np.flatnonzero(left):
         a, wa = sets[i]
         at = np.minimum(np.searchsorted(keys, a), len(keys) - 1)
         here = keys[at] == a
-        if wa[here].sum() < (threshold - 1e-9) * wa.sum():
+        if wa[here].sum() < least * wa.sum():
             continue
-        mass[at[here]] = wa[here] / wa.sum()
+        mass[at[here]] = wa[here]
         held = mass[number]
-        mine = np.add.reduceat(held, start)
-        other = np.add.reduceat(np.where(held > 0, share, 0), start)
         mass[at[here]] = 0
-        near = np.flatnonzero((np.minimum(mine, other) >= threshold - 1e-9) & (comp[some] != comp[i]))
+        total, shared = np.maximum(held, weight), held > 0
+        most = np.add.reduceat(total * shared, start) / (np.add.reduceat(total - held, start) + wa.sum())
+        near = np.flatnonzero((most >= least) & (comp[some] != comp[i]))
         # the likeliest first: later pairs of components that are joined by then need no test
-        for j in some[near[np.argsort(-np.minimum(mine, other)[near], kind="stable")]]:
+        for j in some[near[np.argsort(-most[near], kind="stable")]]:
             if forest.top(comp[i]) != forest.top(comp[j]):
                 value = probability_jaccard(a, wa, *sets[j])
                 if value >= threshold - 1e-12:
@@ -272,7 +275,7 @@ def cell_links(comp, left, sets, threshold: float, forest: Forest):
                     yield i, j, value
 
 
-def block_links(mixed_members: DataFrame, sets: DataFrame, threshold: float, few: int = 1 << 20, many: int = 1 << 23, task: int = 1 << 25) -> DataFrame:
+def block_links(mixed_members: DataFrame, sets: DataFrame, threshold: float, few: int = 1 << 20, many: int = 1 << 20, task: int = 1 << 22) -> DataFrame:
     """Links (a, b, j) that join the components left in one bucket; every pair of different components is looked at.
 
     ``mixed_members``: (key, node, comp, main) with main the bucket's main component. Texts outside it, in blocks of about
