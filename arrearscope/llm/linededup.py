@@ -30,6 +30,7 @@ empty result; further columns pass through ``dedup_documents`` unchanged (``n_ch
 """
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -138,30 +139,54 @@ def similar(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     return near.filter(reaches(shingle_hashes(F.col("x")), F.col("nx"), shingle_hashes(F.col("y")), F.col("ny"))).select(pairs.columns)
 
 
-def block_links(left: DataFrame, lines: DataFrame, few: int = 1 << 15, many: int = 1 << 17) -> DataFrame:
+def bit_words(h: Column) -> Column:
+    """Bits of 4 x 64 that the hashes set; where two sets differ in d bits, they differ in d elements or more."""
+    zero, one = F.expr("0L"), F.expr("1L")
+    bit = lambda x: F.call_function("shiftleft", one, x.bitwiseAND(F.lit(63)).cast("int"))
+
+    def word(w):
+        return F.aggregate(h, zero, lambda acc, x: acc.bitwiseOR(F.when(F.shiftright(x, 6).bitwiseAND(F.lit(3)) == w, bit(x)).otherwise(zero)))
+
+    return F.array(*[word(w) for w in range(4)])
+
+
+def may_reach(a: Column, n: Column, b: Column, m: Column) -> Column:
+    """False only where bit words prove a similarity below TENTHS / 10: it needs |x - y| + |y - x| <= (n + m) (10 - TENTHS) / (10 + TENTHS)."""
+    apart = sum((F.bit_count(F.get(a, F.lit(w)).bitwiseXOR(F.get(b, F.lit(w)))) for w in range(4)), F.lit(0))
+    return (10 + TENTHS) * apart <= (10 - TENTHS) * (n + m)
+
+
+def block_links(left: DataFrame, lines: DataFrame, few: int = 1 << 15, many: int = 1 << 17, task: int = 1 << 35) -> DataFrame:
     """Links (u, v) between components of lines that share a bucket; every pair of lines of different components is looked at.
 
     left: (key, line, comp, main), main being the bucket's main component. Lines outside it, in blocks of about ``few`` bytes,
-    meet all lines of the bucket, in blocks of about ``many``. A cell is one row with its two blocks, so pairs are never rows.
+    meet all lines of the bucket, in blocks of about ``many``. A cell is one row with its two blocks, so pairs are never rows;
+    a task gets cells of about ``task`` products of bytes.
     """
     m = left.join(one_per_content(left, "line"), "key").join(lines.select("line", "norm", "n"), "line")
     m = stored(m.select("key", "line", "comp", "main", "norm", "n", (F.octet_length("norm") + 32).alias("bytes")), "line-cells")
     blocks = lambda total, each: F.ceil(F.coalesce(total, F.lit(0)) / each).cast("int")
-    sizes = m.groupBy("key").agg(blocks(F.sum(F.when(F.col("comp") != F.col("main"), F.col("bytes"))), few).alias("ni"),
-                                 blocks(F.sum("bytes"), many).alias("nj"))
-    m = m.join(sizes, "key")
+    outside = F.sum(F.when(F.col("comp") != F.col("main"), F.col("bytes")))
+    sizes = stored(m.groupBy("key").agg(blocks(outside, few).alias("ni"), blocks(F.sum("bytes"), many).alias("nj"),
+                                        (outside.cast("double") * F.sum("bytes")).alias("work")), "line-sizes")
+    tasks = max(1, math.ceil((sizes.agg(F.sum("work")).first()[0] or 0) / task))
+    m = m.join(sizes.drop("work"), "key")
     side = lambda c: F.pmod(F.xxhash64("line"), F.col(c)).cast("int")
     held = F.collect_list(F.struct("comp", "n", "norm"))
     rows = m.filter("comp <> main").groupBy("key", side("ni").alias("i"), "nj").agg(held.alias("xs")).select("key", "i", "xs", F.explode(F.sequence(F.lit(0), F.col("nj") - 1)).alias("j"))
     columns = m.groupBy("key", side("nj").alias("j")).agg(held.alias("ys"))
-    hashed = lambda x: F.struct(x["comp"].alias("comp"), x["n"].alias("n"), F.array_distinct(shingle_hashes(x["norm"])).alias("h"))
+
+    def hashed(x):
+        return bound(F.array_distinct(shingle_hashes(x["norm"])), lambda h: F.struct(x["comp"].alias("comp"), x["n"].alias("n"), h.alias("h"), bit_words(h).alias("bits")))
 
     def links(x, ys):
-        near = F.filter(ys, lambda y: (y["comp"] != x["comp"]) & alike(x["n"], y["n"]) & reaches(x["h"], x["n"], y["h"], y["n"]))
+        near = F.filter(ys, lambda y: (y["comp"] != x["comp"]) & alike(x["n"], y["n"]) & may_reach(x["bits"], x["n"], y["bits"], y["n"])
+                        & reaches(x["h"], x["n"], y["h"], y["n"]))
         return F.array_distinct(F.transform(near, lambda y: F.struct(F.least(x["comp"], y["comp"]).alias("u"), F.greatest(x["comp"], y["comp"]).alias("v"))))
 
     found = bound(F.transform("ys", hashed), lambda ys: F.flatten(F.transform(F.transform("xs", hashed), lambda x: links(x, ys))))
-    return rows.join(columns, ["key", "j"]).select(F.explode(F.array_distinct(found)).alias("link")).select("link.u", "link.v").distinct()
+    cells = rows.join(columns, ["key", "j"]).repartition(tasks, "key", "i", "j")
+    return cells.select(F.explode(F.array_distinct(found)).alias("link")).select("link.u", "link.v").distinct()
 
 
 def line_components(docs: DataFrame, occ: DataFrame) -> DataFrame:
