@@ -33,11 +33,3 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         mark = now
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-
-
-def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, root) after further links (u, v) between roots or nodes without one: only the links' ends are contracted."""
-    more = stored(components(links, "u", "v"), "cc-merged")
-    ends = more.select(F.col("node").alias("root"), F.col("root").alias("higher"))
-    moved = roots.join(ends, "root", "left").select("node", F.coalesce("higher", "root").alias("root"))
-    return stored(moved.unionByName(more.join(roots.select("node"), "node", "left_anti").select("node", "root")), "cc-roots")

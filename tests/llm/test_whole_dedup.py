@@ -89,24 +89,6 @@ def test_keys_have_recall_at_the_threshold(documents):
     assert min(hit.values()) >= 0.99, hit
 
 
-@pytest.mark.parametrize("few,many", [(1 << 15, 1 << 17), (300, 700)])
-def test_line_blocks_link_what_all_pairs_link(spark, few, many):
-    """One bucket under two keys, every line its own component: the links are those of all pairs, in every block size."""
-    rng = np.random.default_rng(5)
-    base = ["".join(rng.choice(list("abcdefghij "), 150)) for _ in range(3)]
-    names = ["".join(rng.choice(list("xyz"), 1)[0] if i in set(rng.choice(150, k % 5)) else c for i, c in enumerate(base[k % 3])) for k in range(40)]
-    names = sorted(set(names))
-    want = set()
-    for a, b in itertools.combinations(range(len(names)), 2):
-        both = len(shingles(names[a]) & shingles(names[b]))
-        if 10 * both >= 8 * len(shingles(names[a]) | shingles(names[b])):
-            want.add((a, b))
-    lines = spark.createDataFrame([(i, x, len(shingles(x))) for i, x in enumerate(names)], "line long, norm string, n int")
-    left = lines.select(F.explode(F.array(F.expr("5L"), F.expr("6L"))).alias("key"), "line", F.col("line").alias("comp"), F.expr("0L").alias("main"))
-    got = {tuple(r) for r in linededup.block_links(left, lines, few, many).collect()}
-    assert got == want and want
-
-
 def weighted_sets(n, rng):
     """Sets around a few centres: copies with changes of many sizes, some of them with counts above one."""
     out = []
