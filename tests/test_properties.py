@@ -289,3 +289,11 @@ def test_vector_topk_in_any_block_size(spark):
             assert sorted((r.query_id, r["rank"], r.vec_id) for r in RT.vector_topk(corpus, queries).collect()) == want
     finally:
         RT.CHUNK_BLOCK, RT.QUERY_BLOCK = old
+
+
+def test_similarity_cross_leaves_out_no_pair(spark):
+    from arrearscope.plans import retrieval_queries as RQ
+    e = table(spark, SF_SMALL, "embeddings")
+    got = RQ.q_similarity_cross(spark, SF_SMALL)
+    assert got.select("query_id", "vec_id").distinct().count() == e.count() * e.select("label").distinct().count()
+    assert got.where("score < 0.1").count() > 0  # low and negative products too
