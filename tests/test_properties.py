@@ -297,3 +297,58 @@ def test_similarity_cross_leaves_out_no_pair(spark):
     got = RQ.q_similarity_cross(spark, SF_SMALL)
     assert got.select("query_id", "vec_id").distinct().count() == e.count() * e.select("label").distinct().count()
     assert got.where("score < 0.1").count() > 0  # low and negative products too
+
+
+def test_lexical_copies_long_questions_and_many_passes(spark):
+    import random
+    rnd = random.Random(5)
+    words = [f"w{i}" for i in range(60)] + ["the"] * 40 + ["of"] * 25
+    chunks = [(f"{i % 90}:{i}", " ".join(rnd.choices(words, k=rnd.randint(1, 12)))) for i in range(300)]
+    chunks += [(f"x{i}", chunks[i % 3][1]) for i in range(40)]  # copies: ids decide among them
+    chunks += [("twice", "w1 of"), ("twice", "w2")]  # rows of one id are one chunk
+    questions = [(f"q{i}", " ".join(rnd.choices(words, k=rnd.randint(1, 9)))) for i in range(50)]
+    questions += [(f"r{i}", questions[0][1]) for i in range(5)] + [("long", " ".join(words))]
+
+    def brute():
+        import collections
+        import math
+        bag = lambda rows: [(i, collections.Counter(w)) for i, w in rows.items()]
+        merged = collections.defaultdict(list)
+        for i, t in chunks:
+            merged[i] += t.split()
+        c, n = bag(merged), len(chunks)
+        df = collections.Counter(w for _, b in c for w in b)
+        idf = {w: math.log((n + 1) / (d + 1)) for w, d in df.items()}
+
+        def unit(b):
+            v = {w: m * idf[w] for w, m in b.items() if w in idf}
+            norm = math.sqrt(sum(x * x for x in v.values()))
+            return {w: x / norm for w, x in v.items()} if norm else {}
+        cv, out = [(i, unit(b)) for i, b in c], []
+        for q, b in bag({q: t.split() for q, t in questions}):
+            qv = unit(b)
+            s = [(i, sum(x * v[w] for w, x in qv.items() if w in v)) for i, v in cv]
+            s = sorted((-math.floor(x * 1e4 + 0.5 + 1e-7) / 1e4, i) for i, x in s if x > 0)[:4]
+            out += [(q, r + 1, i, -x) for r, (x, i) in enumerate(s)]
+        return sorted(out)
+
+    want = brute()
+    assert _lexical(spark, questions, chunks) == want
+    old = RT.PASS_QUERIES, RT.CHUNKS_PER_FILE
+    try:
+        RT.PASS_QUERIES, RT.CHUNKS_PER_FILE = 7, 50
+        assert _lexical(spark, questions, chunks, chunk=16, query=5) == want
+    finally:
+        RT.PASS_QUERIES, RT.CHUNKS_PER_FILE = old
+
+
+def test_lexical_search_copies_no_chunks_for_blocks_of_questions(spark):
+    q = spark.createDataFrame([(f"q{i}", f"w{i % 7} w{i}") for i in range(40)], "question_id string, question string")
+    c = spark.createDataFrame([(f"c{i}", f"w{i} w{i % 5}") for i in range(40)], "chunk_id string, text string")
+    old = RT.QUERY_BLOCK
+    try:
+        RT.QUERY_BLOCK = 4
+        plan = RT.lexical_topk(q, c)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        RT.QUERY_BLOCK = old
+    assert "CoGroup" not in plan  # blocks of questions used to multiply what is shuffled
