@@ -288,3 +288,21 @@ def test_guardrail_equals_brute_force_with_a_hot_customer(spark):
     assert {e: n for e, (n, _) in got.items()} == want
     assert all((why == f"Contact cap reached ({n}/7 in 7 days)") == (n >= 7) for n, why in got.values())
     assert t.read("contacts").count() < len(seen) and t.read("decisions").count() == len(seen)
+
+
+def test_payload_batches_do_not_grow_with_the_tasks_that_write(spark):
+    from conftest import SF_SMALL
+    from arrearscope.plans import stream_queries as SQ
+    from arrearscope.plans.scoring import score_service
+    from arrearscope.sources.tables import table
+    from arrearscope.streaming import streams as S
+    old = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for c, v in zip(old, ("false", "12", "-1")):  # 12 tasks of four parts each: 48 files, a batch each before
+            spark.conf.set(c, v)
+        t = S.run_score(SQ._payloads(spark, SF_SMALL), score_service)
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
+    assert len(t.folder.names("batches")) + len(t.folder.names("bases")) <= 4
+    assert t.read("scored").count() == table(spark, SF_SMALL, "customer").count()
