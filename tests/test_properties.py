@@ -352,3 +352,25 @@ def test_lexical_search_copies_no_chunks_for_blocks_of_questions(spark):
     finally:
         RT.QUERY_BLOCK = old
     assert "CoGroup" not in plan  # blocks of questions used to multiply what is shuffled
+
+
+def test_node_table_makes_no_row_per_account_and_tree(spark):
+    from arrearscope.operators import treetable as TT
+    rows = []
+    for t in range(3):  # a split at 0.5, a leaf on the left, on the right a split at 2 of the other feature
+        rows += [("m", t, 0, 0, 0.5, 1, 2, None, 0.5), ("m", t, 1, None, None, None, None, 1.0 + t, 0.5),
+                 ("m", t, 2, 1, 2.0, 3, 4, None, 0.5), ("m", t, 3, None, None, None, None, 10.0, 0.5),
+                 ("m", t, 4, None, None, None, None, 100.0, 0.5)]
+    rows += [("one", 0, 0, None, None, None, None, 0.25, 1.0)]
+    nodes = spark.createDataFrame(rows, TT.NODES)
+    acc = spark.createDataFrame([(1, 0.5, 9.0), (2, 0.6, 2.0), (3, None, None), (4, float("nan"), 1.0), (5, 0.0, 0.0), (5, 1.0, 3.0), (None, 0.0, 0.0)],
+                                "id long, a double, b double")
+    scored = TT.score(acc, nodes, ["a", "b"], "id")
+    got = {(r.id, r.model): r.margin for r in scored.collect()}
+    want = {1: 3.0, 2: 15.0, 3: 150.0, 4: 15.0, 5: 153.0, None: 3.0}  # rows of one key add up
+    assert {i: m for (i, name), m in got.items() if name == "m"} == want
+    assert {i: m for (i, name), m in got.items() if name == "one"} == {i: 0.5 if i == 5 else 0.25 for i in want}
+    shallow = TT.score(acc.where("id = 2"), nodes.where("model = 'm'"), ["a", "b"], "id", depth=1).collect()
+    assert [r.margin for r in shallow] in ([], [0.0])
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
