@@ -374,3 +374,18 @@ def test_node_table_makes_no_row_per_account_and_tree(spark):
     assert [r.margin for r in shallow] in ([], [0.0])
     plan = scored._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Generate" not in plan
+
+
+def test_ingest_parses_each_payload_once(spark):
+    from arrearscope.sources.ingest import request_ingest
+    from conftest import accounts_df, account_row
+    rows = accounts_df(spark, [account_row(), account_row(customer_id="G2", age=3)])
+    pay = rows.select(F.to_json(F.struct(*rows.columns)).alias("payload")).union(
+        spark.createDataFrame([('{"customer_id": "G3", "cus',), (None,)], "payload string"))
+    ok, bad = request_ingest(pay)
+    for side in (ok, bad):  # the parser stands in the plan once, not in every expression that reads a field
+        assert side._jdf.queryExecution().executedPlan().toString().count("from_json") == 1
+    assert [(r.customer_id, r.dpd, r.parsed_ok) for r in ok.collect()] == [("G1", 45, True)]
+    got = {r.payload: (r.customer_id, r.parsed_ok, len(r.reasons)) for r in bad.collect()}
+    assert len(got) == 3 and got[None] == (None, True, 18) and got['{"customer_id": "G3", "cus'][1:] == (False, 18)
+    assert ("G2", True, 1) in got.values()
