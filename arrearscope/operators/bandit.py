@@ -16,6 +16,8 @@ from ..functions.numeric import lit_d, round_stable
 from ..schema import CHANNELS
 
 DEFAULT_RATE = 0.2
+LARGE_COUNT = 1000.0  # posteriors with both counts from here on have their distribution integrated
+QUADRATURE_POINTS = 40
 
 
 def channel_array():
@@ -105,7 +107,35 @@ def log_beta(a, b):
 
 
 def beta_cdf(x, a, b, ln):
-    """Regularised incomplete beta function by its continued fraction (modified Lentz), for 0 < x < 1; ln = log_beta(a, b)."""
+    """Regularised incomplete beta function for 0 < x < 1; ln = log_beta(a, b): by its continued fraction, whose steps grow
+    with the root of a and b, and where both are large by a quadrature of fixed cost."""
+    import numpy as np
+    out, large = np.empty_like(x), np.minimum(a, b) >= LARGE_COUNT
+    for part, rule in ((large, _cdf_quadrature), (~large, _cdf_fraction)):
+        if part.any():
+            out[part] = rule(x[part], a[part], b[part], ln[part])
+    return out
+
+
+def _cdf_quadrature(x, a, b, ln):
+    """The tail that begins at x and leads away from the mean, to where nothing is left of it, by Gauss-Legendre points."""
+    import numpy as np
+    points, weights = np.polynomial.legendre.leggauss(QUADRATURE_POINTS)
+    mean = a / (a + b)
+    sd = np.sqrt(mean * (1.0 - mean) / (a + b + 1.0))
+    up = x > mean
+    width = np.where(up, np.minimum(1.0 - x, np.maximum(mean + 10.0 * sd - x, 5.0 * sd)),
+                     -np.minimum(x, np.maximum(x - mean + 10.0 * sd, 5.0 * sd)))
+    area = np.zeros_like(x)
+    for p, w in zip(points, weights):
+        t = width * (0.5 * (p + 1.0))
+        area += 0.5 * w * np.exp((a - 1.0) * np.log1p(t / x) + (b - 1.0) * np.log1p(-t / (1.0 - x)))
+    tail = area * np.abs(width) * np.exp((a - 1.0) * np.log(x) + (b - 1.0) * np.log1p(-x) - ln)
+    return np.where(up, 1.0 - tail, tail)
+
+
+def _cdf_fraction(x, a, b, ln):
+    """Modified Lentz evaluation of the continued fraction."""
     import numpy as np
     swap = x > (a + 1.0) / (a + b + 2.0)
     p, q, y = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, 1.0 - x, x)
@@ -163,11 +193,13 @@ def thompson_pick(accounts: DataFrame, post: DataFrame, seed: int = 42) -> DataF
 
     A draw is the posterior's quantile at a uniform number hashed from seed, account and channel, so it doesn't depend on
     how rows are partitioned or batched, and a whole batch is drawn by a few vector operations. The posteriors are a
-    table of segments that meets the accounts in an equi-join.
+    table of segments that meets the accounts in an equi-join. Accounts are few bytes and much arithmetic, so they are dealt
+    over all shuffle partitions, which Spark would otherwise merge by their bytes.
     """
+    tasks = int(accounts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     packed = post.groupBy("segment").agg(F.array_sort(F.collect_list(F.struct("channel_order", "channel", "alpha", "beta"))).alias("arms"))
     u = F.transform("arms", lambda x: hash_uniform_of(F.concat_ws(":", F.lit(str(seed)), "customer_id", x["channel"])))
-    rows = (accounts.select("customer_id", "segment").join(packed, "segment", "inner")
+    rows = (accounts.select("customer_id", "segment").join(packed, "segment", "inner").repartition(tasks)
             .select("customer_id", "segment", F.transform("arms", lambda x: x["channel"]).alias("channels"),
                     F.transform("arms", lambda x: x["alpha"]).alias("a"), F.transform("arms", lambda x: x["beta"]).alias("b"), u.alias("u")))
 

@@ -389,3 +389,23 @@ def test_ingest_parses_each_payload_once(spark):
     got = {r.payload: (r.customer_id, r.parsed_ok, len(r.reasons)) for r in bad.collect()}
     assert len(got) == 3 and got[None] == (None, True, 18) and got['{"customer_id": "G3", "cus'][1:] == (False, 18)
     assert ("G2", True, 1) in got.values()
+
+
+def test_draws_are_dealt_over_all_tasks(spark):
+    acc = spark.range(4000).groupBy((F.col("id") % 2000).alias("c")).count().select(F.concat(F.lit("C"), "c").alias("customer_id"), F.lit("S1").alias("segment"))
+    post = spark.createDataFrame([("S1", "PHONE", 0, 3000.0, 5000.0), ("S1", "SMS", 1, 4000.0, 4000.0)],
+                                 "segment string, channel string, channel_order int, alpha double, beta double")
+    picks = B.thompson_pick(acc, post).select(F.spark_partition_id().alias("p"), "draws").collect()
+    assert len(picks) == 2000 and len({r.p for r in picks}) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_large_counts_are_integrated_at_fixed_cost(monkeypatch):
+    import numpy as np
+    u = np.array([1e-10, 1e-6, 0.01, 0.3, 0.5, 0.8, 0.999, 1 - 1e-9] * 3)
+    a, b = np.repeat([1000.0, 40000.0, 9000.0], 8), np.repeat([1500.0, 2000.0, 900000.0], 8)
+    ln = B.log_beta(a, b)
+    x = B.beta_quantile(u, a, b)
+    want = B._cdf_fraction(x, a, b, ln)
+    assert np.allclose(want, u, rtol=1e-8, atol=0)
+    monkeypatch.setattr(B, "_cdf_fraction", None)  # its steps grow with the counts: not used for large ones
+    assert np.allclose(B.beta_cdf(x, a, b, ln), want, rtol=1e-10, atol=0)
