@@ -260,21 +260,23 @@ def assigned_sums(rows: DataFrame, centers, running):
     restarts, k, dims = centers.shape
 
     def run(batches):
-        import pandas as pd
+        import pyarrow as pa
         total, count, cost = np.zeros((restarts, k, dims)), np.zeros((restarts, k), np.int64), np.zeros(restarts)
-        for pdf in batches:
-            x = np.array(pdf["x"].tolist(), dtype=float).reshape(-1, dims)
+        for batch in batches:
+            n = batch.num_rows
+            x = np.ascontiguousarray(batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(n, dims).T)
             for r in np.flatnonzero(running):
-                d = np.stack([((x - c) ** 2).sum(axis=1) for c in centers[r]], axis=1)
-                near = d.argmin(axis=1)
-                cost[r] += d[np.arange(len(x)), near].sum()
+                d = np.stack([sum((x[f] - c[f]) ** 2 for f in range(dims)) for c in centers[r]])
+                near = d.argmin(axis=0)
+                cost[r] += d[near, np.arange(n)].sum()
                 count[r] += np.bincount(near, minlength=k)
                 for f in range(dims):
-                    total[r, :, f] += np.bincount(near, weights=x[:, f], minlength=k)
-        yield pd.DataFrame({"r": np.repeat(np.arange(restarts), k), "c": np.tile(np.arange(k), restarts), "n": count.ravel(),
-                            "s": total.reshape(-1, dims).tolist(), "cost": np.repeat(cost / k, k)})
+                    total[r, :, f] += np.bincount(near, weights=x[f], minlength=k)
+        yield pa.RecordBatch.from_pydict({"r": pa.array(np.repeat(np.arange(restarts), k), pa.int32()), "c": pa.array(np.tile(np.arange(k), restarts), pa.int32()),
+                                          "n": pa.array(count.ravel()), "s": pa.array(total.reshape(-1, dims).tolist(), pa.list_(pa.float64())),
+                                          "cost": pa.array(np.repeat(cost / k, k))})
 
-    parts = rows.select("x").mapInPandas(run, "r int, c int, n long, s array<double>, cost double")
+    parts = rows.select("x").mapInArrow(run, "r int, c int, n long, s array<double>, cost double")
     found = parts.groupBy("r", "c").agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"),
                                         F.array(*[F.sum(F.element_at("s", i + 1)) for i in range(dims)]).alias("s")).collect()
     sums, counts, costs = np.zeros((restarts, k, dims)), np.zeros((restarts, k), np.int64), np.zeros(restarts)

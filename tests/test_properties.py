@@ -409,3 +409,17 @@ def test_large_counts_are_integrated_at_fixed_cost(monkeypatch):
     assert np.allclose(want, u, rtol=1e-8, atol=0)
     monkeypatch.setattr(B, "_cdf_fraction", None)  # its steps grow with the counts: not used for large ones
     assert np.allclose(B.beta_cdf(x, a, b, ln), want, rtol=1e-10, atol=0)
+
+
+def test_partial_sums_of_kmeans_against_brute_force(spark):
+    import numpy as np
+    x = np.random.default_rng(3).normal(size=(300, 3))
+    centers = np.random.default_rng(4).normal(size=(2, 4, 3))
+    rows = spark.createDataFrame([(r.tolist(),) for r in x], "x array<double>").repartition(3)
+    sums, counts, costs = MD.assigned_sums(rows, centers, np.ones(2, bool))
+    for r in range(2):
+        d = ((x[:, None] - centers[r]) ** 2).sum(axis=2)
+        near = d.argmin(axis=1)
+        assert counts[r].tolist() == np.bincount(near, minlength=4).tolist() and abs(costs[r] - d.min(axis=1).sum()) < 1e-9
+        assert all(np.allclose(sums[r, c], x[near == c].sum(axis=0)) for c in range(4))
+    assert MD.assigned_sums(rows.where("x IS NULL"), centers, np.ones(2, bool))[1].sum() == 0
