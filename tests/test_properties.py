@@ -411,6 +411,27 @@ def test_large_counts_are_integrated_at_fixed_cost(monkeypatch):
     assert np.allclose(B.beta_cdf(x, a, b, ln), want, rtol=1e-10, atol=0)
 
 
+def test_fits_hold_bounded_rows_per_task(spark, monkeypatch):
+    seen = []
+
+    class Fit:
+        def __init__(self, stages):
+            pass
+
+        def fit(self, df):
+            seen.append(df.groupBy(F.spark_partition_id()).count().agg(F.max("count"), F.count("*"), F.sum("count")).first())
+
+    monkeypatch.setattr(MD, "Pipeline", Fit)
+    monkeypatch.setattr(MD, "ROW_TREES_PER_TASK", 5000)
+    monkeypatch.setattr(MD, "ROWS_PER_BOOSTING_TASK", 250)
+    train = spark.range(1000).select(F.col("id").cast("double").alias("a"), (F.col("id") % 2).alias("y")).coalesce(1)
+    MD.fit_forest(train, ["a"], "y", numTrees=20)
+    MD.fit_forest(train, ["a"], "y", numTrees=5)
+    MD.fit_gbt(train, ["a"], "y")
+    assert [r[1:] for r in map(tuple, seen)] == [(4, 1000), (1, 1000), (4, 1000)]
+    assert [r[0] <= 260 for r in seen] == [True, False, True]
+
+
 def test_partial_sums_of_kmeans_against_brute_force(spark):
     import numpy as np
     x = np.random.default_rng(3).normal(size=(300, 3))
