@@ -14,7 +14,10 @@ have one kind of key in common.
 
 Search. Lines that share a band key are candidates; in each bucket every line is first compared with the smallest, then, in
 buckets left with several components, every line outside the main one with one line of it, another in each bucket, and
-at last with all lines of the bucket in other components. Every comparison is the exact Jaccard similarity of the shingle sets, so only
+at last with all lines of the bucket in other components. For the last step each line's shingles are counted in
+``PLACES`` places, as one bit for a place that holds one or more and another for two or more. Bits that two lines share bound the
+shingles that they share from above, which rules most pairs out exactly while they are joined, before they become rows;
+beyond about 1,500 shingles the bound is loose. Every pair that is left gets the exact Jaccard similarity of the shingle sets, so only
 candidates are ever missed. A distributed union-find forms components; the first line of each (by doc_id, then position)
 is kept, all others are removed from their documents.
 
@@ -29,12 +32,14 @@ empty result; further columns pass through ``dedup_documents`` unchanged (``n_ch
 """
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_record, no_text, stored, with_text
+from .common import as_record, no_text, one_per_content, stored, with_text
 from .components import components
 from .quality import normal_line, trimmed
 
@@ -44,6 +49,9 @@ SKETCH, BANDS, ROWS = 5, 8, 3
 WHOLE, LONG, SHORT = 4, 40, 50
 #: Most bits of a membership filter (4 MB).
 BITS = 1 << 25
+#: Places in which a line's shingles are counted, and the 64-bit words of their two bits.
+PLACES = 1 << 10
+WORDS = 2 * PLACES // 64
 
 
 def shingle_hashes(line: Column) -> Column:
@@ -114,6 +122,46 @@ def may_hold(keys: DataFrame, name: str, n: int):
     return test
 
 
+def bit_words(lines: DataFrame) -> DataFrame:
+    """line, n, words (bits of the places with one shingle, then of those with two) and rest (shingles beyond). lines: line, norm, n."""
+    places = F.sort_array(F.transform(F.array_distinct(shingle_hashes(F.col("norm"))), lambda x: x.bitwiseAND(F.lit(PLACES - 1)).cast("int")))
+    again = F.transform("p", lambda x, i: F.when(F.get("p", i - 1) == x, x + PLACES).otherwise(x))
+    marks = lines.select("line", "n", places.alias("p")).select("line", "n", F.explode(again).alias("at")).select(
+        "line", "n", F.shiftright("at", 6).alias("word"), F.expr("1L").alias("one"), F.col("at").bitwiseAND(F.lit(63)).alias("b"))
+    mark, none = F.expr("shiftleft(one, b)"), F.lit(0).cast("long")
+    words = [F.bit_or(F.when(F.col("word") == w, mark).otherwise(none)) for w in range(WORDS)]
+    return (marks.groupBy("line", "n").agg(F.array(*words).alias("words"))
+            .withColumn("rest", F.col("n") - F.aggregate(F.transform("words", F.bit_count), F.lit(0), lambda a, x: a + x)))
+
+
+def may_reach(x: str, y: str) -> Column:
+    """False only for lines below the threshold, by their numbers of shingles and by the most shingles that they can share."""
+    n, m = F.col(f"{x}_n"), F.col(f"{y}_n")
+    bits = F.zip_with(f"{x}_words", f"{y}_words", lambda a, b: F.bit_count(a.bitwiseAND(b)))
+    both = F.aggregate(bits, F.least(f"{x}_rest", f"{y}_rest"), lambda a, b: a + b)
+    return (10 * F.least(n, m) >= TENTHS * F.greatest(n, m)) & ((10 + TENTHS) * both >= TENTHS * (n + m))
+
+
+def bucket_pairs(left: DataFrame, lines: DataFrame) -> DataFrame:
+    """The pairs (a, b) of lines that share a bucket, are in different components and may reach the threshold.
+
+    left: (key, line, comp, main), main being the component that most of the bucket's lines are in.
+    """
+    left = left.join(one_per_content(left, "line"), "key")
+    keys = left.groupBy("line").agg(F.collect_list("key").alias("keys"))
+    bits = stored(bit_words(lines.join(keys, "line", "left_semi")).join(keys, "line"), "line-bits")
+    members = left.join(bits, "line")
+
+    def side(name: str) -> DataFrame:
+        return members.select("key", "main", *[F.col(c).alias(f"{name}_{c}") for c in ("line", "comp", *bits.columns[1:])])
+
+    # pairs with the main component once from the line outside it, others from the line with the smaller hash, all in one of their buckets
+    wanted = ((F.col("x_comp") != F.col("y_comp")) & ((F.col("y_comp") == F.col("main")) | (F.col("x_line") < F.col("y_line")))
+              & may_reach("x", "y") & (F.array_min(F.array_intersect("x_keys", "y_keys")) == F.col("key")))
+    pairs = side("x").filter("x_comp <> main").join(side("y").drop("main"), "key").filter(wanted)
+    return pairs.select(F.least("x_line", "y_line").alias("a"), F.greatest("x_line", "y_line").alias("b"))
+
+
 def similar(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """The pairs (a, b) of lines whose exact Jaccard similarity reaches TENTHS / 10. lines: line, norm, n (distinct shingles)."""
     one = lines.select(F.col("line").alias("a"), F.col("norm").alias("x"), F.col("n").alias("nx"))
@@ -152,12 +200,11 @@ def line_components(docs: DataFrame, occ: DataFrame) -> DataFrame:
         sizes = left.groupBy("key", "comp").agg(F.count("*").alias("n"))
         main = sizes.groupBy("key").agg(F.max(F.struct("n", "comp"))["comp"].alias("main"))
         left = left.join(main, "key")
-        out = left.filter("comp <> main").select("key", F.col("line").alias("x"), F.col("comp").alias("c"))
         if not last:  # one line of the main component, another in each bucket
             one = left.filter("comp = main").groupBy("key").agg(F.min_by("line", F.xxhash64("line", "key")).alias("one"))
-            more = out.join(one, "key").select(*pair("x", "one"))
+            more = left.filter("comp <> main").join(one, "key").select(*pair("line", "one"))
         else:  # the whole bucket
-            more = out.join(left.select("key", "line", "comp"), "key").filter("c <> comp").select(*pair("x", "line"))
+            more = bucket_pairs(left, lines)
         more = stored(more.distinct().join(tested, ["a", "b"], "left_anti"), "line-more")
         tested = tested.unionByName(more)
         links = links.unionByName(stored(similar(more, lines), "line-links"))

@@ -89,6 +89,38 @@ def test_keys_have_recall_at_the_threshold(documents):
     assert min(hit.values()) >= 0.99, hit
 
 
+def edited(rng, line, share):
+    """The line with about this share of its words replaced."""
+    return " ".join("".join(rng.choice(list("abcdefghij"), len(w))) if rng.random() < share else w for w in line.split(" "))
+
+
+def test_pairs_below_the_threshold_never_become_rows(spark):
+    """Lines around a common one, in two buckets: the pairs made hold every pair that reaches 0.8, each once, and few others below 1,500 shingles."""
+    rng = np.random.default_rng(5)
+    found, below, norms = set(), set(), []
+    for words in (4, 14, 80, 400):
+        line = " ".join("".join(rng.choice(list("klmnopqrst"), 6)) for _ in range(words))
+        norms += [line, *[edited(rng, line, share) for share in (0.01, 0.02, 0.04, 0.06) for _ in range(12)], line + " " + line[:20]]
+    norms += ["z" * 300, "z" * 300 + "y", "zz zz zz zz", ""]
+    norms = [x for x in dict.fromkeys(norms) if x]
+    table = spark.createDataFrame([(i, x, len(shingles(x))) for i, x in enumerate(norms)], "line long, norm string, n int")
+    main = 3  # in a component with two more lines
+    comp = F.when(F.col("line").isin(3, 4, 5), main).otherwise(F.col("line")).cast("long")
+    left = table.select(F.explode(F.array(F.expr("7L"), F.when(F.col("line") % 2 == 0, F.expr("9L")))).alias("key"), "line", comp.alias("comp"),
+                        F.lit(main).cast("long").alias("main")).filter("key is not null")
+    pairs = [(r.a, r.b) for r in linededup.bucket_pairs(left, table).collect()]
+    sets = [shingles(x) for x in norms]
+    for a, b in itertools.combinations(range(len(norms)), 2):
+        if not {a, b} <= {3, 4, 5}:
+            both = len(sets[a] & sets[b])
+            if 10 * both >= 8 * (len(sets[a]) + len(sets[b]) - both):
+                found.add((a, b))
+            elif max(len(sets[a]), len(sets[b])) < 1500 and 10 * min(len(sets[a]), len(sets[b])) >= 8 * max(len(sets[a]), len(sets[b])):
+                below.add((a, b))
+    assert len(pairs) == len(set(pairs)) and found <= set(pairs) and len(found) > 100
+    assert len(below & set(pairs)) < len(below) // 10 and len(below) > 500, (len(below & set(pairs)), len(below))
+
+
 def weighted_sets(n, rng):
     """Sets around a few centres: copies with changes of many sizes, some of them with counts above one."""
     out = []
