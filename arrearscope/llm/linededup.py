@@ -72,6 +72,12 @@ def scaled(x: Column, parts: int) -> Column:
     return F.shiftrightunsigned(F.shiftrightunsigned(x, 32) * parts, 32)
 
 
+def bounds() -> list[int]:
+    """The smallest hash (as a signed number) of each of the ``BANDS * ROWS`` bins that ``scaled`` makes."""
+    first = [-(-(part << 32) // (BANDS * ROWS)) << 32 for part in range(BANDS * ROWS)]
+    return [x - (1 << 64) if x >> 63 else x for x in first]
+
+
 def line_hash(line: Column) -> Column:
     return F.xxhash64(line)
 
@@ -83,25 +89,30 @@ def occurrences(docs: DataFrame) -> DataFrame:
                        # normalised inside the generator, so that each line is normalised once
                        F.posexplode(F.transform(F.split(text, "\n"), normal_line)).alias("pos", "norm")).filter("norm <> ''")
     rows = rows.select("doc_id", "doc", "pos", line_hash(F.col("norm")).alias("line"), F.array_distinct(shingle_hashes(F.col("norm"))).alias("h"))
-    n, bins = F.size("h"), BANDS * ROWS
-    rows = rows.select("doc_id", "doc", "pos", "line", n.alias("n"), F.sort_array("h").alias("h"))
-    n, h = F.col("n"), F.col("h")
-    few = F.slice(h, 1, SKETCH)
-    low = F.when(n >= LONG, F.filter(h, lambda x, i: (i == 0) | (scaled(x, bins) != scaled(F.get(h, i - 1), bins))))
-    rows = rows.select("doc_id", "doc", "pos", "line", "n", few.alias("few"), low.alias("low"))
-    few, low = F.col("few"), F.col("low")
+    n, h, starts = F.size("h"), F.col("h"), [F.lit(x).cast("long") for x in bounds()]
+    # among the sorted hashes and the lower bounds of the bins, the smallest hash of a bin comes right after its bound
+    rows = rows.select("doc_id", "doc", "pos", "line", n.alias("n"), F.when(n < SHORT, F.slice(F.sort_array(h), 1, SKETCH)).alias("few"),
+                       F.when(n >= LONG, F.sort_array(F.concat(h, F.array(*starts)))).alias("marked"))
+    n, few = F.col("n"), F.col("few")
     pairs = [F.when(F.get(few, F.lit(j)).isNotNull(), F.xxhash64(F.get(few, F.lit(i)), F.get(few, F.lit(j))))
              for i, j in combinations(range(SKETCH), 2)]
+    low = [F.get("marked", F.array_position("marked", x).cast("int")).alias(f"low{i}") for i, x in enumerate(starts)]
+    rows = rows.select("doc_id", "doc", "pos", "line", "n", "few", without_nulls(pairs).alias("pairs"), *low)
 
     def band(b):
-        return F.filter(low, lambda x: scaled(x, BANDS) == b)
+        """The smallest hash of each of the band's bins, null where what follows the bound lies in a later bin."""
+        return [F.when(scaled(F.col(f"low{i}"), BANDS * ROWS) == i, F.col(f"low{i}")) for i in range(b * ROWS, (b + 1) * ROWS)]
 
-    long = [F.when(F.size(band(b)) > 0, F.xxhash64(band(b))) for b in range(BANDS)]
-    bands = (F.when(n < WHOLE, F.array(F.xxhash64("few"))).when(n < LONG, F.array(*pairs))
-             .when(n < SHORT, F.array(*pairs, *long)).otherwise(F.array(*long)))
+    long = without_nulls([F.when(F.coalesce(*band(b)).isNotNull(), F.xxhash64(*band(b))) for b in range(BANDS)])
+    bands = (F.when(n < WHOLE, F.array(F.xxhash64("few"))).when(n < LONG, F.col("pairs"))
+             .when(n < SHORT, F.concat("pairs", long)).otherwise(long))
     return rows.select("doc_id", "doc", "pos", "line", bands.alias("bands"))
 
 
+def without_nulls(items: list[Column]) -> Column:
+    return F.filter(F.array(*items), lambda x: x.isNotNull())
+
+
 def may_hold(keys: DataFrame, name: str, n: int):
     """A predicate that is true for every value of ``keys[name]`` and false for most others; at most ``BITS`` bits."""
     bits = 1 << 12

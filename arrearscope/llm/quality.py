@@ -19,6 +19,9 @@ host is the host ''; an empty table gives an empty result; further columns are i
 """
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,7 +47,9 @@ def trimmed(text: Column) -> Column:
 
 
 def normal_line(line: Column) -> Column:
-    return F.lower(F.regexp_replace(trimmed(line), UNEVEN, " "))
+    # most lines are even and need no regular expression
+    uneven = reduce(or_, [F.contains(line, F.lit(x)) for x in ("  ", *BLANK[1:])])
+    return F.lower(F.when(uneven, F.regexp_replace(trimmed(line), UNEVEN, " ")).otherwise(trimmed(line)))
 
 
 def repeated_words(df: DataFrame, words: str, out: str) -> DataFrame:

@@ -151,3 +151,33 @@ def test_block_links_join_what_all_pairs_join(spark, few, many, task):
     assert groups(got) == groups(want) and 4 < len(set(want)) < len(sets) - 20
     if task > 10**6:  # one task: a forest
         assert len(rows) == len(sets) - len(set(want))
+
+
+def test_band_keys_equal_their_definition(spark, documents):
+    """Band keys are hashes of the smallest shingle hashes of the 24 equal parts of the hash range, three neighbours to a key; no key is null."""
+    rng = np.random.default_rng(11)
+    lines = ["".join(rng.choice(list("abcdefgh ijk"), n)).strip() or "x" for n in (1, 9, 12, 30, 46, 47, 52, 56, 57, 60, 90, 400, 5000)] + ["ab" * 300, "z一" * 40 + "".join(map(chr, range(0x4E00, 0x4E40)))]
+    df = documents(list(enumerate(lines)))
+    got = {r.doc_id: r.bands for r in linededup.occurrences(df).select("doc_id", "bands").collect()}
+    h = {r.doc_id: sorted(set(r.h)) for r in df.select("doc_id", linededup.shingle_hashes(linededup.normal_line(F.col("text"))).alias("h")).collect()}
+    want = {}
+    for d, hashes in h.items():
+        few = hashes[:5]
+        sets = [few] if len(hashes) < 4 else [list(p) for p in itertools.combinations(few, 2)] if len(hashes) < 50 else []
+        if len(hashes) >= 40:
+            low = {}
+            for x in hashes:
+                low.setdefault(((x % 2 ** 64) >> 32) * 24 >> 32, x)
+            sets += [s for s in ([low[i] for i in range(3 * b, 3 * b + 3) if i in low] for b in range(8)) if s]
+        want[d] = sets
+    keys = spark.createDataFrame([(d, i, s) for d, sets in want.items() for i, s in enumerate(sets)], "d long, i int, s array<long>")
+    expected = {}
+    for r in keys.select("d", "i", F.xxhash64("s").alias("k")).orderBy("d", "i").collect():
+        expected.setdefault(r.d, []).append(r.k)
+    assert got == expected
+
+
+def test_bins_are_found_without_a_call_per_hash(documents):
+    """Only making the hashes calls a function per shingle; bins are found by their bounds, not by comparing every hash with the one before."""
+    plan = linededup.occurrences(documents([(1, "a line")]))._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_position(marked" in plan and "filter(h#" not in plan
