@@ -203,8 +203,8 @@ def line_components(docs: DataFrame, occ: DataFrame) -> DataFrame:
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     tested = stored(members.filter("line <> low").select(*pair("line", "low")).distinct(), "line-stars")
     links = stored(similar(tested, lines), "line-links")
+    roots = components(links).withColumnRenamed("node", "line")
     for last in (False, True):
-        roots = components(links).withColumnRenamed("node", "line")
         where = members.join(roots, "line", "left").withColumn("comp", F.coalesce("root", "line")).drop("root")
         several = where.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
         left = stored(where.join(several, "key", "left_semi"), "line-mixed")
@@ -218,8 +218,22 @@ def line_components(docs: DataFrame, occ: DataFrame) -> DataFrame:
             more = bucket_pairs(left, lines)
         more = stored(more.distinct().join(tested, ["a", "b"], "left_anti"), "line-more")
         tested = tested.unionByName(more)
-        links = links.unionByName(stored(similar(more, lines), "line-links"))
-    return components(links).withColumnRenamed("node", "line")
+        roots = joined(roots, similar(more, lines))
+    return roots
+
+
+def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(line, root) of every line of ``roots`` or ``links`` (a, b): links are followed between components only, which stay small."""
+    known = roots.select("line", "root")
+    ends = links.select("a", "b")
+    for end in ("a", "b"):
+        ends = ends.join(known.select(F.col("line").alias(end), F.col("root").alias(f"{end}_root")), end, "left").withColumn(
+            f"{end}_root", F.coalesce(f"{end}_root", end))
+    ends = stored(ends.select("a", "b", "a_root", "b_root"), "line-links")
+    higher = components(ends, "a_root", "b_root").select(F.col("node").alias("root"), F.col("root").alias("top"))
+    lines = known.unionByName(ends.select(F.explode(F.array(F.struct(F.col("a").alias("line"), F.col("a_root").alias("root")),
+                                                            F.struct(F.col("b").alias("line"), F.col("b_root").alias("root")))).alias("x")).select("x.*"))
+    return stored(lines.distinct().join(higher, "root", "left").select("line", F.coalesce("top", "root").alias("root")), "line-roots")
 
 
 def kept_positions(docs: DataFrame) -> DataFrame:

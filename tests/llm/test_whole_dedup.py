@@ -153,6 +153,52 @@ def test_block_links_join_what_all_pairs_join(spark, few, many, task):
         assert len(rows) == len(sets) - len(set(want))
 
 
+def paths(rng):
+    """Edges of a path, a hub, a cycle, loops and random graphs, with repeats, in any order."""
+    edges = [(i, i + 1) for i in range(100, 160)] + [(500, i) for i in range(450, 560)] + [(900 + i, 900 + (i + 1) % 9) for i in range(9)] + [(7, 7)]
+    edges += [tuple(int(x) for x in rng.integers(2000, 2300, 2)) for _ in range(170)] + [(-5, 2 ** 40), (2 ** 40, 160), (3, 4), (4, 3)]
+    return [edges[i] for i in rng.permutation(len(edges))] + edges[:20]
+
+
+def smallest(edges):
+    """node -> smallest node of its component, for nodes on an edge with two ends."""
+    root = {x: x for e in edges if e[0] != e[1] for x in e}
+    while True:
+        old = dict(root)
+        for a, b in edges:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+        if old == root:
+            return root
+
+
+def test_components_stop_at_stars(spark, monkeypatch):
+    """Roots are the smallest nodes, and no round is written once all components are stars."""
+    from arrearscope.llm import components as cc
+
+    written = []
+    monkeypatch.setattr(cc, "stored", lambda df, purpose, f=cc.stored: written.append(purpose) or f(df, purpose))
+    edges = paths(np.random.default_rng(3))
+    got = [(r.node, r.root) for r in cc.components(spark.createDataFrame(edges, "a long, b long")).collect()]
+    assert sorted(got) == sorted(smallest(edges).items()) and "cc-round" in written
+    written.clear()
+    star = spark.createDataFrame([(1, i) for i in range(2, 50)] + [(60, 61)], "a long, b long")
+    assert cc.components(star).count() == 51 and written == ["cc-edges"]
+    assert cc.components(star.limit(0)).count() == 0
+
+
+def test_later_links_join_components(spark):
+    """Links in three parts, one after the other, give the components of all of them."""
+    from arrearscope.llm.components import components
+
+    edges = paths(np.random.default_rng(4))
+    frame = lambda part: spark.createDataFrame(part, "a long, b long").filter("a <> b")
+    roots = components(frame(edges[::3])).withColumnRenamed("node", "line")
+    for part in (edges[1::3], edges[2::3], [(7, 7)]):
+        roots = linededup.joined(roots, frame(part))
+    assert sorted((r.line, r.root) for r in roots.collect()) == sorted(smallest(edges).items())
+
+
 def test_band_keys_equal_their_definition(spark, documents):
     """Band keys are hashes of the smallest shingle hashes of the 24 equal parts of the hash range, three neighbours to a key; no key is null."""
     rng = np.random.default_rng(11)
