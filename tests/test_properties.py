@@ -176,6 +176,28 @@ def test_uplift_and_model_io(spark, tmp_path):
     assert again.join(first, "customer_id").where(F.col("p1") != F.col("p2")).count() == 0
 
 
+def test_model_io_saves_and_reloads_all_three_forests(spark, monkeypatch):
+    from arrearscope.functions.features import with_service_features
+    from arrearscope.plans import model_queries as MQ
+    from arrearscope.sources import io as IO
+    b = with_service_features(training_portfolio(spark, SF_SMALL))
+    targets = ["will_pay", "ptp_kept", "recovery_success"]
+    fitted = MD.train_forests(b, MQ.SERVICE_FEATURES, targets, numTrees=3, maxDepth=2)
+    saved, save = [], IO.save_model
+    monkeypatch.setattr(MQ, "forests", lambda *_: fitted)
+    monkeypatch.setattr(IO, "save_model", lambda m, path: (saved.append(m), save(m, path)))
+    got = MQ.q_model_io(spark, SF_SMALL)
+    assert saved == [fitted[0][t] for t in targets]
+    assert got.columns == ["customer_id", "p_saved", "p_loaded", "ptp_saved", "ptp_loaded", "rec_saved", "rec_loaded"]
+    acc = with_service_features(MQ.portfolio(spark, SF_SMALL))
+    for t, name in zip(targets, ("p", "ptp", "rec")):
+        want = MD.p1(fitted[0][t].transform(acc), "want").select("customer_id", "want").join(got, "customer_id")
+        assert want.count() == acc.count() > 0
+        assert want.where((F.col("want") != F.col(f"{name}_saved")) | (F.col("want") != F.col(f"{name}_loaded"))).count() == 0
+    same = MQ.q_model_io_same(spark, SF_SMALL)
+    assert same.count() == acc.count() and same.where("same").count() == acc.count()
+
+
 def test_kmeans_every_row_one_cluster(spark):
     s = spark.createDataFrame([(f"c{i}", float(i % 3) * 10 + (i % 5) * 0.01, float(i % 2)) for i in range(60)],
                               "customer_id string, a double, b double")
