@@ -376,6 +376,54 @@ def test_lexical_search_copies_no_chunks_for_blocks_of_questions(spark):
     assert "CoGroup" not in plan  # blocks of questions used to multiply what is shuffled
 
 
+def test_lexical_pass_multiplies_few_pairs_and_loses_no_hit(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+    rng = np.random.default_rng(8)
+    n_chunks, n_queries, k = 3000, 60, 4
+    words = 2000
+    often = 1 / np.arange(1, words + 1)
+
+    def vectors(n):
+        out = []
+        for _ in range(n):
+            t = np.unique(rng.choice(words, rng.integers(1, 40), p=often / often.sum()))
+            out.append((t, np.log(1 + t) * rng.integers(1, 3, len(t)) + 0.1))
+        return out
+    chunks, queries = vectors(n_chunks), vectors(n_queries)
+    unit = lambda v: v[1] / np.linalg.norm(v[1])
+    dense = lambda rows: np.stack([np.bincount(v[0], unit(v), minlength=words) for v in rows])
+    units = np.floor(dense(queries) @ dense(chunks).T * 1e4 + 0.5 + 1e-7).astype(int)
+    raw = dense(queries) @ dense(chunks).T
+    names = [f"c{i:04d}" for i in range(n_chunks)]
+    want = {(f"q{i}", names[j], units[i, j]) for i in range(n_queries)
+            for j in [j for j in np.lexsort((np.arange(n_chunks), -units[i])) if raw[i, j] > 0][:k]}
+    batches = [pa.RecordBatch.from_pydict({"items": [[names[i]] for i in range(lo, min(lo + 700, n_chunks))],
+                                           "token": [chunks[i][0] for i in range(lo, min(lo + 700, n_chunks))],
+                                           "w": [unit(chunks[i]) for i in range(lo, min(lo + 700, n_chunks))]}) for lo in range(0, n_chunks, 700)]
+    flat = lambda at: np.concatenate([v[at] for v in queries])
+    ask = [f"q{i}" for i in range(n_queries)], np.array([len(v[0]) for v in queries]), flat(0).astype(np.int64), flat(1), k
+    seen: dict = {}
+    for b in RT._lexical_pass(*ask)(iter(batches)):
+        for q, u in zip(b.column("query").to_pylist(), b.column("units").to_pylist()):
+            seen.setdefault(q, []).append(u)
+    floor = np.array([sorted(seen.get(q, []), reverse=True)[k - 1] if len(seen.get(q, [])) >= k else -1 for q in ask[0]], np.int32)
+    best = np.sort(units, axis=1)[:, -k]
+    assert (floor <= best).all() and (floor >= best * 0.5).mean() > 0.9
+    multiplied, inner = [], RT._block_best
+
+    def counted(*args):
+        hits = inner(*args)
+        multiplied.append(0 if hits is None else len(hits[0]))
+        return hits
+    monkeypatch.setattr(RT, "_block_best", counted)
+    monkeypatch.setattr(RT, "CHUNK_BLOCK", 64)
+    got = {(q, i[0], u) for b in RT._lexical_pass(*ask, floor)(iter(batches))
+           for q, i, u in zip(b.column("query").to_pylist(), b.column("items").to_pylist(), b.column("units").to_pylist())}
+    assert got == want
+    assert len(multiplied) > 10 and sum(multiplied) < 0.1 * n_chunks * n_queries
+
+
 def test_node_table_makes_no_row_per_account_and_tree(spark):
     from arrearscope.operators import treetable as TT
     rows = []
