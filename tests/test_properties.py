@@ -400,7 +400,8 @@ def test_lexical_pass_multiplies_few_pairs_and_loses_no_hit(monkeypatch):
             for j in [j for j in np.lexsort((np.arange(n_chunks), -units[i])) if raw[i, j] > 0][:k]}
     batches = [pa.RecordBatch.from_pydict({"items": [[names[i]] for i in range(lo, min(lo + 700, n_chunks))],
                                            "token": [chunks[i][0] for i in range(lo, min(lo + 700, n_chunks))],
-                                           "w": [unit(chunks[i]) for i in range(lo, min(lo + 700, n_chunks))]}) for lo in range(0, n_chunks, 700)]
+                                           "w": [chunks[i][1] for i in range(lo, min(lo + 700, n_chunks))],
+                                           "norm": [np.linalg.norm(chunks[i][1]) for i in range(lo, min(lo + 700, n_chunks))]}) for lo in range(0, n_chunks, 700)]
     flat = lambda at: np.concatenate([v[at] for v in queries])
     ask = [f"q{i}" for i in range(n_queries)], np.array([len(v[0]) for v in queries]), flat(0).astype(np.int64), flat(1), k
     seen: dict = {}
