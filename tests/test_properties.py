@@ -406,8 +406,8 @@ def test_lexical_pass_multiplies_few_pairs_and_loses_no_hit(monkeypatch):
     ask = [f"q{i}" for i in range(n_queries)], np.array([len(v[0]) for v in queries]), flat(0).astype(np.int64), flat(1), k
     seen: dict = {}
     for b in RT._lexical_pass(*ask)(iter(batches)):
-        for q, u in zip(b.column("query").to_pylist(), b.column("units").to_pylist()):
-            seen.setdefault(q, []).append(u)
+        for at, u in zip(b.column("at").to_pylist(), b.column("units").to_pylist()):
+            seen.setdefault(f"q{at}", []).append(u)
     floor = np.array([sorted(seen.get(q, []), reverse=True)[k - 1] if len(seen.get(q, [])) >= k else -1 for q in ask[0]], np.int32)
     best = np.sort(units, axis=1)[:, -k]
     assert (floor <= best).all() and (floor >= best * 0.5).mean() > 0.9
